@@ -61,10 +61,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
 
 
 def filled(column: pa.Array) -> pa.Array:
-    """A string column with nulls as empty texts, in one array that starts at offset 0."""
+    """A string column with nulls as empty texts, in one array whose buffers hold nothing else."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = pc.fill_null(column, "")
-    return pa.concat_arrays([column]) if column.offset else column
+    offsets = np.frombuffer(column.buffers()[1] or b"\0\0\0\0", np.int32)[column.offset : column.offset + len(column) + 1]
+    if len(column) and (column.offset or offsets[0]):
+        data = column.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if column.buffers()[2] else pa.py_buffer(b"")
+        column = pa.StringArray.from_buffers(len(column), pa.py_buffer(offsets - offsets[0]), data)
+    return column
 
 
 def translated(column: pa.Array, table: bytes) -> pa.Array:
@@ -97,3 +101,17 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     lengths = lengths.astype(np.int64)
     ends = np.cumsum(lengths)
     return np.repeat(starts.astype(np.int64) - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit integers scattered (the finalizer of splitmix64)."""
+    x = values.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the values from each place in ``first`` up to the next."""
+    total = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)))
+    return total[first[1:]] - total[first[:-1]]

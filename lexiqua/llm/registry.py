@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexiqua.llm import decontaminate, mixing, token_files
+from lexiqua.llm import decontaminate, mixing, quality, token_files
 
-_MODULES = (decontaminate, mixing, token_files)
+_MODULES = (quality, token_files, mixing, decontaminate)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
