@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexiqua.llm import decontaminate, jaccard_join, mixing, quality, token_files
+from lexiqua.llm import decontaminate, jaccard_join, mixing, quality, token_counts, token_files, unit_dedup
 
-_MODULES = (quality, token_files, mixing, decontaminate, jaccard_join)
+_MODULES = (quality, token_files, mixing, decontaminate, token_counts, jaccard_join, unit_dedup)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

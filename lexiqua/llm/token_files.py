@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lexiqua.llm._common import cut, filled, new_path, parts_for, slices, split_words, spread
 
-MANIFEST = "shard string, first_id long, first_hash long, n_docs long, n_ids long, width int"
+MANIFEST = "shard string, first_name string, first_id long, first_hash long, n_docs long, n_ids long, width int"
 DOCS = "shard string, no long, doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Words whose ids a Python worker keeps. Words are kept as they come, which keeps the frequent ones.
 KEPT_WORDS = 400_000
@@ -99,17 +99,20 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, place: tuple[str, str] | None = None) -> DataFrame:
     """Encode whole texts and write the shards; returns the manifest with each shard's base, in order.
 
+    ``place`` names two columns of ``docs``, a string and a number, to order documents by instead of their ids.
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. A null text is empty (its one id is ``end_id``).
     Documents are ordered by doc_id (nulls first), then by a hash of the text and the text, so repeated ids and
     repeated rows keep one order; a hash beside the id also lets a range cut through rows of one id.
     No rows: no shards and an empty manifest.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("_h", F.xxhash64("text"))
-    ranged = docs.repartitionByRange(parts_for(docs), F.asc_nulls_first("doc_id"), "_h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "_h", "text")
+    name, number = (F.col(place[0]).cast("string"), F.col(place[1]).cast("long")) if place else (F.lit(""), F.col("doc_id").cast("long"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), name.alias("_name"), number.alias("_no"), F.xxhash64("text").alias("_h"))
+    keys = [F.asc_nulls_first("_name"), F.asc_nulls_first("_no"), F.asc("_h")]
+    ranged = docs.repartitionByRange(parts_for(docs), *keys[0 if place else 1 :]).sortWithinPartitions(*keys, "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -122,7 +125,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> D
         for batch in slices(batches, "text"):
             if out is None:
                 out = store.open_output_stream(f"{top}/{name}.bin")
-                first = (batch.column("doc_id")[0].as_py(), batch.column("_h")[0].as_py())
+                first = tuple(batch.column(c)[0].as_py() for c in ("_name", "_no", "_h"))
             values, n = own.encode(filled(batch.column("text")), end_id)
             out.write(values.astype(f"<u{width}").tobytes())
             counts.append(n)
@@ -135,12 +138,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> D
             with store.open_output_stream(f"{top}/{name}{end}") as f:
                 f.write(data)
         yield pa.RecordBatch.from_pydict(
-            {"shard": [name], "first_id": pa.array([first[0]], pa.int64()), "first_hash": pa.array([first[1]], pa.int64()), "n_docs": pa.array([len(offsets) - 1], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64()), "width": pa.array([width], pa.int32())}
+            {"shard": [name], "first_name": pa.array([first[0]], pa.string()), "first_id": pa.array([first[1]], pa.int64()), "first_hash": pa.array([first[2]], pa.int64()), "n_docs": pa.array([len(offsets) - 1], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64()), "width": pa.array([width], pa.int32())}
         )
 
     manifest = cut(ranged.mapInArrow(write, MANIFEST), "shards")
     # One row for each shard: a window over all of them, not over documents.
-    order = Window.orderBy(F.asc_nulls_first("first_id"), "first_hash", "shard")
+    order = Window.orderBy(F.asc_nulls_first("first_name"), F.asc_nulls_first("first_id"), "first_hash", "shard")
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
     _delete_orphans(spark, folder, {r[0] for r in manifest.select("shard").toLocalIterator()})
     return cut(based.withColumn("no", F.row_number().over(order)), "manifest")
