@@ -6,8 +6,9 @@ A document's set holds its distinct word shingles. Equal sets are one set from t
   exactly if they share a subset of that size. A subset's sets are chained to its smallest; no check is needed;
 * large sets (heavy) scan inverted lists of the first shingles in a global order. Linked sets share one of their
   first n - ceil(t n) + 1 shingles, whatever the order; it puts rare shingles first (counted over all documents) and
-  frequent ones last, so lists stay short. Lists of up to ``SHORT_LIST`` sets give candidate pairs, which sizes and
-  places thin out and whole sets decide;
+  frequent ones later, so lists stay short. Lists of up to ``SHORT_LIST`` sets give candidate pairs. Sets of n and m that
+  miss at most a and b of their shingles share l of their first a + l and b + l, so pairs must meet in that many
+  lists, and whole sets decide on those that do;
 * sets in longer lists, which have shingles of large groups of near copies, are gathered by the lists that they share and
   compared block by block, with overlaps as matrix products. A block pair gives the links of a spanning forest, never
   all pairs.
@@ -35,8 +36,11 @@ from lexiqua.llm.components import components
 SHORT_LIST = 32
 #: Sets in a block.
 BLOCK = 512
-#: Shingles whose hash is in the lowest tenths of all hashes are counted, to know which are frequent.
-COUNTED = 0.15
+#: Shingles whose hash is in this lowest part of all hashes are counted, to know which are frequent, and up to which part
+#: uncounted ones come next; both for each unit of 1 - t, the part of a set that its prefix is.
+COUNTED, NEXT = 1.4, 1.9
+#: Shingles of a prefix beyond the least: a pair must share one more than these, at least.
+EXTRA = 2
 #: The most frequent shingles that all executors get (8 bytes each). The order may be any; beyond these it knows fewer.
 FREQUENT = 2_000_000
 #: Rows of ids (about 24 bytes each) that may be broadcast; larger tables are joined by a shuffle.
@@ -84,7 +88,12 @@ def partners(n: int, percent: int) -> range:
 
 
 def prefix(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.maximum(n - -(-percent * n // 100) + 1, 0)
+    return np.minimum(n - -(-percent * n // 100) + 1 + EXTRA, n)
+
+
+def _edge(part: float, percent: int) -> int:
+    """The hash below which ``part`` of 1 - t of all hashes are."""
+    return int(part * (100 - percent) / 100 * (1 << 64))
 
 
 def subset_cost(n: int, percent: int) -> int:
@@ -115,9 +124,10 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 def shingled(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id") -> DataFrame:
     """``uid, doc_id, th, n, d1, d2, least``: size, 128-bit digest and the lowest hashes of each document's set, written to the shared folder.
 
-    ``least`` holds the counted hashes and, above them, as many as a prefix can need; all, if the set is small.
+    ``least`` holds the hashes that come first in the global order or after those in order of their hash, and as many as a
+    prefix needs; all, if the set is small.
     """
-    edge = np.uint64(int(COUNTED * (1 << 64)))
+    edge = np.uint64(_edge(NEXT, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -125,7 +135,7 @@ def shingled(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id") -> D
             n = np.array([len(s) for s in sets])
             digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
             more = prefix(n, percent)
-            low = [s if len(s) <= MOST_SMALL * 2 else s[: int(np.searchsorted(s, edge)) + p] for s, p in zip(sets, more.tolist(), strict=True)]
+            low = [s if len(s) <= MOST_SMALL * 2 else s[: max(int(np.searchsorted(s, edge)), p)] for s, p in zip(sets, more.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists(low)], names=["doc_id", "th", "n", "d1", "d2", "least"])
 
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
@@ -171,8 +181,8 @@ def _subsets(sets: DataFrame, most: int, percent: int) -> DataFrame:
 
 
 def _postings(sets: DataFrame, frequent: np.ndarray, least: int, percent: int) -> DataFrame:
-    """``key, uid, n, pos``: the first shingles of each large set in the global order (rare, uncounted, frequent; then by hash)."""
-    edge = np.uint64(int(COUNTED * (1 << 64)))
+    """``key, uid, n``: the first shingles of each large set in the global order (counted and rare, next, frequent, others; each by hash)."""
+    edge, after = np.uint64(_edge(COUNTED, percent)), np.uint64(_edge(NEXT, percent))
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +191,7 @@ def _postings(sets: DataFrame, frequent: np.ndarray, least: int, percent: int) -
             column = batch.column("least")
             ends = column.offsets.to_numpy() - column.offsets[0].as_py()
             flat = column.flatten().to_numpy().view(np.uint64)
-            rank = (flat >= edge).astype(np.int8)
+            rank = (flat >= edge).astype(np.int8) + 2 * (flat >= after).astype(np.int8)
             if len(often):
                 at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
                 rank[(often[at] == flat) & (flat < edge)] = 2
@@ -193,7 +203,7 @@ def _postings(sets: DataFrame, frequent: np.ndarray, least: int, percent: int) -
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("n"), _lists(out)], names=["uid", "n", "keys"])
 
     found = sets.filter(F.col("n") >= least).select("uid", "n", "least").mapInArrow(run, "uid long, n int, keys array<long>")
-    return found.select("uid", "n", F.posexplode("keys").alias("pos", "key"))
+    return found.select("uid", "n", F.explode("keys").alias("key"))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str) -> DataFrame:
@@ -288,7 +298,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     sets = full.join(_sent(cut(extra, "copies")), "uid", "left_anti")
     sizes = {r[0]: r[1] for r in sets.filter(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
     most = boundary(sizes, percent)
-    edge = int(COUNTED * (1 << 64))
+    edge = _edge(COUNTED, percent)
     lowest = F.explode(F.filter("least", lambda x: (x >= 0) & (x < edge))).alias("key")
     counts = full.filter(F.col("n") > most).select(lowest).groupBy("key").count().filter(F.col("count") > SHORT_LIST)
     counts = cut(counts, "counts")
@@ -297,13 +307,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     postings = _postings(sets, frequent, -(-percent * (most + 1) // 100), percent)
     lists = postings.groupBy("key").agg(F.count("*").alias("c"), F.min("uid").alias("first")).filter("c > 1")
     listed = cut(postings.join(lists, "key"), "lists")
-    short = listed.filter(F.col("c") <= SHORT_LIST).select("key", "uid", "n", "pos")
+    short = listed.filter(F.col("c") <= SHORT_LIST).select("key", "uid", "n")
     a, b = short.alias("a"), short.alias("b")
     low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    can = 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.uid") < F.col("b.uid")))
-    pairs = pairs.filter((100 * low >= percent * high) & (high > most) & ((100 + percent) * can >= percent * (low + high)))
-    pairs = cut(pairs.select(F.col("a.uid").alias("x"), F.col("b.uid").alias("y")).distinct(), "pairs")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.uid") < F.col("b.uid"))).filter((100 * low >= percent * high) & (high > most))
+    met = met.groupBy(F.col("a.uid").alias("x"), F.col("b.uid").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).agg(F.count("*").alias("met"))
+    # A pair that also meets in a long list is compared there.
+    first = lambda n: f"least({n} - cast(ceil({percent} * {n} / 100D) AS int) + {1 + EXTRA}, {n})"
+    share = f"cast(ceil({percent} * (nx + ny) / {100 + percent}D) AS int)"
+    pairs = cut(met.filter(f"met >= least({first('nx')} - (nx - {share}), {first('ny')} - (ny - {share}))").select("x", "y"), "pairs")
     groups = components(listed.filter(F.col("c") > SHORT_LIST).select(F.col("uid").alias("u"), F.col("first").alias("v")))
     groups = cut(groups.union(groups.select(F.col("label").alias("id"), "label").distinct()), "groups")
     wanted = pairs.select(F.col("x").alias("uid")).union(pairs.select(F.col("y").alias("uid"))).union(groups.select(F.col("id").alias("uid"))).distinct()
