@@ -28,6 +28,10 @@ def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def _trimmed(c: Column) -> Column:
+    return F.trim(c)
+
+
 def normalize(c: Column) -> Column:
     """Lower case, and only ``[a-z0-9]`` of it."""
     return F.regexp_replace(F.lower(blank(c)), "[^a-z0-9]", "")
@@ -117,7 +121,7 @@ def end_sentence(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Each line's sentences, trimmed, ended and capitalised."""
     parts = F.split(F.regexp_replace(blank(c), r"([.!?])\s+", "$1\u0001"), "[\u0001\n]")
-    kept = F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    kept = F.filter(F.transform(parts, _trimmed), lambda s: s != "")
     return F.transform(kept, lambda s: capitalize_first(end_sentence(s)))
 
 
@@ -132,12 +136,12 @@ def truncated(c: Column, most: int) -> Column:
 
 def sentences_with_any(c: Column, terms: list[str], most: int) -> Column:
     """The first distinct sentences that hold a term, each cut at 400 characters."""
-    held = F.filter(F.filter(F.transform(F.split(F.regexp_replace(blank(c), r"([.!?])\s+", "$1\u0001"), "[\u0001\n]"), F.trim), lambda s: s != ""), lambda s: F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower(s), t)))
+    held = F.filter(F.filter(F.transform(F.split(F.regexp_replace(blank(c), r"([.!?])\s+", "$1\u0001"), "[\u0001\n]"), _trimmed), lambda s: s != ""), lambda s: F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower(s), t)))
     return F.slice(F.array_distinct(F.transform(held, lambda s: truncated(s, 400))), 1, most)
 
 
 def first_chunk_containing(c: Column, term: str) -> Column:
-    held = F.filter(F.transform(F.split(blank(c), "[\n.]"), F.trim), lambda s: F.contains(F.lower(s), F.lit(term.lower())))
+    held = F.filter(F.transform(F.split(blank(c), "[\n.]"), _trimmed), lambda s: F.contains(F.lower(s), F.lit(term.lower())))
     return truncated(F.get(held, F.lit(0)), 240)
 
 

@@ -21,7 +21,12 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, least: float = 20.0
         raise ValueError("pairs of 0 percent aren't joined")
     rows = df.select(F.col(id_col).alias("id"), sets.profile(F.col(text_col)).alias("p"))
     kinds = ("nouns", "predicates", "participles", "connectives")
-    meets = F.concat(*(F.when(F.size(F.col("p")[k]) == 0, F.array(F.lit(f"{k}:"))).otherwise(F.transform(F.col("p")[k], lambda w, k=k: F.concat(F.lit(f"{k}:"), w))) for k in kinds))
+
+    def marked(kind: str) -> Column:
+        own = F.col("p")[kind]
+        return F.when(F.size(own) == 0, F.array(F.lit(f"{kind}:"))).otherwise(F.transform(own, lambda w: F.concat(F.lit(f"{kind}:"), w)))
+
+    meets = F.concat(*map(marked, kinds))
     keyed = rows.select("id", F.explode(meets).alias("k"))
     pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     scored = pairs.join(rows.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(rows.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")

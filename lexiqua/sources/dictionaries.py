@@ -50,8 +50,13 @@ def knowledge(entries: DataFrame) -> DataFrame:
 
 def relations(entries: DataFrame) -> DataFrame:
     """``term, kind, value`` of the relations that entries state."""
-    value = lambda k: F.coalesce(F.try_variant_get("raw", f"$['{k}']", "array<string>"), F.array(F.try_variant_get("raw", f"$['{k}']", "string")))
-    all_kinds = F.flatten(F.array(*(F.transform(F.filter(value(k), lambda x: x.isNotNull()), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("value"))) for k in RELATIONS)))
+
+    def stated(kind: str):
+        at = f"$['{kind}']"
+        values = F.coalesce(F.try_variant_get("raw", at, "array<string>"), F.array(F.try_variant_get("raw", at, "string")))
+        return F.transform(F.filter(values, lambda x: x.isNotNull()), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+
+    all_kinds = F.flatten(F.array(*map(stated, RELATIONS)))
     return entries.filter(F.schema_of_variant("raw").startswith("OBJECT")).select(F.col("key").alias("term"), F.explode(all_kinds).alias("r")).select("term", "r.kind", "r.value")
 
 
