@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiqua.functions import dates, formulas, fuzzy, mathexpr, sets, text
+from lexiqua.functions import dates, formulas, fuzzy, mathexpr, prompts, sets, text
 from lexiqua.operators import intervals, lookup, match, relations
 from lexiqua.plans import sessions
 from lexiqua.streaming import conversation
@@ -185,6 +185,85 @@ def str40_truncated(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.truncated(F.col("text"), 240).alias("short"))
 
 
+# Prompts
+
+_PLAIN = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+
+
+@query(rf"SELECT doc_id, md5(regexp_replace({_PLAIN}, '(?i)(?:(?:^| )[^ ]*(?:{'|'.join(prompts.PARTICIPLE_ENDS)})[.,;:]*)+$', '')) AS stripped_md5 FROM documents")
+def str19_participles(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(prompts.without_trailing_participles(F.col("text"))).alias("stripped_md5"))
+
+
+_MARKED = "p_name || ', ' || CASE p_partkey % 4 WHEN 0 THEN 'red (e.g. this)' WHEN 1 THEN 'blue; such as that' WHEN 2 THEN 'for example x e.g. y' ELSE 'plain' END"
+_CUTS = "list_min(list_filter([" + ", ".join(f"instr(t, '{m}')" for m in prompts.EXAMPLE_MARKERS) + "], lambda i: i > 0))"
+
+
+@query(rf"WITH m AS (SELECT p_partkey, {_MARKED} AS t FROM part) SELECT p_partkey, CASE WHEN {_CUTS} IS NULL THEN t ELSE regexp_replace(substring(t, 1, {_CUTS} - 1), '^[ ,;:()]+|[ ,;:()]+$', '', 'g') END AS cut FROM m")
+def str20_examples(spark, sf_dir):
+    ends = F.array(*map(F.lit, ("red (e.g. this)", "blue; such as that", "for example x e.g. y", "plain")))
+    marked = F.concat(F.col("p_name"), F.lit(", "), F.element_at(ends, (F.col("p_partkey") % 4 + 1).cast("int")))
+    return _t(spark, sf_dir, "part").select("p_partkey", prompts.without_examples(marked).alias("cut"))
+
+
+@query("SELECT p_partkey, p_name AS key, CASE WHEN p_partkey % 2 = 0 THEN p_name || ',' || lower(p_type) ELSE p_name END AS terms FROM part")
+def str23_24_questions(spark, sf_dir):
+    even = F.col("p_partkey") % 2 == 0
+    asked = F.when(even, F.concat(F.lit("What is the difference between the "), F.col("p_name"), F.lit(" and "), F.col("p_type"), F.lit("?"))).otherwise(F.concat(F.lit("Define a "), F.col("p_name"), F.lit("?")))
+    key = F.concat(F.when(even, "What is a ").otherwise("What does the "), F.col("p_name"), F.when(even, "?").otherwise(" mean?"))
+    return _t(spark, sf_dir, "part").select("p_partkey", prompts.master_key(key).alias("key"), F.array_join(prompts.asked_terms(asked), ",").alias("terms"))
+
+
+_PHRASED = ["ratio of {a} to {b}", "{a} to {b}", "compare {a} to {b}", "{a} divided by {b}", "{a} times {b}", "half of {b}", "square root of {a}", "{a} increased by {b}", "{a} = {b}", "nothing"]
+_PHRASE_SQL = ["expr:({a})/({b})", "range:{a}..{b}", "compare:{a}..{b}", "expr:({a})/({b})", "expr:({a})*({b})", "expr:(1/2)*({b})", "expr:({a})**0.5", "expr:({a}) + ({b})", "equation:{a} = {b}", "none:"]
+
+
+def _filled(forms: list[str], kind: str) -> str:
+    a, b = (f"' || CAST({c} AS {kind}) || '" for c in ("p_partkey", "p_size"))
+    return "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN '" + f.replace("{a}", a).replace("{b}", b) + "'" for i, f in enumerate(forms)) + " END"
+
+
+@query(f"SELECT p_partkey, {_filled(_PHRASE_SQL, 'VARCHAR')} AS meaning FROM part")
+def str30_31_phrases(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").withColumn("said", F.expr(_filled(_PHRASED, "STRING"))).withColumn("p", prompts.phrase(F.col("said")))
+    return p.select("p_partkey", F.concat(F.col("p.kind"), F.lit(":"), F.coalesce("p.expr", F.lit(""))).alias("meaning"))
+
+
+_KEYWORDS = " OR ".join(f"contains(lower(text), '{k}')" for k in prompts.MATH_KEYWORDS)
+
+
+@query(f"SELECT doc_id, regexp_matches(coalesce(text, ''), '[0-9]') AND (regexp_matches(text, '[-+*/=^]') OR {_KEYWORDS}) AS is_math FROM documents")
+def str32_is_math(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", prompts.is_math(F.col("text")).alias("is_math"))
+
+
+@query("SELECT p_partkey, p_name AS old, p_type AS new, p_partkey % 2 = 0 AS apply, CASE WHEN p_partkey % 2 = 0 THEN regexp_extract(p_brand, '[0-9]+') END AS layer FROM part")
+def str38_patch_intent(spark, sf_dir):
+    layer = F.concat(F.lit("' in layer "), F.regexp_extract("p_brand", "[0-9]+", 0), F.lit(" and apply"))
+    said = F.concat(F.lit("replace '"), F.col("p_name"), F.lit("' with '"), F.col("p_type"), F.when(F.col("p_partkey") % 2 == 0, layer).otherwise(F.lit("'")))
+    i = prompts.patch_intent(said)
+    return _t(spark, sf_dir, "part").select("p_partkey", i["old"].alias("old"), i["new"].alias("new"), i["apply"].alias("apply"), i["layer"].alias("layer"))
+
+
+_CUE_SQL = " + ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{c}') THEN 2 ELSE 0 END" for c in prompts.CUES)
+
+
+@query(
+    rf"""WITH s AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[.!?]\s*$') THEN CAST(1 AS DOUBLE) ELSE 0 END + least(len({_words('text')}) / CAST(20 AS DOUBLE), 2) + {_CUE_SQL} + len(list_intersect({_words('text')}, ['la', 'the', 'une'])) * CAST(1.5 AS DOUBLE) AS score FROM conversations)
+SELECT conv_id, turn, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) <= 2"""
+)
+def win9_best_fragments(spark, sf_dir):
+    scored = _t(spark, sf_dir, "conversations").withColumn("score", prompts.fragment_score(F.col("text"), ["la", "the", "une"]))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn"))
+    return scored.withColumn("rank", rank).filter("rank <= 2").select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_type = 'ECONOMY' THEN 10 ELSE 0 END + least(length(p_name || ' ' || p_type) // 50, 2) + CASE WHEN contains(lower(p_name), 'red') OR contains(lower(p_name), 'gear') THEN 2 ELSE 0 END + 3 - p_size % 3 AS BIGINT) AS score FROM part")
+def win8_source_score(spark, sf_dir):
+    s = prompts.source_score(F.concat_ws(" ", "p_name", "p_type"), "red gear", F.col("p_type") == "ECONOMY", F.col("p_size") % 3, 3)
+    return _t(spark, sf_dir, "part").select("p_partkey", s.cast("long").alias("score"))
+
+
 # Matching and ranking
 
 _PROMPT = "red widget, which shines; economy brand and bolt = small gear"
