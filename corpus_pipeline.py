@@ -2,36 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiqua.llm import decontaminate, jaccard_join, mixing, quality, token_files
-from lexiqua.llm._common import new_path
+from lexiqua.llm._common import delete, new_path, scratch
 
 #: Near duplicates share 80 % of their five-word shingles.
 WORDS, PERCENT = 5, 80
 
 
+_before: list[str] = []
+
+
+def _stage(first: bool = False) -> Callable:
+    """A stage that deletes the scratch of the one before, whose rows are written by then."""
+
+    def around(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+        @wraps(f)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            if not first:
+                delete(spark, _before)
+            _before.clear()
+            with scratch() as made:
+                out = f(spark, docs, sf_dir)
+            _before.extend(made)
+            return out
+
+        return run
+
+    return around
+
+
+@_stage(first=True)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without lines above their host's limit."""
     return quality.cleaned(docs)
 
 
+@_stage()
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates."""
     return jaccard_join.one_of_each(docs, WORDS, PERCENT)
 
 
+@_stage()
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage()
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, once for each epoch of their source."""
     return mixing.mixed_documents(docs)
 
 
+@_stage()
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix in its order, which is that of the rows in its files; a row for each document in them, read back."""
     folder = new_path(spark, "tokens")
