@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker holds as one array; longer Arrow batches are cut into slices of whole documents.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+#: The C library's call that returns freed memory, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +87,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             high = max(int(np.searchsorted(size, before + most, side="right")), low + 1)
             yield batch.slice(low, high - low)
             low = high
+            _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the machine; a worker lives on through tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def filled(column: pa.Array) -> pa.Array:
