@@ -39,8 +39,8 @@ def _stage(first: bool = False) -> Callable:
 
 @_stage(first=True)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without lines above their host's limit."""
-    return quality.cleaned(docs)
+    """Documents that the rules keep, without lines above their host's limit; only copies of all lines count as one document."""
+    return quality.cleaned(docs, copies="all lines")
 
 
 @_stage()

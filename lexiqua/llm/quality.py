@@ -3,7 +3,7 @@
 A worker counts each whole text's base figures and hashes its normalised lines (ASCII lower case, digits as 0, ASCII
 punctuation dropped, white space as one space). Lines then count the distinct documents of their host that hold
 them; a document is known by its longest line there, so copies and near copies of one text are one document and don't
-make its own lines look like boilerplate. Lines above the host's limit are removed, and a document is rejected as
+make its own lines look like boilerplate, or, with ``copies="all lines"``, by all its lines. Lines above the host's limit are removed, and a document is rejected as
 depleted if too few of its words stay.
 """
 
@@ -31,6 +31,8 @@ _IS_SYMBOL = bytes(int(b in SYMBOLS) for b in range(256))
 _FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD))
 LINES = "array<struct<no:int,hash:long,words:int>>"
 FIGURES = f"n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, known_by long, lines {LINES}"
+#: What documents have alike if they count as one for a line's frequency.
+COPIES = {"longest line": "known_by", "all lines": "xxhash64(array_sort(array_distinct(lines.hash)))"}
 #: The largest table of verdicts, in rows, that is sent to all executors (about 64 bytes a row).
 BROADCAST_ROWS = 1_000_000
 
@@ -102,10 +104,11 @@ def measure(docs: DataFrame) -> DataFrame:
     return cut(known.mapInArrow(_measured, f"doc_id long, host string, _hash long, {FIGURES}"), "figures")
 
 
-def frequent_lines(figures_: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE) -> DataFrame:
-    """``host, hash, n_docs`` of the lines above their host's limit."""
-    lines = figures_.select("host", "known_by", F.explode("lines.hash").alias("hash"))
-    hosts = figures_.select("host", "known_by").distinct().groupBy("host").agg(F.count("*").alias("_all")).withColumnRenamed("host", "_host")
+def frequent_lines(figures_: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, copies: str = "longest line") -> DataFrame:
+    """``host, hash, n_docs`` of the lines above their host's limit; ``copies``, of ``COPIES``, says which documents are one."""
+    known = figures_.select("host", F.expr(COPIES[copies]).alias("_doc"), "lines")
+    lines = known.select("host", "_doc", F.explode("lines.hash").alias("hash"))
+    hosts = known.select("host", "_doc").distinct().groupBy("host").agg(F.count("*").alias("_all")).withColumnRenamed("host", "_host")
     counts = lines.distinct().groupBy("host", "hash").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limit_docs)
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n_docs") > F.col("_all") * limit_share).select("host", "hash", "n_docs")
 

@@ -3,6 +3,7 @@ import re
 import string
 from collections import Counter, defaultdict
 
+import corpus_pipeline as p
 from lexiqua.llm import quality as q
 
 SCHEMA = "doc_id long, text string, source string, n_chars long, lines int, hash string"
@@ -89,3 +90,16 @@ def test_cleaned_keeps_columns_and_other_lines(spark):
 
 def test_no_rows(spark):
     assert run(spark, []) == [] and q.cleaned(frame(spark, [])).count() == 0
+
+
+def test_a_notice_that_is_the_longest_line_is_counted_in_each_document(spark):
+    """The pipeline's count: equal line sets are one document, a shared longest line is not enough."""
+    notice = "by reading this page you agree to all of our terms and to the notice below"
+    rows = [(i, f"{notice}\n{a}{b} has a story of its own told in ten words", "a") for i, (a, b) in enumerate((a, b) for a in "uvwxyz" for b in "abcde")]
+    copies = [(100 + i, f"one text of two lines and more than ten words {'!' * i}\nits second line", "b") for i in range(30)]
+    docs = frame(spark, rows + copies)
+    assert not any(r.removed_lines for r in q.judge(docs).collect())
+    got = {r.doc_id: r for r in q.judge(docs, copies="all lines").collect()}
+    assert all(got[r[0]].removed_lines == [0] for r in rows) and not any(got[r[0]].removed_lines for r in copies)
+    out = {r.doc_id: r.text for r in p.quality_rules(spark, docs, "").collect()}
+    assert out == {d: t.split("\n")[1] for d, t, _ in rows} | {d: t for d, t, _ in copies}
