@@ -25,8 +25,6 @@ from lexiqua.llm.url_filter import host_of, path_of
 TEXT = "page_id long, url string, text string, n_chars long, n_shared long"
 #: Pages in a range, at least: at the edge of a range a page has one neighbour less.
 LEAST_PAGES = 200
-#: Pages that share this part of their undecided lines with their pair, or more, are copies of it, which tell nothing.
-COPY = 0.8
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?:/?[a-zA-Z]|[!?/])[^<>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
@@ -181,42 +179,69 @@ def _prefix(a: str, b: str) -> int:
 def main_text(lines: list[tuple[int, str]], pair: list[tuple[int, str]] | None) -> tuple[str, int]:
     """A page's main text, given the lines of its pair, and how many of its lines both have."""
     shared = [False] * len(lines) if pair is None else common([t for _, t in lines], [t for _, t in pair])
-    open_ = [s for (state, _), s in zip(lines, shared, strict=True) if state == UNDECIDED]
-    copy = sum(open_) >= COPY * len(open_)
     article = any(state == IN_ARTICLE for state, _ in lines)
-    kept = [t for (state, t), s in zip(lines, shared, strict=True) if state == IN_ARTICLE or state == UNDECIDED and not article and (copy or not s)]
+    kept = [t for (state, t), s in zip(lines, shared, strict=True) if state == IN_ARTICLE or state == UNDECIDED and not article and not s]
     return "\n\n".join(kept), sum(shared)
 
 
+def _told(lines: list[tuple[int, str]]) -> list[str] | None:
+    """The undecided lines, if differencing decides on them: two neighbours with the same ones are copies."""
+    return None if any(state == IN_ARTICLE for state, _ in lines) else [t for state, t in lines if state == UNDECIDED]
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pages to texts; three pages are in hand at a time."""
+    """Sorted pages to texts; in hand are a run of copies, whose equal lines are held once, and the page on either side."""
 
-    def pages() -> Iterator[tuple]:
+    def runs() -> Iterator[tuple[str | None, list[tuple]]]:
+        run: list[tuple] = []
+        host = told = None
         for batch in batches:
-            for page_id, url, host, path, html in zip(*(batch.column(c) for c in ("page_id", "url", "host", "path", "html")), strict=True):
-                yield page_id.as_py(), url.as_py(), host.as_py(), path.as_py(), lines_of(html.as_py() or "")
-        yield None
+            for page_id, url, at, path, html in zip(*(batch.column(c) for c in ("page_id", "url", "host", "path", "html")), strict=True):
+                lines, of = lines_of(html.as_py() or ""), at.as_py()
+                page = (page_id.as_py(), url.as_py(), path.as_py())
+                same = run and of == host and told and told == _told(lines)
+                if run and not same:
+                    yield host, run
+                if same:
+                    run.append((*page, run[-1][3] if lines == run[-1][3] else lines))
+                else:
+                    run, host, told = [(*page, lines)], of, _told(lines)
+        if run:
+            yield host, run
+        yield None, []
 
     done: list[tuple] = []
     size = 0
-    before = now = None
-    for after in pages():
-        if now is not None:
-            near = [x for x in (before, after) if x is not None and x[2] == now[2]]
-            pair = max(near, key=lambda x: _prefix(x[3], now[3]))[4] if near else None
-            done.append((now[0], now[1], *main_text(now[4], pair)))
-            size += len(done[-1][2])
+    before = now = (None, [])
+    for after in runs():
+        run = now[1]
+        sides = (before[1][-1:] if before[0] == now[0] else []) + (after[1][:1] if after[0] == now[0] else [])
+        for i, (page_id, url, path, lines) in enumerate(run):
+            if sides:
+                text, n_shared = main_text(lines, max(sides, key=lambda x: _prefix(x[2], path))[3])
+            else:  # copies of one text and nothing else: it stays
+                text, n_shared = main_text(lines, None)
+                if len(run) > 1:
+                    n_shared = main_text(lines, run[i - 1 if i else 1][3])[1]
+            done.append((page_id, url, text, n_shared))
+            size += len(text)
+            if size > 4 << 20:
+                yield _rows(done)
+                done, size = [], 0
         before, now = now, after
-        if size > 4 << 20 or after is None:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.string()), pa.array([x[2] for x in done], pa.string()), pa.array([len(x[2]) for x in done], pa.int64()), pa.array([x[3] for x in done], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared"])
-            done, size = [], 0
+    yield _rows(done)
+
+
+def _rows(done: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.string()), pa.array([x[2] for x in done], pa.string()), pa.array([len(x[2]) for x in done], pa.int64()), pa.array([x[3] for x in done], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row for each page: ``page_id, url, text, n_chars, n_shared`` (lines that its pair has, too).
 
     ``pages`` needs these columns and ``html``. Null html is empty, a null or odd url has an empty host and path. Repeated rows give
-    a row each; a page whose undecided lines are nearly all those of its pair counts as a copy, which keeps them. At the edge
+    a row each; neighbours whose undecided lines are all equal are copies, which pair with the next URL that differs, and keep
+    these lines if their host has no other in the range. At the edge
     of a range a page pairs with its other neighbour. The html is shuffled once; a hot host is as many ranges as it fills.
     """
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of("url").alias("host"), path_of("url").alias("path"), "html")

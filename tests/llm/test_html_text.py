@@ -38,6 +38,12 @@ def test_copies_keep_their_text(spark):
     assert texts(spark, []) == {}
 
 
+def test_a_large_template_goes_and_copies_pair_with_the_next_that_differs(spark):
+    page = lambda *own: "".join(f"<div>Menu {i}</div>" for i in range(20)) + "".join(f"<div>{x}</div>" for x in own)
+    rows = [(1, "http://a/1", page("w", "x", "y", "z")), (2, "http://a/2", page("one")), (3, "http://a/3", page("one")), (4, "http://a/4", page("one")), (5, "http://b/1", page("p")), (6, "http://b/2", page("p")), (7, "http://b/3", page("q"))]
+    assert texts(spark, rows) == {1: "w\n\nx\n\ny\n\nz", 2: "one", 3: "one", 4: "one", 5: "p", 6: "p", 7: "q"}
+
+
 def test_words_within_a_line_go_alone():
     assert h.main_text(h.lines_of('<article><p>a <span class="ad">x <div>y</div></span> b</p><p>c<span hidden>d'), None) == ("a b\n\nc", 0)
 
