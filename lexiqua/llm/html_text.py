@@ -30,7 +30,9 @@ _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(
 _TOKEN = re.compile(r"[A-Za-z]+")
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object audio video canvas select button".split())
+#: What holds raw text up to its end tag, or to the end of the page; and other elements whose words don't count.
+RAW = frozenset("script style textarea title xmp".split())
+NO_WORDS = frozenset("noscript iframe noembed noframes template svg object audio video canvas select button".split())
 NEVER_TEXT = frozenset("nav footer aside form head menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id values. Of a container that may hold the article itself ("no-sidebar", "has-ads") only whole values count.
@@ -95,7 +97,9 @@ def lines_of(html: str) -> list[tuple[int, str]]:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if state != SKIPPED and stack[i][1] != state:
+                    if state == SKIPPED and stack[i][1] != SKIPPED and i < len(stack) - 1:  # ended by its parent, whose line ends
+                        state = next((x for _, x in reversed(stack[i + 1 :]) if x != SKIPPED), SKIPPED)
+                    if state != SKIPPED and (block or stack[i][1] != state):
                         flush()
                     state = stack[i][1]
                     del stack[i:]
@@ -119,7 +123,11 @@ def lines_of(html: str) -> list[tuple[int, str]]:
                         break
                     if stack[i][0] in FENCE:
                         break
-        if name in VOID:
+        if name in VOID or name in NO_WORDS and m[3].endswith("/"):
+            continue
+        if name in NO_WORDS:
+            stack.append((name, state))
+            state = SKIPPED
             continue
         says = _verdict(name, m[3], state == IN_ARTICLE)
         if block or says:

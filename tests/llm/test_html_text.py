@@ -48,6 +48,15 @@ def test_words_within_a_line_go_alone():
     assert h.main_text(h.lines_of('<article><p>a <span class="ad">x <div>y</div></span> b</p><p>c<span hidden>d'), None) == ("a b\n\nc", 0)
 
 
+def test_elements_without_words_end_with_their_parent():
+    text = lambda x: h.main_text(h.lines_of(x), None)[0]
+    for name in h.NO_WORDS:
+        assert text(f"<article><div>a <{name}>x <b>y</div>b <p>c</article>") == "a\n\nb\n\nc"
+        assert text(f"<article>a <{name}>x <p>y</p> z</{name}>b <{name}/>c</article>") == "a b c"
+    assert text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</article>") == "so x=1 holds"
+    assert text("<article>a<script>b</div>c</article>") == "a"
+
+
 def test_subsequence_is_longest():
     rng = random.Random(6)
     for _ in range(400):
