@@ -3,6 +3,8 @@
 A worker cuts each whole text into units, normalises them (ASCII lower case, white space as one space) and hashes them to
 128 bits; units of fewer than ``least_words`` words are no passages and stay. Digests are grouped over all documents; the
 occurrence first in rank (document id, then place) stays and the rest are removed, with their offsets in the original text.
+The unit ``passage`` is for text in short lines: the fewest lines from each line on, and up to each line, that have
+``least_words`` together (a line of so many words is one alone), so each run of repeated lines of that many words goes whole.
 """
 
 from __future__ import annotations
@@ -21,10 +23,24 @@ from lexiqua.llm._common import cut, filled, slices, split_words
 #: Words of the shortest unit that counts as a passage.
 LEAST_WORDS = 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BREAKS = {"line": "\n", "paragraph": "\n\n"}
+BREAKS = {"line": "\n", "paragraph": "\n\n", "passage": "\n"}
 SPANS = "array<struct<start:long,end:long>>"
 
 
+def _passages(n_words: np.ndarray, of: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last line of each passage, given the words of each line, none without any, and its text."""
+    total = np.concatenate(([0], np.cumsum(n_words)))
+    number = np.arange(len(n_words))
+    forth = np.searchsorted(total[1:], total[:-1] + least_words)
+    back = np.searchsorted(total[:-1], total[1:] - least_words, side="right") - 1
+    first, last = np.concatenate((number, back)), np.concatenate((forth, number))
+    inside = (first >= 0) & (last < len(n_words))
+    first, last = first[inside], last[inside]
+    inside = of[first] == of[last]
+    both = np.unique(np.stack((first[inside], last[inside])), axis=1)
+    return both[0], both[1]
+
+
 def units(docs: DataFrame, least_words: int = LEAST_WORDS, unit: str = "line") -> DataFrame:
     """``doc_id, th, uid, no, start, end, n_words, d1, d2`` of each unit of enough words; offsets are code points of the text. Written to the shared folder."""
     gap = len(BREAKS[unit])
@@ -41,11 +57,19 @@ def units(docs: DataFrame, least_words: int = LEAST_WORDS, unit: str = "line") -
             end = stop - gap - base[of]
             _, _, first = split_words(part)
             n_words = np.diff(first)
-            at = np.flatnonzero(n_words >= least_words)
-            digests = np.array([divmod(xxhash.xxh3_128_intdigest(b" ".join(x.translate(_LOWER).split())), 1 << 64) for x in part.take(pa.array(at)).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, 2)
+            if unit == "passage":
+                full = np.flatnonzero(n_words)
+                low, high = _passages(n_words[full], of[full], least_words)
+                at, last = full[low], full[high]
+                normal = [b" ".join(x.translate(_LOWER).split()) for x in part.take(pa.array(full)).cast(pa.binary()).to_pylist()]
+                keys = (b" ".join(normal[i : j + 1]) for i, j in zip(low, high, strict=True))
+            else:
+                at = last = np.flatnonzero(n_words >= least_words)
+                keys = (b" ".join(x.translate(_LOWER).split()) for x in part.take(pa.array(at)).cast(pa.binary()).to_pylist())
+            digests = np.array([divmod(xxhash.xxh3_128_intdigest(x), 1 << 64) for x in keys], np.uint64).reshape(-1, 2)
             rows = pa.array(of[at])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("th").take(rows), batch.column("uid").take(rows), pa.array(at - ends[of[at]], pa.int64()), pa.array((end - length)[at]), pa.array(end[at]), pa.array(n_words[at], pa.int64()), *(pa.array(np.ascontiguousarray(digests[:, i]).view(np.int64)) for i in (0, 1))],
+                [batch.column("doc_id").take(rows), batch.column("th").take(rows), batch.column("uid").take(rows), pa.array(at - ends[of[at]], pa.int64()), pa.array((end - length)[at]), pa.array(end[last]), pa.array(first[last + 1] - first[at], pa.int64()), *(pa.array(np.ascontiguousarray(digests[:, i]).view(np.int64)) for i in (0, 1))],
                 names=["doc_id", "th", "uid", "no", "start", "end", "n_words", "d1", "d2"],
             )
 
@@ -57,12 +81,13 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, unit: str = "line")
     """One row for each unit to remove: ``doc_id, th, uid, unit_no, start, end, n_words, first_doc_id, first_start``.
 
     ``docs`` needs ``doc_id`` and ``text``. Null ids rank last; of repeated rows the first keeps its units (``uid`` tells them
-    apart). Units repeated inside one text are removed alike. Null and empty texts have no units. No rows: no rows.
+    apart). Units repeated inside one text are removed alike, save passages that overlap their first occurrence; passages to
+    remove may overlap each other. Null and empty texts have no units. No rows: no rows.
     """
     every = units(docs, least_words, unit)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start"), F.col("uid"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start"), F.col("uid"), F.col("end"))
     first = every.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(rank).alias("first")).filter("c > 1").drop("c")
-    found = every.join(first, ["d1", "d2"]).filter(~((F.col("uid") == F.col("first.uid")) & (F.col("start") == F.col("first.start"))))
+    found = every.join(first, ["d1", "d2"]).filter(~((F.col("uid") == F.col("first.uid")) & (F.col("start") < F.col("first.end") if unit == "passage" else F.col("start") == F.col("first.start"))))
     return found.select("doc_id", "th", "uid", F.col("no").alias("unit_no"), "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
@@ -85,12 +110,17 @@ def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, unit: str = "l
     return joined.select(*(text.alias(c) if c == "text" else F.col(f"_row.{c}") for c in docs.columns), F.coalesce("removed", F.array().cast(SPANS)).alias("removed"))
 
 
+def op10_wrapped_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return repeats(docs, unit="passage").select("doc_id", "unit_no", "start", "end", "n_words", "first_doc_id", "first_start")
+
+
 def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeats(docs).select("doc_id", "unit_no", "start", "end", "n_words", "first_doc_id", "first_start")
 
 
-QUERIES = {"op10_unit_dedup": op10_unit_dedup}
+QUERIES = {"op10_unit_dedup": op10_unit_dedup, "op10_wrapped_passages": op10_wrapped_passages}
 ORACLES = {
     "op10_unit_dedup": rf"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),

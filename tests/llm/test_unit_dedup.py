@@ -64,5 +64,41 @@ def test_paragraphs(spark):
     assert got == [(2, 3, 11), (3, 0, 7)]
 
 
+def test_wrapped_passages_against_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice(["Ab", "é", "CD", "x"]) + str(rng.randrange(9))
+    line = lambda: " ".join(word() for _ in range(rng.randint(1, 12)))
+    shared = [[line() for _ in range(rng.randint(3, 9))] for _ in range(6)]
+    rows = []
+    for i in range(30):
+        lines = [line() for _ in range(rng.randint(0, 3))] + rng.choice(shared) + [""] * (i % 2) + [line() for _ in range(rng.randint(0, 3))] + rng.choice(shared)[i % 3 :]
+        rows.append((i, "\n".join(lines)))
+    rows += [(40, None), (41, ""), (42, "\n".join(["a"] * 50)), (43, " ".join(["b"] * 25)), (44, "c\n" + " ".join(["B"] * 25))]
+    least = 20
+    seen, want, kept = {}, set(), {}
+    for doc_id, text in rows:  # each run of lines of enough words that has none of so many within it
+        lines, at, gone = (text or "").split("\n"), 0, set()
+        starts = [at := 0] + [at := at + len(x) + 1 for x in lines]
+        n = [len(normal(x).split()) for x in lines]
+        full = [k for k, x in enumerate(n) if x]
+        for p, a in enumerate(full):
+            for b in full[p:]:
+                size = sum(n[a : b + 1])
+                if size >= least and (size - n[b] < least or size - n[a] < least):
+                    key, here = " ".join(normal(x) for x in lines[a : b + 1] if normal(x)), (doc_id, starts[a])
+                    end = starts[b] + len(lines[b])
+                    first = seen.setdefault(key, (*here, end))
+                    if first[:2] != here and (first[0] != doc_id or starts[a] >= first[2]):
+                        want.add((doc_id, a, starts[a], end, size, *first[:2]))
+                        gone |= set(range(a, b + 1))
+        kept[doc_id] = [x for k, x in enumerate(lines) if k not in gone and x.strip()]
+    docs = frame(spark, rows)
+    got = [tuple(r) for r in u.repeats(docs, least, "passage").select("doc_id", "unit_no", "start", "end", "n_words", "first_doc_id", "first_start").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {r.doc_id: [x for x in (r.text or "").split("\n") if x.strip()] for r in u.deduplicated(docs, least, "passage").collect()} == kept
+    assert len(kept[42]) == 20 and kept[44] == ["c"] and u.repeats(docs, least).count() == 1
+
+
 def test_no_rows(spark):
+    assert u.repeats(frame(spark, []), unit="passage").count() == 0
     assert u.repeats(frame(spark, [])).count() == 0 and u.deduplicated(frame(spark, [])).count() == 0
