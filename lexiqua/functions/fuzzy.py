@@ -19,11 +19,16 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def nearest(left: DataFrame, left_col: str, words: DataFrame, word_col: str, least: float = 0.8) -> DataFrame:
     """``left`` with the most similar word and its ratio, where that is ``least`` or more; ties take the first in order.
 
-    A ratio of ``least`` bounds the lengths of both, and needs a common character pair unless the shorter is of one
-    character; so candidates meet on (length, first matched pair) and only they are compared.
+    A ratio of ``least`` bounds the lengths of both, and needs a common character pair unless both are short (at 0.8, up to
+    three characters, as "ab" and "axb"); so candidates meet on pairs, short ones on characters, too, and only they are compared.
     """
     keyed = left.select(F.col(left_col).alias("_a")).filter("_a IS NOT NULL").distinct()
-    pairs = lambda c: F.array_distinct(F.when(F.length(c) < 2, F.array(F.col(c))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))))
+    # m matches of which no two adjoin leave m - 1 characters or more between them, and least allows (2 / least - 2) * m
+    most = int(1 / (3 - 2 / least) + 1e-9) if 3 * least > 2 else None
+    short = lambda c: F.lit(True) if most is None else F.length(c) <= int(2 * most / least - most + 1e-9)
+    parts = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    pairs = lambda c: F.array_distinct(F.concat(F.when(F.length(c) > 1, parts(c, 2)).otherwise(none), F.when(short(c) & (F.length(c) > 0), parts(c, 1)).when(F.length(c) < 2, F.array(F.col(c))).otherwise(none)))
     a = keyed.select("_a", F.explode(pairs("_a")).alias("_k"))
     b = words.select(F.col(word_col).alias("_b")).filter("_b IS NOT NULL").distinct().select("_b", F.explode(pairs("_b")).alias("_k"))
     bound = 2 * F.least(F.length("_a"), F.length("_b")) >= least * (F.length("_a") + F.length("_b"))

@@ -1,7 +1,9 @@
 import datetime as dt
+import itertools
 import math
 import random
 import statistics
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +113,18 @@ def test_nearest_word(spark):
     left = spark.createDataFrame([("appel",), ("zebras",), ("q",), ("a",), (None,)], "t string")
     got = {r.t: (r.nearest, r.ratio) for r in fuzzy.nearest(left, "t", words, "w").collect()}
     assert got["appel"][0] == "apple" and got["zebras"][0] == "zebra" and got["q"] == (None, None) and got["a"] == ("a", 1.0) and got[None] == (None, None)
+
+
+def test_nearest_of_short_words(spark):
+    """Words of two and three letters may reach the ratio without a pair of adjoining letters."""
+    words = ["".join(x) for n in range(5) for x in itertools.product("abx", repeat=n)]
+    left, right = (spark.createDataFrame([(w,) for w in ws], "t string") for ws in (words, words[1::2]))
+    for least in (0.9, 0.8, 0.7):
+        want = {}
+        for a in words:
+            score = {b: SequenceMatcher(None, a, b).ratio() for b in words[1::2]}
+            best = min(score, key=lambda b: (-score[b], b))
+            want[a] = (best, score[best]) if score[best] >= least else (None, None)
+        assert {r.t: (r.nearest, r.ratio) for r in fuzzy.nearest(left, "t", right, "t", least).collect()} == want
+    only = fuzzy.nearest(left.filter("t = 'ab'"), "t", left.filter("t = 'axb'"), "t").first()
+    assert (only.nearest, only.ratio) == ("axb", 0.8)
