@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,36 +39,64 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Where ``cut`` has written, for those who know when it isn't needed any more.
-_written: list[list[str]] = []
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, which goes when the driver's JVM ends."""
+    path = new_path(spark, name)
+    at, store = _store(spark, path)
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
+
+
+#: For each block of code that asks, where ``cut`` has written in it. Each thread has its own.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 @contextmanager
 def scratch() -> Iterator[list[str]]:
     """Paths that ``cut`` writes to in the block."""
-    _written.append([])
+    made: list[str] = []
+    before = _written.set((*_written.get(), made))
     try:
-        yield _written[-1]
+        yield made
     finally:
-        _written.pop()
+        _written.reset(before)
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch; no frame that was made from it may be used after this."""
     for p in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, store = _store(spark, p)
+        store.delete(at, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again, so that a lost executor costs no more than the stage it ran."""
+    """Write ``df`` to the shared folder and read it again, so that a lost executor costs no more than the stage it ran.
+
+    What is written goes with ``delete``, or when the driver's JVM ends.
+    """
     path = new_path(df.sparkSession, name)
-    for paths in _written:
+    for paths in _written.get():
         paths.append(path)
     df.write.parquet(path)
+    at, store = _store(df.sparkSession, path)
+    store.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str, made: list[str]) -> DataFrame:
+    """``df`` written and read again, with the scratch that it was made from deleted."""
+    before = list(made)
+    out = cut(df, name)
+    delete(df.sparkSession, before)
+    return out
+
+
 def parts_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """Partitions for a shuffle of ``df``: by its estimated size, never fewer than the session's shuffle partitions."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,15 +1,15 @@
 """Benchmark decontamination with training suffix arrays.
 
-The test texts are cut into blocks of bounded size; for each block every training text is read once. A worker takes
-a slice of whole documents, replaces words by their numbers in the block's vocabulary (0: not in it), sorts the
-slice's suffixes by their first words into a suffix array and binary-searches each test suffix in it. Suffixes whose
-first three words start no part of a test text can match nothing and are left out of the array. Adjacent matches of
-one test text on one diagonal join into the longest verbatim match, with its place in both texts. No shuffle, and
-nothing that grows with the training texts leaves its task.
+The test texts are cut into blocks of bounded size, which are written once to the shared folder. Training texts are read once:
+a worker takes a shard of whole documents, numbers its words and sorts all its suffixes (to the window's words) into a suffix
+array. Then it takes the blocks one by one and binary-searches each test suffix in the array. A hit whose words before differ,
+too, is where a verbatim match begins; it is followed word by word to its end, which gives the longest match with its place
+in both texts. No shuffle, no block passes through the driver, and nothing that grows with the training texts leaves its task.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +18,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiqua.llm._common import slices, split_words, spread, translated
+from lexiqua.llm._common import new_folder, slices, split_words, spread, translated
 
 #: Lower-cases A-Z and turns each other ASCII character that belongs to no word into a space.
 WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
-#: Words of test text in a block: what is broadcast and searched at once.
+#: Words of test text in a block: what is searched at once.
 BLOCK_WORDS = 500_000
-_TABLE_BITS = 22
-_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Blocks that a worker keeps between shards.
+KEPT_BLOCKS = 4
 SPANS = "array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
 _SPANS = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))
+FIGURES = ("n_words", "n_hit", "items", "spans")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -35,157 +36,185 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Block:
-    """Test texts, numbered: their suffixes of ``window`` words (of all words, where a text has fewer)."""
+    """Test texts: their words, numbered by the block's vocabulary, and their suffixes of ``window`` words (of all words, where a text has fewer)."""
+
+    def __init__(self, ids: list[str], texts: pa.Array, window: int):
+        codes, self.vocabulary, first = split_words(translated(texts, WORD_BYTES))
+        self.ids, self.codes, self.window = ids, codes, window
+        count = np.diff(first)
+        width = np.minimum(window, count)
+        starts = np.where(count > 0, count - width + 1, 0)
+        self.item = np.repeat(np.arange(len(count)), starts)
+        self.start = spread(np.zeros(len(count)), starts)
+        self.width = width[self.item]
+        self.begin, self.end = first[:-1][self.item], first[1:][self.item]
+
+
+class Shard:
+    """Whole documents as one array of word numbers from 1, apart by 0, and its suffix array to ``window`` words."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], window: int):
-        self.ids = [i for i, _ in items]
-        vocabulary = sorted({w for _, words in items for w in words})
-        number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.vocabulary = pa.array(vocabulary, pa.string())
+    def __init__(self, texts: pa.Array, window: int):
+        codes, self.vocabulary, first = split_words(translated(texts, WORD_BYTES))
+        n = len(first) - 1
+        self.counts = np.diff(first)
+        self.first = first[:-1] + np.arange(n)
+        self.numbers = np.zeros(len(codes) + n + window + 1, np.uint64)
+        self.numbers[np.arange(len(codes)) + np.repeat(np.arange(n), self.counts)] = codes.astype(np.uint64) + np.uint64(1)
         self.window = window
-        self.bits = max(1, len(vocabulary).bit_length())
-        self.each = 64 // self.bits  # words in a key
+        self.bits = max(1, (len(self.vocabulary) + 1).bit_length())
+        self.each = min(window, 64 // self.bits)  # words in a key
         self.keys = -(-window // self.each)
-        numbered = [np.array([number[w] for w in words], np.uint64) for _, words in items]
-        width = np.array([min(window, len(x)) for x in numbered], np.int64)
-        count = np.array([len(x) for x in numbered], np.int64) - width + 1
-        self.item = np.repeat(np.arange(len(items)), count)
-        self.start = spread(np.zeros(len(items)), count)
-        self.width = width[self.item]
-        flat = np.concatenate([*numbered, np.zeros(window + 2, np.uint64)])
-        first = np.cumsum([0, *map(len, numbered)])[self.item] + self.start
-        at = first[:, None] + np.arange(window)
-        used = np.arange(window) < self.width[:, None]
-        self.low = self._packed(np.where(used, flat[at], 0))
-        self.high = self._packed(np.where(used, flat[at], (1 << self.bits) - 1))
-        self.lead = int(min(3, width.min()))
-        self.leads = np.zeros(1 << _TABLE_BITS, bool)
-        self.leads[self._lead(flat, first)] = True
-
-    def _packed(self, words: np.ndarray) -> list[np.ndarray]:
-        keys = []
-        for k in range(self.keys):
-            key = np.zeros(len(words), np.uint64)
-            for j in range(k * self.each, (k + 1) * self.each):
-                key = (key << np.uint64(self.bits)) | (words[:, j].astype(np.uint64) if j < self.window else np.uint64(0))
-            keys.append(key)
-        return keys
-
-    def _lead(self, flat: np.ndarray, at: np.ndarray | slice, n: int = 0) -> np.ndarray:
-        h = 0
-        for j in range(self.lead):
-            h = h ^ ((flat[at + j] if isinstance(at, np.ndarray) else flat[j : j + n]) * np.uint64(_FACTORS[j]))
-        return (h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-
-    def search(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each match in ``numbers`` (documents apart by a 0, and ``window`` zeros at the end): its place and its suffix."""
-        n = len(numbers) - self.window - 2
-        at = np.flatnonzero(self.leads[self._lead(numbers, slice(0), n)] & (numbers[:n] > 0))
-        if not len(at):
-            return at, at
-        keys = []
-        for k in range(self.keys):
-            key = np.zeros(len(at), np.uint64)
-            for j in range(k * self.each, (k + 1) * self.each):
-                key = (key << np.uint64(self.bits)) | (numbers[at + j] if j < self.window else np.uint64(0))
-            keys.append(key)
-        order = np.lexsort(keys[::-1])
-        suffixes, keys = at[order], [k[order] for k in keys]
-        low, high = _bound(keys, self.low, False), _bound(keys, self.high, True)
-        found = np.flatnonzero(high > low)
-        return suffixes[spread(low[found], high[found] - low[found])], np.repeat(found, high[found] - low[found])
-
-
-def _bound(keys: list[np.ndarray], wanted: list[np.ndarray], after: bool) -> np.ndarray:
-    """Binary search of many keys of several columns: the first place not below (``after``: above) each."""
-    low, high = np.zeros(len(wanted[0]), np.int64), np.full(len(wanted[0]), len(keys[0]), np.int64)
-    while (open_ := low < high).any():
-        mid = np.where(open_, (low + high) // 2, 0)
-        less, same = np.zeros(len(low), bool), np.ones(len(low), bool)
-        for key, want in zip(keys, wanted, strict=True):
-            here = key[mid]
-            less |= same & (here < want)
-            same &= here == want
-        right = open_ & (less | same if after else less)
-        low, high = np.where(right, mid + 1, low), np.where(open_ & ~right, mid, high)
-    return low
-
-
-def blocks_of(bench: DataFrame, window: int, block_words: int) -> Iterator[Block]:
-    """Test texts in blocks, as the driver reads them one by one; texts without a word are in none."""
-    items, n = [], 0
-    for item_id, text in bench.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        if words := words_of(text):
-            items.append((item_id or "", words))
-            n += len(words)
-        if n >= block_words:
-            yield Block(items, window)
-            items, n = [], 0
-    if items:
-        yield Block(items, window)
-
-
-def _spans(block: Block, place: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Longest matches from matches of windows: item, first word in it, place in the slice, words."""
-    item, start, width = block.item[suffix], block.start[suffix], block.width[suffix]
-    if not len(item):
-        return item, start, place, width
-    order = np.lexsort((start, place - start, item))
-    item, start, place, width = item[order], start[order], place[order], width[order]
-    new = np.ones(len(item), bool)
-    new[1:] = (np.diff(item) != 0) | (np.diff(place - start) != 0) | (np.diff(start) > 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(item)) - 1
-    return item[first], start[first], place[first], start[last] + width[last] - start[first]
+        at = np.flatnonzero(self.numbers)
+        lead = self._key(self.numbers, at, 0)
+        order = np.argsort(lead)
+        self.suffixes, self.lead = at[order], lead[order]
+        if self.keys > 1 and len(at):
+            new = np.append(True, self.lead[1:] != self.lead[:-1])
+            tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+            some = self.suffixes[tied]
+            finer = np.lexsort([*(self._key(self.numbers, some, k) for k in range(self.keys - 1, 0, -1)), np.cumsum(new)[tied]])
+            self.suffixes[tied] = some[finer]
+
+    def _key(self, numbers: np.ndarray, at: np.ndarray, k: int, width: np.ndarray | None = None, fill: int = 0) -> np.ndarray:
+        """Words ``k * each`` and on of the suffixes at ``at`` as one number; those beyond ``width`` are ``fill``."""
+        key = np.zeros(len(at), np.uint64)
+        for j in range(k * self.each, (k + 1) * self.each):
+            if j >= self.window:
+                word = np.uint64(0)
+            elif width is None:
+                word = numbers[at + j]
+            else:
+                word = np.where(j < width, numbers[np.minimum(at + j, len(numbers) - 1)], np.uint64(fill))
+            key = (key << np.uint64(self.bits)) | word
+        return key
+
+    def _bound(self, wanted: list[np.ndarray], low: np.ndarray, high: np.ndarray, after: bool) -> np.ndarray:
+        """Binary search between places of equal first key: the first suffix not below (``after``: above) each."""
+        low, high = low.copy(), high.copy()
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_]) // 2
+            at = self.suffixes[mid]
+            less, same = np.zeros(len(mid), bool), np.ones(len(mid), bool)
+            for k, want in enumerate(wanted, 1):
+                key = self._key(self.numbers, at, k)
+                less |= same & (key < want[open_])
+                same &= key == want[open_]
+            right = less | same if after else less
+            low[open_[right]], high[open_[~right]] = mid[right] + 1, mid[~right]
+        return low
+
+    def search(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The longest matches with a block's texts: item, first word in it, place in ``numbers``, words."""
+        none = np.zeros(0, np.int64)
+        if not len(self.suffixes) or not len(block.item):
+            return none, none, none, none
+        of = pc.fill_null(pc.add(pc.index_in(block.vocabulary, value_set=self.vocabulary), 1), 0).to_numpy(zero_copy_only=False).astype(np.uint64)
+        test = np.append(of[block.codes], np.uint64(0))
+        absent = np.concatenate(([0], np.cumsum(test == 0)))
+        at = block.begin + block.start
+        here = np.flatnonzero(absent[at + block.width] == absent[at])
+        at, width = at[here], block.width[here]
+        top = (1 << self.bits) - 1
+        low = np.searchsorted(self.lead, self._key(test, at, 0, width), "left")
+        high = np.searchsorted(self.lead, self._key(test, at, 0, width, top), "right")
+        more = np.flatnonzero((width > self.each) & (low < high))
+        if more.size:
+            bounds = [self._bound([self._key(test, at[more], k, width[more], fill) for k in range(1, self.keys)], low[more], high[more], fill > 0) for fill in (0, top)]
+            low[more], high[more] = bounds
+        found = np.flatnonzero(low < high)
+        place = self.suffixes[spread(low[found], high[found] - low[found])]
+        hit = here[np.repeat(found, high[found] - low[found])]
+        item, start, at, end = block.item[hit], block.start[hit], block.begin[hit] + block.start[hit], block.end[hit]
+        # A match begins where the words before differ, or one of the texts does.
+        before = self.numbers[place - 1]
+        first = (start == 0) | (place == 0) | (before == 0) | (test[at - 1] != before)
+        item, start, place, at, end, length = item[first], start[first], place[first], at[first], end[first], block.width[hit][first]
+        open_ = np.arange(len(item))
+        while open_.size:
+            step = np.arange(64)
+            mine, other = at[open_, None] + length[open_, None] + step, place[open_, None] + length[open_, None] + step
+            word = self.numbers[np.minimum(other, len(self.numbers) - 1)]  # the last is a 0, as between documents
+            same = (mine < end[open_, None]) & (word > 0) & (test[np.minimum(mine, len(test) - 1)] == word)
+            run = np.where(same.all(axis=1), 64, same.argmin(axis=1))
+            length[open_] += run
+            open_ = open_[run == 64]
+        return item, start, place, length
+
+
+def write_blocks(bench: DataFrame, folder: str, block_words: int = BLOCK_WORDS) -> list[str]:
+    """Write the test texts (``item_id, text``) as files of about ``block_words`` words, whole texts in each; returns the names of the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        parts, n, names = [], 0, []
+
+        def close() -> None:
+            names.append(f"{uuid.uuid4().hex}.parquet")
+            parquet.write_table(pa.Table.from_batches(parts), f"{top}/{names[-1]}", filesystem=store)
+
+        for batch in slices(batches, "text", block_words * 4):
+            parts.append(batch)
+            n += int(pc.sum(pc.fill_null(pc.binary_length(batch.column("text")), 0)).as_py() or 0)
+            if n >= block_words * 4:
+                close()
+                parts, n = [], 0
+        if parts:
+            close()
+        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
+
+    rows = bench.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    return sorted(r[0] for r in rows.mapInArrow(run, "name string").collect())
+
+
+_blocks: dict[tuple[str, int], Block] = {}
+
+
+def _block(store, path: str, window: int) -> Block:
+    """A block of test texts; a worker keeps a few."""
+    from pyarrow import parquet
+
+    if (path, window) not in _blocks:
+        table = parquet.read_table(path, filesystem=store)
+        while len(_blocks) >= KEPT_BLOCKS:
+            del _blocks[next(iter(_blocks))]
+        _blocks[path, window] = Block([x or "" for x in table.column("item_id").to_pylist()], table.column("text").combine_chunks(), window)
+    return _blocks[path, window]
 
 
 def match(docs: DataFrame, bench: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, columns: list[str] | None = None) -> DataFrame:
     """``docs`` (or its ``columns``) with ``n_words``, ``n_hit``, ``items`` (sorted ids of test texts with a match) and ``spans`` (longest matches).
 
     ``docs`` needs ``text``, ``bench`` needs ``item_id`` and ``text``. Rows stay as they are: repeated rows and rows with
-    equal ids are judged one by one; a null text has no words; columns of ``docs`` with one of the four names are
-    replaced. A null item id counts as the empty id; items of one id count as one. No test texts: no hits.
+    equal ids are judged one by one; a null or empty text has no words; columns of ``docs`` with one of the four names are
+    replaced. A null item id counts as the empty id; items of one id count as one. No test texts: no hits. No rows: no rows.
+    A document longer than a shard is a shard of its own, whole, whose arrays are about 60 bytes a word.
     """
-    sc = docs.sparkSession.sparkContext
-    docs = docs.drop("n_words", "n_hit", "items", "spans")
+    docs = docs.drop(*FIGURES)
     kept = [c for c in docs.columns if columns is None or c in columns]
-    blocks = [sc.broadcast(b) for b in blocks_of(bench, window, block_words)]
-    out = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("spans", F.array().cast(SPANS))
-    for i, block in enumerate(blocks):
-        out = _pass(out, block, kept if i == len(blocks) - 1 else docs.columns)
-    return _summary(out if blocks else out.withColumn("n_words", n_words("text"))).select(*kept, "n_words", "n_hit", "items", "spans")
-
-
-def _number(block: Block, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    codes, words, first = split_words(translated(text, WORD_BYTES))
-    n = len(first) - 1
-    of = pc.fill_null(pc.add(pc.index_in(words, value_set=block.vocabulary), 1), 0).to_numpy(zero_copy_only=False).astype(np.uint64)
-    numbers = np.zeros(len(codes) + n + block.window + 2, np.uint64)
-    numbers[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(first))] = of[codes] if len(of) else 0
-    return numbers, first[:-1] + np.arange(n)
-
-
-def _pass(docs: DataFrame, shared, kept: list[str]) -> DataFrame:
-    """One block's matches added to ``spans``, and ``n_words``."""
-    docs = docs.select(*dict.fromkeys([*kept, "text", "n_words", "spans"]))
-    schema = docs.select(*kept, "n_words", "spans").schema
+    folder = new_folder(docs.sparkSession, "blocks")
+    names = write_blocks(bench, folder, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
         for batch in slices(batches, "text"):
-            numbers, first = _number(block, batch.column("text"))
-            item, start, place, length = _spans(block, *block.search(numbers))
-            spans = batch.column("spans")
-            if len(item):
-                row = np.searchsorted(first, place, side="right") - 1
-                found = spans.to_pylist()
-                for r, i, s, p, n in zip(row.tolist(), item.tolist(), start.tolist(), (place - first[row]).tolist(), length.tolist(), strict=True):
-                    found[r] = [*(found[r] or ()), {"item_id": block.ids[i], "item_word": s, "doc_word": p, "n_words": n}]
-                spans = pa.array(found, _SPANS)
-            counts = np.diff(np.append(first, len(numbers) - block.window - 2)) - 1
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int64()), spans.cast(_SPANS)], names=[*kept, "n_words", "spans"])
+            shard = Shard(batch.column("text"), window)
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for name in names:
+                block = _block(store, f"{top}/{name}", window)
+                item, start, place, length = shard.search(block)
+                row = np.searchsorted(shard.first, place, side="right") - 1
+                for r, i, s, p, n in zip(row.tolist(), item.tolist(), start.tolist(), (place - shard.first[row]).tolist(), length.tolist(), strict=True):
+                    found[r].append({"item_id": block.ids[i], "item_word": s, "doc_word": p, "n_words": n})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(shard.counts, pa.int64()), pa.array(found, _SPANS)], names=[*kept, "n_words", "spans"])
 
-    return docs.mapInArrow(run, schema)
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans")).schema
+    found = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"]))).mapInArrow(run, schema)
+    return _summary(found).select(*(F.col(f"`{c}`") for c in kept), *FIGURES)
 
 
 def _summary(docs: DataFrame) -> DataFrame:
@@ -198,13 +227,16 @@ def _summary(docs: DataFrame) -> DataFrame:
     )
 
 
-def n_words(text: str):
-    return F.coalesce(F.regexp_count(F.col(text), F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")), F.lit(0)).cast("long")
-
-
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without the documents that hold any window of a test text."""
-    return match(docs, bench, window).filter("n_hit = 0").select(*docs.columns)
+    """``docs`` without the documents that hold any window of a test text.
+
+    All columns stay as they are, also those with a name that ``match`` gives its own. Null and empty texts have no words and
+    stay; repeated rows are judged one by one. Long texts, ties and empty tables are as in ``match``.
+    """
+    own = {c: f"_own_{c}" for c in docs.columns if c in FIGURES}
+    renamed = docs.withColumnsRenamed(own)
+    kept = match(renamed, bench, window).filter("n_hit = 0")
+    return kept.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

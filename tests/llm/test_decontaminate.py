@@ -66,3 +66,22 @@ def test_spans_are_longest_matches(spark):
     spans = d.match(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).first()["spans"]
     assert [tuple(s) for s in spans] == [("7", 5, 2, 20)]
     assert d.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).count() == 0
+
+
+def test_a_document_begins_where_the_test_text_has_an_unknown_word(spark):
+    item = "unknown " + " ".join(f"w{i}" for i in range(12)) + " another"
+    docs = [(1, " ".join(f"w{i}" for i in range(12))), (2, " ".join(f"w{i}" for i in range(12)) + " end"), (3, "w1 w2")]
+    assert run(spark, docs, [(1, item)]) == brute(docs, [(1, item)])
+
+
+def test_columns_of_the_caller_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", "mine", 5, 7, "s"), (2, "x y z", "other", 6, 8, "t"), (3, None, None, None, None, None)], "doc_id long, text string, items string, n_words int, n_hit int, spans string")
+    out = d.decontaminate(docs, spark.createDataFrame([(1, "x y z")], "item_id long, text string"))
+    assert out.schema == docs.schema and sorted(map(tuple, out.collect())) == [(1, "a b c", "mine", 5, 7, "s"), (3, None, None, None, None, None)]
+
+
+def test_a_very_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(500))
+    docs = [(1, "the " * 700_000 + item + " the" * 1000)]
+    got = d.match(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, "the " * 9)], "item_id long, text string")).first()
+    assert (got.n_words, got.n_hit, got["items"]) == (701_500, 701_500, ["1", "2"]) and max(s["n_words"] for s in got.spans) == 500
