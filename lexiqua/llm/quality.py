@@ -1,10 +1,10 @@
 """Quality rules with cross-document line frequency.
 
 A worker counts each whole text's base figures and hashes its normalised lines (ASCII lower case, digits as 0, ASCII
-punctuation dropped, white space as one space). Lines then count the distinct documents of their host that hold
-them; a document is known by its longest line there, so copies and near copies of one text are one document and don't
-make its own lines look like boilerplate, or, with ``copies="all lines"``, by all its lines. Lines above the host's limit are removed, and a document is rejected as
-depleted if too few of its words stay.
+punctuation dropped, white space as one space). Each line then counts the distinct documents of its host that hold it.
+Documents whose normalised lines are all equal are one document, so exact copies don't make their own lines look like
+boilerplate; near copies are documents each, and what they share counts for each of them. Lines above the host's limit
+are removed, and a document is rejected as depleted if too few of its words stay.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ _DROPPED = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or
 _IS_SYMBOL = bytes(int(b in SYMBOLS) for b in range(256))
 _FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD))
 LINES = "array<struct<no:int,hash:long,words:int>>"
-FIGURES = f"n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, known_by long, lines {LINES}"
-#: What documents have alike if they count as one for a line's frequency.
-COPIES = {"longest line": "known_by", "all lines": "xxhash64(array_sort(array_distinct(lines.hash)))"}
+FIGURES = f"n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines {LINES}"
+#: What tells documents apart where a line's documents are counted: the set of all their lines.
+DOCUMENT = "xxhash64(array_sort(array_distinct(lines.hash)))"
 #: The largest table of verdicts, in rows, that is sent to all executors (about 64 bytes a row).
 BROADCAST_ROWS = 1_000_000
 
@@ -69,7 +69,7 @@ def figures(column: pa.Array) -> list[pa.Array]:
         inside = np.flatnonzero(doc_of_word[:-4] == doc_of_word[4:])
         inside = inside[np.argsort(h[inside])]
         same = h[inside][1:] == h[inside][:-1]
-        twice = inside[np.append(same, False) | np.append(False, same)]
+        twice = inside[np.append(same, False) | np.append(False, same)] if len(inside) else inside
         for j in range(5):
             repeated[twice + j] = True
     # lines
@@ -79,19 +79,17 @@ def figures(column: pa.Array) -> list[pa.Array]:
     power = np.cumprod(np.full(int(place.max(initial=0)) + 1, _FACTORS[0]), dtype=np.uint64)
     hashed = mixed(sums(value * power[place], first)).view(np.int64)
     size = np.diff(counted[first])
-    order = np.lexsort((np.arange(len(size)), -size, doc_of_line))
-    known_by = hashed[order[ends[:-1]]] if n else np.zeros(0, np.int64)
     kept = np.flatnonzero(size > 0)
     number = (np.arange(len(size)) - np.repeat(ends[:-1], np.diff(ends)))[kept]
     listed = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(hashed[kept], pa.int64()), pa.array(np.diff(first)[kept], pa.int32())], ["no", "hash", "words"])
     of_doc = np.concatenate(([0], np.cumsum(np.bincount(doc_of_line[kept], minlength=n)))).astype(np.int32)
     long = lambda x: pa.array(x, pa.int64())
-    return [long(n_words), long(sums(chars[codes] if len(codes) else np.zeros(0, np.int64), start)), long(at[offsets[1:]] - at[offsets[:-1]]), long(dup), long(sums(repeated[: len(codes)].astype(np.int64), start)), long(known_by), pa.ListArray.from_arrays(pa.array(of_doc), listed)]
+    return [long(n_words), long(sums(chars[codes] if len(codes) else np.zeros(0, np.int64), start)), long(at[offsets[1:]] - at[offsets[:-1]]), long(dup), long(sums(repeated[: len(codes)].astype(np.int64), start)), pa.ListArray.from_arrays(pa.array(of_doc), listed)]
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "_text"):
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "_hash")), *figures(batch.column("_text"))], names=["doc_id", "host", "_hash", *(x.split()[0] for x in FIGURES.split(", ", 6))])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "_hash")), *figures(batch.column("_text"))], names=["doc_id", "host", "_hash", *(x.split()[0] for x in FIGURES.split(", ", 5))])
 
 
 def base_failed() -> Column:
@@ -104,9 +102,9 @@ def measure(docs: DataFrame) -> DataFrame:
     return cut(known.mapInArrow(_measured, f"doc_id long, host string, _hash long, {FIGURES}"), "figures")
 
 
-def frequent_lines(figures_: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, copies: str = "longest line") -> DataFrame:
-    """``host, hash, n_docs`` of the lines above their host's limit; ``copies``, of ``COPIES``, says which documents are one."""
-    known = figures_.select("host", F.expr(COPIES[copies]).alias("_doc"), "lines")
+def frequent_lines(figures_: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE) -> DataFrame:
+    """``host, hash, n_docs`` of the lines above their host's limit; ``n_docs`` are distinct documents."""
+    known = figures_.select("host", F.expr(DOCUMENT).alias("_doc"), "lines")
     lines = known.select("host", "_doc", F.explode("lines.hash").alias("hash"))
     hosts = known.select("host", "_doc").distinct().groupBy("host").agg(F.count("*").alias("_all")).withColumnRenamed("host", "_host")
     counts = lines.distinct().groupBy("host", "hash").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limit_docs)
@@ -118,7 +116,8 @@ def judge(docs: DataFrame, **limits) -> DataFrame:
     from 0), ``kept_words`` and ``kept``.
 
     ``docs`` needs ``doc_id``, ``text`` and ``source`` (its host; null is a host of its own). A null text has no words and
-    fails the base rules. Repeated rows are judged alike and count as one document. No rows: no rows.
+    fails the base rules. Repeated rows are judged alike and count as one document. Texts are read whole, a very long one
+    in one worker; other columns of ``docs`` are not read, whatever their names. No rows: no rows.
     """
     base = measure(docs)
     frequent = cut(frequent_lines(base, **limits), "frequent").select(F.col("host").alias("_h"), F.col("hash").alias("_l"))
@@ -135,15 +134,20 @@ def judge(docs: DataFrame, **limits) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that the rules keep, without the lines above the limits; ``n_chars``, where there is one, is counted anew."""
-    verdicts = cut(judge(docs, **limits).filter("NOT kept OR size(removed_lines) > 0").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("_hash").alias("_h"), "removed_lines", "kept").distinct(), "verdicts")
+    """The documents that the rules keep, without the lines above the limits; ``n_chars``, where there is one, is counted anew.
+
+    All other columns stay as they are, whatever their names. Null, empty and wordless texts fail the base rules and go;
+    repeated rows stay or go together; a null ``doc_id`` or ``source`` is a value like others. No rows: no rows.
+    """
+    verdicts = cut(judge(docs, **limits).filter("NOT kept OR size(removed_lines) > 0").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("_hash").alias("_h"), F.col("removed_lines").alias("_lines"), F.col("kept").alias("_kept")).distinct(), "verdicts")
     if verdicts.count() <= BROADCAST_ROWS:
         verdicts = F.broadcast(verdicts)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_host")) & (F.xxhash64("text") == F.col("_h"))
-    joined = docs.join(verdicts, same, "left").filter(F.coalesce("kept", F.lit(True)))
-    text = F.when(F.size("removed_lines") > 0, F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(F.size("removed_lines") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.col("source").cast("string").alias("_s"), F.xxhash64("text").alias("_x"))
+    joined = rows.join(verdicts, F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_host")) & (F.col("_x") == F.col("_h")), "left").filter(F.coalesce("_kept", F.lit(True)))
+    cut_ = F.size("_lines") > 0
+    text = F.when(cut_, F.array_join(F.filter(F.split("_row.text", "\n", -1), lambda x, i: ~F.array_contains("_lines", i)), "\n")).otherwise(F.col("_row.text"))
+    new = {"text": text} | ({"n_chars": F.when(cut_, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {})
+    return joined.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +165,8 @@ l AS (SELECT doc_id, source, no, line, CAST(len({_WORDS.format("line")}) AS BIGI
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE n > 0 GROUP BY 1),
 win AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, p, array_to_string(w[p : p + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5))),
 rep AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS i FROM win WHERE c > 1) GROUP BY 1),
-nl AS (SELECT *, len(string_split(norm, ' ')) AS m FROM l WHERE norm <> ''),
-known AS (SELECT doc_id, arg_max(norm, m * 1000000 - no) AS k FROM nl GROUP BY 1),
+nl AS (SELECT * FROM l WHERE norm <> ''),
+known AS (SELECT doc_id, md5(array_to_string(list_sort(list(DISTINCT norm)), chr(10))) AS k FROM nl GROUP BY 1),
 hosts AS (SELECT source, count(DISTINCT coalesce(k, '')) AS n FROM d LEFT JOIN known USING (doc_id) GROUP BY 1),
 freq AS (SELECT nl.source, norm, count(DISTINCT k) AS n FROM nl JOIN known USING (doc_id) GROUP BY 1, 2),
 gone AS (SELECT doc_id, sum(nl.n) AS n, count(*) AS c FROM nl JOIN freq ON nl.source IS NOT DISTINCT FROM freq.source AND nl.norm = freq.norm JOIN hosts ON nl.source IS NOT DISTINCT FROM hosts.source WHERE freq.n > {LIMIT_DOCS} AND freq.n > hosts.n * {LIMIT_SHARE} GROUP BY 1),
