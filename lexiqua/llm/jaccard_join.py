@@ -69,10 +69,10 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
             keep[1:] = s[1:] != s[:-1]
             sets.append(s[keep])
         elif high > low:
-            whole = np.uint64(high - low)
-            for x in value[low:high]:
-                whole = mixed(np.array([whole * _F[3] + x]))[0]
-            sets.append(np.array([whole], np.uint64))
+            whole = np.array([high - low], np.uint64)
+            for at in range(low, high):
+                whole = mixed(whole * _F[3] + value[at : at + 1])
+            sets.append(whole)
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
@@ -287,7 +287,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
     ``docs`` needs the id column and ``text``. Null, empty and wordless texts have an empty set and their own id as component.
     Rows of one text (repeated rows, too) are in one component; rows with one id count as separate documents. A null id
-    never is a component's id: a component of null ids has a null id. No rows: no rows.
+    never is a component's id: a component of null ids has a null id. Texts are read whole, and a very long one is a set of
+    its size in one worker. Other columns of ``docs`` are not read, whatever their names. No rows: no rows.
     """
     docs = docs.select(id_col, "text")
     all_sets = shingled(docs, k, percent, id_col)
@@ -333,7 +334,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 def one_of_each(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """``docs`` with one document of each component: that whose id is the component's.
 
-    Of rows with that id, one row stays (the smallest text hash). Documents without words and components of null ids stay whole.
+    Of rows with that id, one row stays (the smallest text hash). Documents without words and components of null ids stay
+    whole. All columns stay as they are, unless their names begin with an underscore. No rows: no rows.
     """
     found = cut(jaccard_components(docs, k, percent), "components")
     gone = found.filter("n_shingles > 0 AND doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select("doc_id", "th")

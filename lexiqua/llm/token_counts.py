@@ -37,6 +37,7 @@ class Counter:
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in pieces for b in range(256))
         self.lowest = min(s for _, s in vocabulary) - PENALTY
         self.singles = {p for p in pieces if len(p) == 1}
+        self.longest = max(map(len, pieces))
         self.automaton = ahocorasick.Automaton()
         for p, s in pieces.items():
             if p:
@@ -48,26 +49,26 @@ class Counter:
 
     def viterbi(self, word: str) -> tuple[float, int]:
         """Best score and piece count of a word (a pre-token with its leading space mark)."""
-        n = len(word)
-        score, count, fused = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        n, ring = len(word), min(len(word), self.longest) + 1
+        score, count, fused = [0.0] * ring, [0] * ring, [False] * ring  # of the last places, as far back as a piece begins
         at, found = 0, []
 
         def close(end: int) -> None:
             """Settle places up to ``end``, with ``found`` pieces ending there."""
-            best = None
+            best, most, joined = None, 0, False
             for length, s, unk in sorted(found, reverse=True):
-                start = end - length
+                start = (end - length) % ring
                 value = s + score[start]
                 if best is None or value > best:
-                    best, score[end] = value, value
-                    fused[end] = unk
-                    count[end] = count[start] + (0 if unk and fused[start] and not self.bytes else 1)
-            c = word[end - 1]
+                    best, joined = value, unk
+                    most = count[start] + (0 if unk and fused[start] and not self.bytes else 1)
+            c, before = word[end - 1], (end - 1) % ring
             if c not in self.singles:
-                value = self.lowest + score[end - 1]
+                value = self.lowest + score[before]
                 if best is None or value > best:
-                    score[end], fused[end] = value, True
-                    count[end] = count[end - 1] + (len(c.encode()) if self.bytes else 0 if fused[end - 1] else 1)
+                    best, joined = value, True
+                    most = count[before] + (len(c.encode()) if self.bytes else 0 if fused[before] else 1)
+            score[end % ring], count[end % ring], fused[end % ring] = best, most, joined
 
         for last, piece in self.automaton.iter(word):
             end = last + 1
@@ -84,7 +85,7 @@ class Counter:
         for e in range(at + 1, n + 1):
             found = []
             close(e)
-        return score[n], count[n]
+        return score[n % ring], count[n % ring]
 
     def count(self, word: str) -> int:
         c = self.known.get(word)
@@ -119,7 +120,8 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], unk: int
     """``docs`` (its columns but ``text``) with ``n_tokens``: tokens of each whole text.
 
     The vocabulary is broadcast; its size is that of a tokenizer. Null and empty texts have 0 tokens. Repeated rows are
-    counted each; a column ``n_tokens`` of ``docs`` is replaced. No rows: no rows.
+    counted each; a column ``n_tokens`` of ``docs`` is replaced, others stay. Texts are read whole; of a long word without
+    spaces, what is held beside it is as long as the longest piece. Ties of scores are the library's. No rows: no rows.
     """
     docs = docs.drop("n_tokens")
     kept = [c for c in docs.columns if c != "text"]

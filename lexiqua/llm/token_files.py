@@ -21,21 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiqua.llm._common import cut, filled, new_path, parts_for, slices, split_words, spread
+from lexiqua.llm._common import cut, filled, new_folder, parts_for, slices, split_words, spread
 
-MANIFEST = "shard string, first_name string, first_id long, first_hash long, n_docs long, n_ids long, width int"
+MANIFEST = "shard string, first_part long, first_id long, first_hash long, n_docs long, n_ids long, width int"
 DOCS = "shard string, no long, doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Words whose ids a Python worker keeps. Words are kept as they come, which keeps the frequent ones.
 KEPT_WORDS = 250_000
 #: A pretoken between words that are encoded together; words that hold it are encoded alone.
 BETWEEN = "\x00"
+#: Words of many kinds between each kind of ASCII white space, alone and in rows.
+PROBE = " The cat's  sat,\ton\n the\r\nmat.\x0b 12 345,6 \x0c(x) [y] a-b_c \n\n Été straße 中文。 U.S. \t\t e\u0301 <s> </s> don't I'm  ...  !? end \n"
 
 
 class WordEncoder:
     """The tokenizers library's own ids of whole texts, with words encoded once.
 
     For tokenizers whose pretokens never hold white space (word_bpe), a text's ids are those of its words between
-    ASCII white space, one after another. Each word goes through the library; frequent words are kept.
+    ASCII white space, one after another. Each word goes through the library; frequent words are kept. Whether a tokenizer is
+    of this kind is tried on a probe; texts of others go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -46,6 +49,15 @@ class WordEncoder:
         self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, np.ndarray] = {}
+        self.by_word = self._apart()
+
+    def _apart(self) -> bool:
+        """Whether the probe's ids are those of its words, and no pretoken of it holds white space."""
+        split = self.tokenizer.pre_tokenizer
+        if split is None or any(c.isspace() for x, _ in split.pre_tokenize_str(PROBE) for c in x) or any(" " in a or not a.strip() for a in self.added):
+            return False
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        return ids(PROBE) == [i for w in PROBE.split() for i in ids(w)]
 
     def _encoded(self, words: list[str]) -> list[np.ndarray]:
         odd = {i for i, w in enumerate(words) if BETWEEN in w or any(a in w for a in self.added)}
@@ -67,6 +79,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of filled texts, each text's followed by ``end_id``, and each text's count of ids."""
+        if not self.by_word:
+            whole = [[*x.ids, end_id] for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in whole for i in x], np.uint32), np.array([len(x) for x in whole], np.int64)
         codes, words, first = split_words(texts)
         words = words.to_pylist()
         ids = [self.known.get(w) for w in words]
@@ -102,16 +117,17 @@ def encoder(path: str) -> WordEncoder:
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, place: tuple[str, str] | None = None) -> DataFrame:
     """Encode whole texts and write the shards; returns the manifest with each shard's base, in order.
 
-    ``place`` names two columns of ``docs``, a string and a number, to order documents by instead of their ids.
+    ``place`` names two columns of ``docs``, both numbers, to order documents by instead of their ids.
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. A null text is empty (its one id is ``end_id``).
     Documents are ordered by doc_id (nulls first), then by a hash of the text and the text, so repeated ids and
-    repeated rows keep one order; a hash beside the id also lets a range cut through rows of one id.
+    repeated rows keep one order; a hash beside the id also lets a range cut through rows of one id. A very long text is
+    encoded whole, in one slice of its own; its size is bounded by what a string column can hold.
     No rows: no shards and an empty manifest.
     """
     spark = docs.sparkSession
-    name, number = (F.col(place[0]).cast("string"), F.col(place[1]).cast("long")) if place else (F.lit(""), F.col("doc_id").cast("long"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), name.alias("_name"), number.alias("_no"), F.xxhash64("text").alias("_h"))
-    keys = [F.asc_nulls_first("_name"), F.asc_nulls_first("_no"), F.asc("_h")]
+    part, number = (F.col(c).cast("long") for c in place) if place else (F.lit(0).cast("long"), F.col("doc_id").cast("long"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), part.alias("_part"), number.alias("_no"), F.xxhash64("text").alias("_h"))
+    keys = [F.asc_nulls_first("_part"), F.asc_nulls_first("_no"), F.asc("_h")]
     ranged = docs.repartitionByRange(parts_for(docs), *keys[0 if place else 1 :]).sortWithinPartitions(*keys, "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +141,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, plac
         for batch in slices(batches, "text"):
             if out is None:
                 out = store.open_output_stream(f"{top}/{name}.bin")
-                first = tuple(batch.column(c)[0].as_py() for c in ("_name", "_no", "_h"))
+                first = tuple(batch.column(c)[0].as_py() for c in ("_part", "_no", "_h"))
             values, n = own.encode(filled(batch.column("text")), end_id)
             out.write(values.astype(f"<u{width}").tobytes())
             counts.append(n)
@@ -138,12 +154,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, plac
             with store.open_output_stream(f"{top}/{name}{end}") as f:
                 f.write(data)
         yield pa.RecordBatch.from_pydict(
-            {"shard": [name], "first_name": pa.array([first[0]], pa.string()), "first_id": pa.array([first[1]], pa.int64()), "first_hash": pa.array([first[2]], pa.int64()), "n_docs": pa.array([len(offsets) - 1], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64()), "width": pa.array([width], pa.int32())}
+            {"shard": [name], "first_part": pa.array([first[0]], pa.int64()), "first_id": pa.array([first[1]], pa.int64()), "first_hash": pa.array([first[2]], pa.int64()), "n_docs": pa.array([len(offsets) - 1], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64()), "width": pa.array([width], pa.int32())}
         )
 
     manifest = cut(ranged.mapInArrow(write, MANIFEST), "shards")
     # One row for each shard: a window over all of them, not over documents.
-    order = Window.orderBy(F.asc_nulls_first("first_name"), F.asc_nulls_first("first_id"), "first_hash", "shard")
+    order = Window.orderBy(F.asc_nulls_first("first_part"), F.asc_nulls_first("first_id"), "first_hash", "shard")
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
     _delete_orphans(spark, folder, {r[0] for r in manifest.select("shard").toLocalIterator()})
     return cut(based.withColumn("no", F.row_number().over(order)), "manifest")
@@ -212,7 +228,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = new_path(spark, "tokens")
+    folder = new_folder(spark, "tokens")
     manifest = write_shards(docs, folder, tokenizer_path(), end_id=2)
     return read_shards(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 

@@ -20,6 +20,8 @@ HOST_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "
 #: What decides where no host rule fits: a URL that fits any of these is blocked, others are allowed.
 GLOBS = ("*.adult*.**", "*adult-*.**", "*casino*.**", "*.ads-track.**", "*-pills.**", "*free-bets.**", "*spam-farm.**")
 URLS = "host string, path string, rule string, verdict string"
+#: Bytes of a text from which on it is read alone, with the state as one whole number; shorter ones advance together.
+LONG = 1000
 
 
 class Automaton:
@@ -53,12 +55,30 @@ class Automaton:
                 self.stay[:, word] |= bit
                 if loop == 1:
                     self.stay[ord("/"), word] &= ~bit
+        whole = lambda masks: [int.from_bytes(x.astype("<u8").tobytes(), "little") for x in masks]
+        self.whole = whole(self.step), whole(self.stay)
         self.begin = np.zeros(self.words, np.uint64)
         for at in self.starts:
             self.begin[at // 64] |= np.uint64(1) << np.uint64(at % 64)
 
     def fits(self, texts: list[bytes]) -> np.ndarray:
-        """Which text fits which rule; texts of one length run end together, so each step works on those still running."""
+        """Which text fits which rule."""
+        found = np.zeros((len(texts), len(self.ends)), bool)
+        size = np.array([len(t) for t in texts], np.int64)
+        found[size < LONG] = self._together([t for t in texts if len(t) < LONG])
+        for i in np.flatnonzero(size >= LONG):
+            found[i] = self._alone(texts[i])
+        return found
+
+    def _alone(self, text: bytes) -> list[bool]:
+        step, stay = self.whole
+        state = int.from_bytes(self.begin.astype("<u8").tobytes(), "little")
+        for c in text:
+            state = state << 1 & step[c] | state & stay[c]
+        return [bool(state >> at & 1) for at in self.ends]
+
+    def _together(self, texts: list[bytes]) -> np.ndarray:
+        """Texts of one length end together, so each step works on those still running."""
         size = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-size, kind="stable")
         data = np.frombuffer(b"".join(texts) or b"\0", np.uint8)
@@ -104,7 +124,9 @@ def judge(pages: DataFrame, host_rules=HOST_RULES, globs=GLOBS, url_col: str = "
 
     Of the host rules that fit, the longest decides (of equal ones, a block); where none fits ``rule`` is null and the globs
     decide. A null URL, or one without ``://``, has an empty host and path and is allowed unless a glob fits an empty host.
-    Columns of ``pages`` with these names are replaced; rows are judged one by one. No rows: no rows.
+    Columns of ``pages`` with these names are replaced, others stay; rows, repeated ones too, are judged one by one. Long URLs
+    are read whole, in time that grows with their length times the rules'. Rules go to workers with the plan: thousands of
+    them, not a table. No rows: no rows.
     """
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(url_col), "path": path_of(url_col)})
     ranked = sorted(host_rules, key=lambda r: (-len(r[0]), r[1] != "block"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiqua.llm._common import cut, new_path
+from lexiqua.llm._common import cut, new_folder, scratch, settled
 
 #: Payloads of fewer bytes are stored each time; archives are closed beyond this many bytes.
 LEAST_REVISIT, ARCHIVE_BYTES = 100, 64 << 20
@@ -35,9 +35,31 @@ def _record(kind: str, record_id: str, headers: list[tuple[str, str | None]], bl
     return packer.compress(head.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def _line(text: str | None) -> str | None:
-    """A header's value: line breaks would end it."""
-    return None if text is None else text.replace("%0", "%250").replace("\r", "%0D").replace("\n", "%0A")
+#: The header that says of a target that its line breaks, and its percent signs, are percent-encoded.
+ENCODED = "X-Target-Line-Breaks"
+#: Bytes of HTTP headers, at most: a block that has none within so many is all payload.
+HEADER_BYTES = 1 << 20
+
+
+def _breaks(text: str) -> bool:
+    return "\r" in text or "\n" in text
+
+
+def _line(text: str) -> str:
+    """A header's value: line breaks would end it. Only a text with line breaks is encoded."""
+    return text.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if _breaks(text) else text
+
+
+def _unlined(text: str) -> str:
+    return text.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+
+
+def _text(data: bytes) -> str:
+    """A header's text: UTF-8, or else Latin-1."""
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
 
 
 def first_id(page_id: int | None, digest: str) -> str:
@@ -69,7 +91,9 @@ def planned(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages`` (``page_id, url, html``) as archives; returns the manifest.
 
-    A null html is an empty payload, a null url leaves out the target. Repeated rows are captures each. No rows: no archives.
+    A null html is an empty payload, a null url leaves out the target. Repeated rows are captures each; of those with one
+    payload and the smallest page id one is the response. Payloads are written whole, each from memory. Other columns are not
+    read, whatever their names. No rows: no archives.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +113,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{top}/{name}", compression=None)
-                payload, uri, own = (html or "").encode(), _line(url), first_id(page_id, digest) if first else f"urn:uuid:{uuid.uuid4()}"
+                payload, uri, own = (html or "").encode(), None if url is None else _line(url), first_id(page_id, digest) if first else f"urn:uuid:{uuid.uuid4()}"
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-                more = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}")]
-                after = [("WARC-Concurrent-To", f"<{own}>"), ("WARC-Target-URI", uri)]
+                target = [("WARC-Target-URI", uri), (ENCODED, "percent" if _breaks(url or "") else None)]
+                more = [*target, ("WARC-Payload-Digest", f"sha256:{digest}")]
+                after = [("WARC-Concurrent-To", f"<{own}>"), *target]
                 if revisit:
                     main = _record("revisit", own, [*more, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{first_id(least, digest)}>"), ("Content-Type", "application/http; msgtype=response")], http)
                 else:
@@ -113,51 +138,120 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return cut(planned(pages).mapInArrow(run, MANIFEST), "archives")
 
 
-def members(stream) -> Iterator[bytes]:
-    """The gzip members of a stream, one after another; what is held is one member."""
-    opened, parts, rest = zlib.decompressobj(31), [], b""
+class Archive:
+    """An archive's bytes in order, from gzip members or as they are; what is held is a piece of a megabyte or two."""
+
+    def __init__(self, stream):
+        self.stream, self.left = stream, stream.read(1 << 20)
+        self.packed = self.left[:2] == b"\x1f\x8b"
+        self.opened, self.inside, self.out, self.at = zlib.decompressobj(31), False, b"", 0
+        if not self.packed:
+            self.out, self.left = self.left, b""
+
+    def _more(self) -> bool:
+        """Append to what is at hand; false at the end."""
+        self.out, self.at = self.out[self.at :], 0
+        if not self.packed:
+            data = self.stream.read(1 << 20)
+            self.out += data
+            return bool(data)
+        while True:
+            data = self.left or self.stream.read(1 << 20)
+            if not data and not self.inside:
+                return False
+            self.inside = True
+            new = self.opened.decompress(data, 1 << 20)  # without data: what it still holds
+            if not data and not new and not self.opened.eof:
+                raise ValueError("an archive ends within a record")
+            self.left = self.opened.unconsumed_tail
+            if self.opened.eof:
+                self.left, self.opened, self.inside = self.opened.unused_data, zlib.decompressobj(31), False
+            if new:
+                self.out += new
+                return True
+
+    def take(self, n: int) -> bytes:
+        """The next bytes, up to ``n``; fewer only at the end of what is at hand."""
+        if self.at == len(self.out):
+            self._more()
+        data = self.out[self.at : self.at + n]
+        self.at += len(data)
+        return data
+
+    def until(self, mark: bytes, most: int) -> bytes | None:
+        """What comes before ``mark``, which is passed over; none if it isn't within ``most`` bytes. Nothing is passed over then."""
+        low = self.at
+        while (found := self.out.find(mark, low, self.at + most + len(mark))) < 0:
+            seen = len(self.out) - self.at
+            if seen >= most + len(mark) or not self._more():
+                return None
+            low = self.at + max(0, seen - len(mark) + 1)
+        data = self.out[self.at : found]
+        self.at = found + len(mark)
+        return data
+
+
+def _named(lines: list[bytes]) -> dict[str, str]:
+    return {k.strip(): v.strip() for k, _, v in (_text(x).partition(":") for x in lines if x)}
+
+
+def records_of(stream, with_payload: bool) -> Iterator[dict]:
+    """An archive's records. Digest and size are those of the payload that each holds, read in pieces; a revisit holds none.
+
+    A block that is no HTTP message (a ``dns:`` response, say) is all payload. What isn't a WARC record, or has another length
+    than it declares, is an error.
+    """
+    archive = Archive(stream)
     while True:
-        data = rest or stream.read(1 << 20)
-        if not data:
-            break
-        parts.append(opened.decompress(data))
-        rest = b""
-        if opened.eof:
-            yield b"".join(parts)
-            rest, parts, opened = opened.unused_data, [], zlib.decompressobj(31)
-    if any(parts):
-        raise ValueError("an archive ends within a record")
-
-
-def parsed(record: bytes, with_payload: bool) -> dict:
-    """A record's fields. Digest and size are those of the payload that it holds; a revisit holds none."""
-    head, _, rest = record.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError("not a WARC record")
-    named = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    block = rest[: int(named["content-length"])]
-    if len(rest) != len(block) + 4:
-        raise ValueError("a record's length is not what it declares")
-    kind, bare = named["warc-type"], lambda k: named[k].strip("<>") if k in named else None
-    fields, payload = {}, None
-    if kind in ("request", "response", "revisit"):
-        http, _, body = block.partition(b"\r\n\r\n")
-        fields = {k: v for k, _, v in (x.partition(": ") for x in http.decode().split("\r\n")[1:])}
-        payload = body if kind == "response" else None
-    elif kind == "metadata":
-        fields = {k: v for k, _, v in (x.partition(": ") for x in block.decode().split("\r\n") if x)}
-    return {
-        "record_id": bare("warc-record-id"), "type": kind, "concurrent_to": bare("warc-concurrent-to"), "refers_to": bare("warc-refers-to"), "target_uri": named.get("warc-target-uri"), "date": named.get("warc-date"), "fields": list(fields.items()), "declared": named.get("warc-payload-digest"),
-        "payload_bytes": None if payload is None else len(payload), "payload_digest": None if payload is None else hashlib.sha256(payload).hexdigest(), "payload": payload if with_payload else None,
-    }
+        first = archive.until(b"\r\n", HEADER_BYTES)
+        if first is None:
+            if archive.take(1):
+                raise ValueError("not a WARC record")
+            return
+        if not first.strip():
+            continue
+        if not first.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        head = archive.until(b"\r\n\r\n", HEADER_BYTES)
+        named = {k.lower(): v for k, v in _named((head or b"").split(b"\r\n")).items()}
+        if "content-length" not in named:
+            raise ValueError("a record's length is not declared")
+        left = int(named["content-length"])
+        kind, bare = named.get("warc-type", ""), lambda k, named=named: named[k].strip("<>") if k in named else None
+        fields, block = {}, None
+        if kind in ("request", "response", "revisit") and named.get("content-type", "application/http").startswith("application/http"):
+            http = archive.until(b"\r\n\r\n", min(left - 4, HEADER_BYTES)) if left >= 4 else None
+            if http is not None:
+                left -= len(http) + 4
+                fields = _named(http.split(b"\r\n")[1:])
+        payload, size, digest, held = kind in ("response", "resource"), left, hashlib.sha256(), []
+        while left:
+            if not (block := archive.take(min(left, 1 << 20))):
+                raise ValueError("an archive ends within a record")
+            left -= len(block)
+            if payload:
+                digest.update(block)
+            if kind == "metadata" or payload and with_payload:
+                held.append(block)
+        if left or b"".join((archive.take(1), archive.take(1), archive.take(1), archive.take(1))) != b"\r\n\r\n":
+            raise ValueError("a record's length is not what it declares")
+        if kind == "metadata":
+            fields = _named(b"".join(held).split(b"\r\n"))
+        target = named.get("warc-target-uri")
+        yield {
+            "record_id": bare("warc-record-id"), "type": kind, "concurrent_to": bare("warc-concurrent-to"), "refers_to": bare("warc-refers-to"), "target_uri": _unlined(target) if target and named.get(ENCODED.lower()) == "percent" else target, "date": named.get("warc-date"), "fields": list(fields.items()),
+            "declared": named.get("warc-payload-digest"), "payload_bytes": size if payload else None, "payload_digest": digest.hexdigest() if payload else None, "payload": b"".join(held) if payload and with_payload else None,
+        }
 
 
 _ARROW = pa.schema([(c, pa.string()) for c in ("record_id", "type", "concurrent_to", "refers_to", "target_uri", "date")] + [("fields", pa.map_(pa.string(), pa.string())), ("declared", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
 
 def read_records(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """All records of the archives. A damaged archive, or a payload that doesn't have its declared digest, is an error."""
+    """All records of the archives, gzip or plain. A damaged archive, or a payload that doesn't have its declared SHA-256, is an error.
+
+    Payloads are read in pieces; with ``with_payload`` each is then held whole, as the value of its row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -167,9 +261,8 @@ def read_records(manifest: DataFrame, folder: str, with_payload: bool = True) ->
             for name in batch.column("archive").to_pylist():
                 rows, size = [], 0
                 with store.open_input_stream(f"{top}/{name}", compression=None) as f:
-                    for record in members(f):
-                        row = parsed(record, with_payload)
-                        if row["payload_digest"] and row["declared"] and row["declared"] != f"sha256:{row['payload_digest']}":
+                    for row in records_of(f, with_payload):
+                        if row["payload_digest"] and (row["declared"] or "").startswith("sha256:") and row["declared"] != f"sha256:{row['payload_digest']}":
                             raise ValueError(f"{name}: {row['record_id']} doesn't have its digest")
                         rows.append(row)
                         size += len(row["payload"] or b"") + 500
@@ -203,9 +296,10 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_path(spark, "warc")
-    manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), folder)
-    records = cut(read_records(manifest, folder, with_payload=False), "records")
+    folder = new_folder(spark, "warc")
+    with scratch() as made:
+        manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), folder)
+        records = settled(read_records(manifest, folder, with_payload=False), "records", [*made, folder])
     return captures(records).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 

@@ -47,3 +47,8 @@ def test_nulls_and_columns(spark):
     out = t.token_counts(docs, [("<unk>", 0.0), ("▁a", -1.0), ("▁b", -1.0)], byte_fallback=False)
     assert out.columns == ["doc_id", "extra", "n_tokens"] and sorted(r.n_tokens for r in out.collect()) == [0, 2, 2]
     assert t.token_counts(docs.limit(0), [("<unk>", 0.0)]).count() == 0
+
+
+def test_a_long_word_takes_no_more_than_the_longest_piece():
+    own = t.Counter([("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("aa", -1.5), ("aaa", -1.9)], byte_fallback=False)
+    assert own.longest == 5 and own.counts(pa.array(["a" * 600_001])).tolist() == [200_002]

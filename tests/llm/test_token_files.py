@@ -39,3 +39,23 @@ def test_table_is_encoded_as_the_library_does(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = [tuple(r) for r in t.op2_token_files(spark, sf_dir).orderBy("start").collect()]
     assert got == brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_a_tokenizer_whose_pieces_hold_spaces_is_taken_whole():
+    import pyarrow as pa
+
+    path = t.tokenizer_path("byte_bpe_50k.json")
+    texts = ["a b  c\n\nd", "", "It's  the end", " x "]
+    own, library = t.WordEncoder(path), Tokenizer.from_file(path)
+    ids, n = own.encode(pa.array(texts), 2)
+    want = [[*library.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert not own.by_word and t.WordEncoder(t.tokenizer_path()).by_word
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+
+
+def test_places_are_numbers(spark):
+    rows = [(i, f"text {i}", part, i) for i, part in enumerate((100_000, 99_999, 9, 10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part long, row long")
+    folder = new_path(spark, "tokens")
+    got = t.read_shards(t.write_shards(docs, folder, t.tokenizer_path(), 2, place=("part", "row")), folder).orderBy("start")
+    assert [r.doc_id for r in got.collect()] == [2, 3, 1, 0]

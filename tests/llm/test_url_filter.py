@@ -36,3 +36,8 @@ def test_automaton_against_regular_expressions():
 def test_no_rows_and_no_rules(spark):
     assert rows_of(spark, []) == []
     assert rows_of(spark, ["http://com/en/"], host_rules=(), globs=()) == [("com", "/en/", None, "allow")]
+
+
+def test_very_long_urls(spark):
+    urls = ["http://" + "a" * 300_000 + "-pills.b", "http://x.com/" + "a" * 300_000, "http://y.com/en/" + "b" * 300_000]
+    assert [g[3] for g in rows_of(spark, urls)] == ["block", "allow", "block"]

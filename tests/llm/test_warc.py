@@ -1,5 +1,6 @@
 import hashlib
 import io
+import zlib
 
 import pytest
 
@@ -49,7 +50,33 @@ def test_no_rows(spark):
 
 
 def test_damage_is_an_error():
-    record = w._record("response", "urn:uuid:1", [], b"HTTP/1.1 200 OK\r\n\r\nbody")
-    assert [w.parsed(m, True)["payload"] for m in w.members(io.BytesIO(record * 3))] == [b"body"] * 3
-    with pytest.raises((ValueError, Exception)):
-        list(w.members(io.BytesIO(record[:-12])))
+    record = w._record("response", "urn:uuid:1", [("Content-Type", "application/http; msgtype=response")], b"HTTP/1.1 200 OK\r\n\r\nbody")
+    read = lambda data: [r["payload"] for r in w.records_of(io.BytesIO(data), True)]
+    assert read(record * 3) == [b"body"] * 3 and read(b"") == []
+    plain = zlib.decompress(record, 31)
+    assert read(plain * 2 + b"\r\n") == [b"body"] * 2
+    for bad in (record[:-12], plain[:-3], plain[:-9], plain.replace(b"Content-Length: 23", b"Content-Length: 21"), b"what", b"what\r\n", plain.replace(b"Content-Length", b"Length")):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
+def test_real_archives_are_read():
+    one = lambda head, block: f"WARC/1.0\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode("latin-1") + block + b"\r\n\r\n"
+    data = one("WARC-Type:warcinfo\r\n", b"software: x\r\n") + one("WARC-Type: response\r\nWARC-Record-ID: <a>\r\nWARC-Target-URI: dns:x.org\r\nContent-Type: text/dns\r\n", b"20240101\nx.org.\r\n\r\nA")
+    data += one("WARC-Type: response\r\nWARC-Record-ID: <b>\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Type: application/http;msgtype=response\r\n", "HTTP/1.1 200 \r\nServer:  é\r\n\r\nx".encode("latin-1") + b"y" * 5_000_000)
+    data += one("WARC-Type: response\r\nWARC-Record-ID: <c>\r\nContent-Type: application/http\r\n", b"no headers")
+    for packed in (data, zlib.compress(data, 1, 31)):
+        info, dns, big, odd = w.records_of(io.BytesIO(packed), True)
+        assert info["payload"] is None and dns["payload"] == b"20240101\nx.org.\r\n\r\nA" and dns["target_uri"] == "dns:x.org"
+        assert big["fields"] == [("Server", "é")] and big["payload_bytes"] == 5_000_001 and odd["payload"] == b"no headers"
+
+
+def test_urls_come_back_as_they_were(spark):
+    urls = ["http://x/a%0Ab", "http://x/a%0D%25", "http://x/a\r\nb%0A", "http://x/%", "\n", ""]
+    got = {r.page_id: r.target_uri for r in run(spark, [(i, u, "h") for i, u in enumerate(urls)]).collect()}
+    assert got == dict(enumerate(urls))
+
+
+def test_a_long_payload(spark):
+    rows = [(1, "http://a", "long é " * 700_000), (2, "http://b", "long é " * 700_000)]
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.type, r.refers_to) for r in run(spark, rows, False).collect()) == brute(rows)
