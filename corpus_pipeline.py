@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiqua.llm import decontaminate, jaccard_join, mixing, quality, token_files
-from lexiqua.llm._common import delete, new_path, scratch
+from lexiqua.llm._common import delete, new_folder, new_path, scratch
 
 #: Near duplicates share 80 % of their five-word shingles.
 WORDS, PERCENT = 5, 80
 
 
-_before: list[str] = []
+#: Scratch of the stage before, for each thread.
+_before: ContextVar[tuple[str, ...]] = ContextVar("before", default=())
 
 
 def _stage(first: bool = False) -> Callable:
@@ -25,11 +27,11 @@ def _stage(first: bool = False) -> Callable:
         @wraps(f)
         def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             if not first:
-                delete(spark, _before)
-            _before.clear()
+                delete(spark, list(_before.get()))
+            _before.set(())
             with scratch() as made:
                 out = f(spark, docs, sf_dir)
-            _before.extend(made)
+            _before.set(tuple(made))
             return out
 
         return run
@@ -39,8 +41,8 @@ def _stage(first: bool = False) -> Callable:
 
 @_stage(first=True)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without lines above their host's limit; only copies of all lines count as one document."""
-    return quality.cleaned(docs, copies="all lines")
+    """Documents that the rules keep, without lines above their host's limit."""
+    return quality.cleaned(docs)
 
 
 @_stage()
@@ -63,9 +65,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage()
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix in its order, which is that of the rows in its files; a row for each document in them, read back."""
-    folder = new_path(spark, "tokens")
-    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    """Token files of the mix in its order, which is that of the numbered files and of the rows in them; a row for each document in them, read back."""
+    folder = new_folder(spark, "tokens")
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    placed = docs.select("doc_id", "text", file.alias("file"), F.col("_metadata.row_index").alias("row"))
     manifest = token_files.write_shards(placed, folder, token_files.tokenizer_path(), end_id=2, place=("file", "row"))
     return token_files.read_shards(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
