@@ -30,6 +30,8 @@ BREAKS = {"sentence": "\n", "line": "\n", "paragraph": "\n\n"}
 #: The end of a sentence: its mark, what closes it (quotes, brackets), and the one space that is taken as a line break.
 SENTENCE_END = r"([.!?…。！？][^0-9A-Za-z\x{80}-\x{10FFFF}\x00-\x20]*)[\x20\x09\x0B-\x0D]"
 SPANS = "array<struct<start:long,end:long>>"
+#: Digests of more occurrences than this, and than this part of all units, are sent to all executors: at most one for each such part.
+HOT_UNITS, HOT_PART = 10_000, 1e-5
 
 
 def parted(texts: pa.Array, unit: str) -> pa.Array:
@@ -79,12 +81,16 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, unit: str = "senten
     wordless texts have no units. A very long text is cut as a whole by one worker, and the runs of one text are found in one
     task, from its repeated units alone. No rows: no rows.
 
-    Digests are counted with partial sums; a frequent one is a skewed join key, which adaptive execution splits.
+    Digests are counted with partial sums. Those of many occurrences, 100 000 at most by the part of all units that each has,
+    are broadcast to their units; only others are joined by a shuffle, so no digest makes a task large.
     """
     every = units(docs, unit)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start"), F.col("uid"))
-    first = every.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(rank).alias("first")).filter("c > 1").drop("c")
-    found = every.join(first, ["d1", "d2"]).filter(~((F.col("uid") == F.col("first.uid")) & (F.col("start") == F.col("first.start"))))
+    first = every.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(rank).alias("first")).filter("c > 1")
+    first = cut(first.withColumn("hot", F.col("c") > max(HOT_UNITS, every.count() * HOT_PART)), "digests")
+    hot = F.broadcast(first.filter("hot").select("d1", "d2", "first"))
+    cold = every.join(hot.drop("first"), ["d1", "d2"], "left_anti").join(first.filter("NOT hot").select("d1", "d2", "first"), ["d1", "d2"])
+    found = every.join(hot, ["d1", "d2"]).unionByName(cold).filter(~((F.col("uid") == F.col("first.uid")) & (F.col("start") == F.col("first.start"))))
     # Of neighbours, each is one place further in the text and one further among the repeats.
     found = found.withColumn("_run", F.col("at") - F.row_number().over(Window.partitionBy("uid").orderBy("at")))
     found = found.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("uid", "_run"))).filter(F.col("run_words") >= least_words)

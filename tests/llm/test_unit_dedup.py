@@ -85,6 +85,12 @@ def test_repeats_against_brute_force(spark, unit):
     assert sorted((tuple(r) for r in got.collect()), key=str) == want and len(want) > 5
 
 
+def test_frequent_units_are_found_alike(spark, monkeypatch):
+    rows, columns = corpus(), ["doc_id", "unit_no", "start", "end", "n_words", "run_words", "first_doc_id", "first_start"]
+    monkeypatch.setattr(u, "HOT_UNITS", 5)
+    assert sorted((tuple(r) for r in u.repeats(frame(spark, rows), 5).select(columns).collect()), key=str) == brute(rows, 5, "sentence")[0]
+
+
 @pytest.mark.parametrize("unit", ["sentence", "line"])
 def test_text_without_repeats(spark, unit):
     rows = corpus()
