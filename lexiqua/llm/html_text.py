@@ -1,12 +1,17 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages are range-partitioned and sorted by host and path, so a page's nearest URLs are its neighbours in the stream; of the two
-in its host, that with the longer common path prefix is its pair. A page becomes text lines (blocks). The lines of a pair are
-aligned by their longest common subsequence, and shared lines are deleted. Then markup is checked, which knows of a line that
-it is in an article, or in something that never is main text (menus, footers, asides, forms, adverts, notices, comments), or
-neither: lines in an article are put back though another page has them (copies, stock phrases), and menus and the like go
-though no other page has them; where a page has an article, nothing else of it stays. So differencing decides on the pages,
-or parts of them, whose markup doesn't tell.
+A page becomes text lines (blocks). Markup leaves out only what is no text of a page's own kind: scripts, menus, headers, footers,
+asides, forms and elements that are named, as a whole, as adverts, notices, comments and the like; and it tells which lines are in an
+article. All other lines are decided by differencing. Pages are ordered by host and URL path. Those next to each other whose lines
+are all equal are copies; a page's neighbours are the nearest pages of its host before and after it that are no copies of it, and
+the one with the longer common path prefix is its pair. The lines of both are aligned by their longest common subsequence:
+
+* a shared line goes;
+* a shared line within an article goes if the other neighbour shares it, too (in the alignment of those two), and neither
+  neighbour has more than half of the article's words: stock sentences recur in articles, templates recur on all pages.
+
+Lines meet as hashes, so what is sorted is a few per cent of the pages. Rows with one order give the same pairs in any number of
+partitions: the pages at the edges of a range are compared with those of the ranges next to it.
 """
 
 from __future__ import annotations
@@ -16,15 +21,19 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiqua.llm._common import parts_for
+from lexiqua.llm._common import cut, parts_for, slices
 from lexiqua.llm.url_filter import host_of, path_of
 
-TEXT = "page_id long, url string, text string, n_chars long, n_shared long"
-#: Pages in a range, at least: at the edge of a range a page has one neighbour less.
-LEAST_PAGES = 200
+TEXT = "page_id long, url string, text string, n_chars long, n_deleted long"
+#: A page's place, and its lines that aren't out by markup: their hashes, words and whether they are in an article.
+LINES = "host string, path string, page_id long, url string, content long, told long, hashes array<long>, words array<int>, inside array<boolean>"
+ORDER = ["host", "path", "page_id", "url", "content"]
+#: Verdicts (about 60 bytes each) that may be broadcast; more are joined by a shuffle of the pages.
+BROADCAST_ROWS = 1_000_000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?:/?[a-zA-Z]|[!?/])[^<>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
@@ -32,11 +41,13 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What holds raw text up to its end tag, or to the end of the page; and other elements whose words don't count.
 RAW = frozenset("script style textarea title xmp".split())
-NO_WORDS = frozenset("noscript iframe noembed noframes template svg object audio video canvas select button".split())
+NO_WORDS = frozenset("noscript iframe noembed noframes template audio video canvas select button".split())
 NEVER_TEXT = frozenset("nav footer aside form head menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id values. Of a container that may hold the article itself ("no-sidebar", "has-ads") only whole values count.
+#: Words of class and id values. A value counts if it has one of these and all its others are of the second list, so
+#: "cookie-notice" and "article-comments" do, and "share-price-report", "comment-free" and "has-ads" don't.
 UNWANTED = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager skip toolbar widget".split())
+BESIDE = frozenset("article page post site reader user box block container wrapper wrap inner outer section area bar slot unit list item items button buttons icons links top bottom left right".split())
 CONTENT = frozenset("article main".split())
 #: What an open element closes when it starts again.
 CLOSES = {"p": frozenset("p"), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -59,7 +70,7 @@ def _verdict(name: str, attributes: str, inside: bool) -> int:
         if name not in ("body", "html", "main"):
             for value in (values.get("class", "").split() + values.get("id", "").split()):
                 words = _TOKEN.findall(value)
-                if words and (words[0] in UNWANTED or words[-1] in UNWANTED) and not {"no", "has", "with", "without"} & set(words) and not (name == "article" and words[0] in CONTENT):
+                if UNWANTED.intersection(words) and all(w in UNWANTED or w in BESIDE for w in words) and not (name == "article" and words[0] in CONTENT):
                     return -1
     if name in CONTENT or values.get("role") in ("main", "article") or "articlebody" in values.get("itemprop", ""):
         return IN_ARTICLE
@@ -184,79 +195,144 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def main_text(lines: list[tuple[int, str]], pair: list[tuple[int, str]] | None) -> tuple[str, int]:
-    """A page's main text, given the lines of its pair, and how many of its lines both have."""
-    shared = [False] * len(lines) if pair is None else common([t for _, t in lines], [t for _, t in pair])
-    article = any(state == IN_ARTICLE for state, _ in lines)
-    kept = [t for (state, t), s in zip(lines, shared, strict=True) if state == IN_ARTICLE or state == UNDECIDED and not article and not s]
-    return "\n\n".join(kept), sum(shared)
+def deleted(page: dict, pair: dict, other: dict | None) -> list[int]:
+    """The numbers of a page's lines that go, given its pair and its other neighbour (each with ``hashes``, ``words``, ``inside``)."""
+    shared = [common(page["hashes"], x["hashes"]) for x in (pair, other) if x is not None]
+    article = sum(n for n, i in zip(page["words"], page["inside"], strict=True) if i)
+    copies = any(2 * sum(n for n, i, s in zip(page["words"], page["inside"], by, strict=True) if i and s) > article for by in shared)
+    return [no for no, inside in enumerate(page["inside"]) if (len(shared) == 2 and not copies and shared[0][no] and shared[1][no] if inside else shared[0][no])]
 
 
-def _told(lines: list[tuple[int, str]]) -> list[str] | None:
-    """The undecided lines, if differencing decides on them: two neighbours with the same ones are copies."""
-    return None if any(state == IN_ARTICLE for state, _ in lines) else [t for state, t in lines if state == UNDECIDED]
+def lined(pages: DataFrame) -> DataFrame:
+    """``LINES`` of each page, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            hashes, words, inside, told = [], [], [], []
+            for html in batch.column("html"):
+                lines = [(state, text) for state, text in lines_of(html.as_py() or "") if state > NEVER]
+                hashes.append([xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for _, t in lines])
+                words.append([t.count(" ") + 1 for _, t in lines])
+                inside.append([state == IN_ARTICLE for state, _ in lines])
+                told.append(xxhash.xxh3_64_intdigest(repr((hashes[-1], inside[-1])).encode()) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ORDER), pa.array(told, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(inside, pa.list_(pa.bool_()))], names=[*ORDER, "told", "hashes", "words", "inside"])
+
+    return cut(_placed(pages).mapInArrow(run, LINES), "lines")
+
+
+def _placed(pages: DataFrame) -> DataFrame:
+    html = F.col("html").cast("string")
+    return pages.select(host_of("url").alias("host"), path_of("url").alias("path"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(html).alias("content"), html.alias("html"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted range with each row's number, and that of its run of copies."""
+    no, run, last = 0, -1, None
+    for batch in batches:
+        runs = []
+        for key in zip(batch.column("host").to_pylist(), batch.column("told").to_pylist(), strict=True):
+            run, last = run + (key != last), key
+            runs.append(run)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(no, no + batch.num_rows), pa.int64()), pa.array(runs, pa.int64())], names=[*batch.schema.names, "no", "run"])
+        no += batch.num_rows
+
+
+def _beyond(ranged: DataFrame) -> DataFrame:
+    """For each range the page before its first run and the one after its last run, as rows of the range with ``no`` -1 and the largest.
+
+    What is numbered here are four runs of each range at most, not pages.
+    """
+    ends = ranged.groupBy("part").agg(F.max("run").alias("_most"))
+    edges = ranged.join(F.broadcast(ends), "part").filter("run < 2 OR run > _most - 2")
+    page = F.struct("host", "path", "told", "hashes", "words", "inside")
+    runs = edges.groupBy("part", "run").agg(F.first("host").alias("host"), F.first("told").alias("told"), F.first("_most").alias("_most"), F.min_by(page, "no").alias("first"), F.max_by(page, "no").alias("last"))
+    order = Window.orderBy("part", "run")
+    new = ~(F.col("host").eqNullSafe(F.lag("host").over(order)) & F.col("told").eqNullSafe(F.lag("told").over(order)))
+    runs = cut(runs.withColumn("whole", F.sum(new.cast("long")).over(order)), "edges")
+    spans = runs.groupBy("whole").agg(F.min_by("first", F.struct("part", "run")).alias("first"), F.max_by("last", F.struct("part", "run")).alias("last"))
+    asked = lambda rows, by, page, no: rows.select("part", (F.col("whole") + by).alias("whole"), F.col("host").alias("_host")).join(spans, "whole").filter(F.col(f"{page}.host") == F.col("_host")).select("part", F.lit(no).cast("long").alias("no"), f"{page}.*")
+    return asked(runs.filter("run = 0"), -1, "last", -1).unionByName(asked(runs.filter("run = _most"), 1, "first", (1 << 63) - 1))
+
+
+VERDICTS = "page_id long, url string, content long, gone array<int>"
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verdicts on sorted pages of ranges; in hand are a run of copies, whose lines are held once, and the page on either side."""
+    out: list[tuple] = []
+    part = before = now = None
+    members: list[tuple] = []
+
+    def close(after: dict | None) -> None:
+        if now is None or not now["hashes"]:
+            return
+        sides = [x for x in (before, after) if x is not None and x["host"] == now["host"]]
+        known: dict[int, list[int]] = {}
+        for path, *key in members if sides else ():
+            first = max(range(len(sides)), key=lambda i: _prefix(sides[i]["path"], path))
+            if first not in known:
+                known[first] = deleted(now, sides[first], sides[1 - first] if len(sides) > 1 else None)
+            if known[first]:
+                out.append((*key, known[first]))
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["part"] != part:
+                close(None)
+                part, before, now, members = row["part"], None, None, []
+            if now is None or (row["host"], row["told"]) != (now["host"], now["told"]):
+                close(row)
+                before = now and {**now, "path": members[-1][0] if members else now["path"]}
+                now, members = row, []
+            if 0 <= row["no"] < (1 << 63) - 1:
+                members.append((row["path"], row["page_id"], row["url"], row["content"]))
+        yield _verdict_rows(out)
+        out.clear()
+    close(None)
+    yield _verdict_rows(out)
+
+
+def _verdict_rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32())))], names=["page_id", "url", "content", "gone"])
+
+
+def verdicts(pages: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``page_id, url, content`` (hash of the html) of the pages of which lines go, and their numbers ``gone``; written to the shared folder."""
+    lines = lined(pages)
+    ranged = lines.repartitionByRange(ranges or parts_for(lines), *ORDER).sortWithinPartitions(*ORDER)
+    ranged = cut(ranged.mapInArrow(_numbered, f"{LINES}, no long, run long").withColumn("part", F.spark_partition_id()), "ranged")
+    columns = ["part", "no", "host", "path", "told", "hashes", "words", "inside"]
+    rows = ranged.select(*columns, "page_id", "url", "content").unionByName(_beyond(ranged).select(*columns), allowMissingColumns=True)
+    # One range is one key: about as many rows as a range was made for.
+    sorted_ = rows.repartition("part").sortWithinPartitions("part", "no")
+    return cut(sorted_.mapInArrow(_decided, VERDICTS).dropDuplicates(["page_id", "url", "content"]), "verdicts")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pages to texts; in hand are a run of copies, whose equal lines are held once, and the page on either side."""
-
-    def runs() -> Iterator[tuple[str | None, list[tuple]]]:
-        run: list[tuple] = []
-        host = told = None
-        for batch in batches:
-            for page_id, url, at, path, html in zip(*(batch.column(c) for c in ("page_id", "url", "host", "path", "html")), strict=True):
-                lines, of = lines_of(html.as_py() or ""), at.as_py()
-                page = (page_id.as_py(), url.as_py(), path.as_py())
-                same = run and of == host and told and told == _told(lines)
-                if run and not same:
-                    yield host, run
-                if same:
-                    run.append((*page, run[-1][3] if lines == run[-1][3] else lines))
-                else:
-                    run, host, told = [(*page, lines)], of, _told(lines)
-        if run:
-            yield host, run
-        yield None, []
-
-    done: list[tuple] = []
-    size = 0
-    before = now = (None, [])
-    for after in runs():
-        run = now[1]
-        sides = (before[1][-1:] if before[0] == now[0] else []) + (after[1][:1] if after[0] == now[0] else [])
-        for i, (page_id, url, path, lines) in enumerate(run):
-            if sides:
-                text, n_shared = main_text(lines, max(sides, key=lambda x: _prefix(x[2], path))[3])
-            else:  # copies of one text and nothing else: it stays
-                text, n_shared = main_text(lines, None)
-                if len(run) > 1:
-                    n_shared = main_text(lines, run[i - 1 if i else 1][3])[1]
-            done.append((page_id, url, text, n_shared))
-            size += len(text)
-            if size > 4 << 20:
-                yield _rows(done)
-                done, size = [], 0
-        before, now = now, after
-    yield _rows(done)
-
-
-def _rows(done: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.string()), pa.array([x[2] for x in done], pa.string()), pa.array([len(x[2]) for x in done], pa.int64()), pa.array([x[3] for x in done], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared"])
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """One row for each page: ``page_id, url, text, n_chars, n_shared`` (lines that its pair has, too).
-
-    ``pages`` needs these columns and ``html``. Null html is empty, a null or odd url has an empty host and path. Repeated rows give
-    a row each; neighbours whose undecided lines are all equal are copies, which pair with the next URL that differs, and keep
-    these lines if their host has no other in the range. At the edge
-    of a range a page pairs with its other neighbour. The html is shuffled once; a hot host is as many ranges as it fills.
+    for batch in slices(batches, "html"):
+        texts, n = [], []
+        for html, gone in zip(batch.column("html"), batch.column("gone").to_pylist(), strict=True):
+            kept = [text for state, text in lines_of(html.as_py() or "") if state > NEVER]
+            out = set(gone or ())
+            texts.append("\n\n".join(t for i, t in enumerate(kept) if i not in out))
+            n.append(len(out))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_deleted"])
+
+
+def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
+    """One row for each page: ``page_id, url, text, n_chars, n_deleted`` (lines that went since its neighbours share them).
+
+    ``pages`` needs these columns and ``html``; others are not read and not returned, whatever their names. Null html is empty, a
+    null or odd url has an empty host and path. Repeated rows give a row each, with one text. Ties of path go by page id, url and a
+    hash of the html. A host with one page, or with copies of one page alone, keeps all lines. A very long page is read whole, by one worker.
+    No rows: no rows. ``ranges``, the partitions of the sort, changes no row; a hot host is as many ranges as it fills.
     """
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of("url").alias("host"), path_of("url").alias("path"), "html")
-    keys = ["host", "path", "page_id", "url"]
-    ranges = max(1, min(parts_for(pages), pages.count() // LEAST_PAGES))
-    ranged = named.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys, F.xxhash64("html"))
-    return ranged.mapInArrow(_extract, TEXT)
+    found = verdicts(pages, ranges)
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    page = _placed(pages).select("page_id", "url", "content", "html").alias("p")
+    same = F.col("p.page_id").eqNullSafe(F.col("v.page_id")) & F.col("p.url").eqNullSafe(F.col("v.url")) & (F.col("p.content") == F.col("v.content"))
+    return page.join(found.alias("v"), same, "left").select("p.page_id", "p.url", "html", "gone").mapInArrow(_extract, TEXT)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
