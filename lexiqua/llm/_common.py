@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -20,6 +20,10 @@ SLICE_BYTES = 4 << 20
 
 #: The C library's call that returns freed memory, where it has one.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+#: Arrays of a megabyte or more have pages of their own (``M_MMAP_THRESHOLD``), which go back as soon as an array is freed: a
+#: worker that lives on through tasks of other kinds keeps none of what the last one took.
+if hasattr(ctypes.CDLL(None), "mallopt"):
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -104,8 +108,25 @@ def parts_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     return max(least, min(size // bytes_each + 1, 1_000_000))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches again, cut so that the column ``text`` holds about ``most`` bytes in each; one document is never cut."""
+#: What a worker keeps between tasks of one kind: one thing at most.
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, build: Callable[[], object]) -> object:
+    """What ``build`` makes, made once in a worker as long as it runs tasks that ask for the same."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES, keeps: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches again, cut so that the column ``text`` holds about ``most`` bytes in each; one document is never cut.
+
+    A task that doesn't ``keep`` anything lets go of what the worker kept for tasks of other kinds.
+    """
+    if not keeps:
+        _kept.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

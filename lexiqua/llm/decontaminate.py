@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiqua.llm._common import new_folder, slices, split_words, spread, translated
+from lexiqua.llm._common import kept, new_folder, slices, split_words, spread, translated
 
 #: Lower-cases A-Z and turns each other ASCII character that belongs to no word into a space.
 WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
@@ -169,19 +169,17 @@ def write_blocks(bench: DataFrame, folder: str, block_words: int = BLOCK_WORDS)
     return sorted(r[0] for r in rows.mapInArrow(run, "name string").collect())
 
 
-_blocks: dict[tuple[str, int], Block] = {}
-
-
-def _block(store, path: str, window: int) -> Block:
+def _block(store, folder: str, name: str, window: int) -> Block:
     """A block of test texts; a worker keeps a few."""
     from pyarrow import parquet
 
-    if (path, window) not in _blocks:
-        table = parquet.read_table(path, filesystem=store)
-        while len(_blocks) >= KEPT_BLOCKS:
-            del _blocks[next(iter(_blocks))]
-        _blocks[path, window] = Block([x or "" for x in table.column("item_id").to_pylist()], table.column("text").combine_chunks(), window)
-    return _blocks[path, window]
+    blocks = kept(("blocks", folder, window), dict)
+    if name not in blocks:
+        table = parquet.read_table(f"{folder}/{name}", filesystem=store)
+        while len(blocks) >= KEPT_BLOCKS:
+            del blocks[next(iter(blocks))]
+        blocks[name] = Block([x or "" for x in table.column("item_id").to_pylist()], table.column("text").combine_chunks(), window)
+    return blocks[name]
 
 
 def match(docs: DataFrame, bench: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, columns: list[str] | None = None) -> DataFrame:
@@ -193,7 +191,7 @@ def match(docs: DataFrame, bench: DataFrame, window: int = 10, block_words: int
     A document longer than a shard is a shard of its own, whole, whose arrays are about 60 bytes a word.
     """
     docs = docs.drop(*FIGURES)
-    kept = [c for c in docs.columns if columns is None or c in columns]
+    given = [c for c in docs.columns if columns is None or c in columns]
     folder = new_folder(docs.sparkSession, "blocks")
     names = write_blocks(bench, folder, block_words)
 
@@ -201,20 +199,20 @@ def match(docs: DataFrame, bench: DataFrame, window: int = 10, block_words: int
         from pyarrow import fs
 
         store, top = fs.FileSystem.from_uri(folder)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keeps=True):
             shard = Shard(batch.column("text"), window)
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for name in names:
-                block = _block(store, f"{top}/{name}", window)
+                block = _block(store, top, name, window)
                 item, start, place, length = shard.search(block)
                 row = np.searchsorted(shard.first, place, side="right") - 1
                 for r, i, s, p, n in zip(row.tolist(), item.tolist(), start.tolist(), (place - shard.first[row]).tolist(), length.tolist(), strict=True):
                     found[r].append({"item_id": block.ids[i], "item_word": s, "doc_word": p, "n_words": n})
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(shard.counts, pa.int64()), pa.array(found, _SPANS)], names=[*kept, "n_words", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), pa.array(shard.counts, pa.int64()), pa.array(found, _SPANS)], names=[*given, "n_words", "spans"])
 
-    schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans")).schema
-    found = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"]))).mapInArrow(run, schema)
-    return _summary(found).select(*(F.col(f"`{c}`") for c in kept), *FIGURES)
+    schema = docs.select(*(F.col(f"`{c}`") for c in given), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans")).schema
+    found = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*given, "text"]))).mapInArrow(run, schema)
+    return _summary(found).select(*(F.col(f"`{c}`") for c in given), *FIGURES)
 
 
 def _summary(docs: DataFrame) -> DataFrame:
@@ -235,8 +233,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10) -> DataFr
     """
     own = {c: f"_own_{c}" for c in docs.columns if c in FIGURES}
     renamed = docs.withColumnsRenamed(own)
-    kept = match(renamed, bench, window).filter("n_hit = 0")
-    return kept.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
+    clean = match(renamed, bench, window).filter("n_hit = 0")
+    return clean.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

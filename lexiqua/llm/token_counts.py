@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiqua.llm._common import filled, slices, sums
+from lexiqua.llm._common import filled, kept, slices, sums
 
 #: Words whose counts a worker keeps; kept as they come, which keeps the frequent ones.
 KEPT_WORDS = 500_000
@@ -113,9 +113,6 @@ class Counter:
         return np.where(empty, 0, total)
 
 
-_counters: dict[int, Counter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], unk: int = 0, byte_fallback: bool = True) -> DataFrame:
     """``docs`` (its columns but ``text``) with ``n_tokens``: tokens of each whole text.
 
@@ -124,18 +121,15 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], unk: int
     spaces, what is held beside it is as long as the longest piece. Ties of scores are the library's. No rows: no rows.
     """
     docs = docs.drop("n_tokens")
-    kept = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((vocabulary, unk, byte_fallback)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value)
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = Counter(*pickle.loads(shared.value))
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(_counters[key].counts(filled(batch.column("text"))))], names=[*kept, "n_tokens"])
-
-    schema = docs.select(*kept, F.lit(0).cast("long").alias("n_tokens")).schema
+        counter = kept(("counter", hash(shared.value)), lambda: Counter(*pickle.loads(shared.value)))
+        for batch in slices(batches, "text", keeps=True):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(counter.counts(filled(batch.column("text"))))], names=[*others, "n_tokens"])
+
+    schema = docs.select(*others, F.lit(0).cast("long").alias("n_tokens")).schema
     return docs.mapInArrow(run, schema)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiqua.llm._common import cut, filled, new_folder, parts_for, slices, split_words, spread
+from lexiqua.llm._common import cut, filled, kept, new_folder, parts_for, slices, split_words, spread
 
 MANIFEST = "shard string, first_part long, first_id long, first_hash long, n_docs long, n_ids long, width int"
 DOCS = "shard string, no long, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -48,7 +48,7 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
         self.by_word = self._apart()
 
     def _apart(self) -> bool:
@@ -59,20 +59,25 @@ class WordEncoder:
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         return ids(PROBE) == [i for w in PROBE.split() for i in ids(w)]
 
-    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Each word's ids, as unsigned 32-bit integers in a row."""
         odd = {i for i, w in enumerate(words) if BETWEEN in w or any(a in w for a in self.added)}
         found: list = [None] * len(words)
         for i in odd:
-            found[i] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32)
+            found[i] = self._alone(words[i])
         plain = [i for i in range(len(words)) if i not in odd]
         for low in range(0, len(plain), 2000):
             some = plain[low : low + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(words[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
-            parts = np.split(ids, np.flatnonzero(ids == self.between[0])) if len(self.between) == 1 else []
-            if len(parts) != len(some):  # the separator isn't one id here
-                parts = [np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32) for i in some]
+            cuts = np.flatnonzero(ids == self.between[0]) if len(self.between) == 1 else []
+            if len(cuts) != len(some) - 1:  # the separator isn't one id here
+                parts = [self._alone(words[i]) for i in some]
             else:
-                parts = [parts[0], *(x[1:] for x in parts[1:])]
+                data, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+                parts = [data[start:end] for start, end in zip([0, *(e + 4 for e in ends)], ends)]
             for i, x in zip(some, parts, strict=True):
                 found[i] = x
         return found
@@ -90,8 +95,8 @@ class WordEncoder:
             ids[i] = x
             if len(self.known) < KEPT_WORDS:
                 self.known[words[i]] = x
-        ids.append(np.array([end_id], np.uint32))
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids.append(np.uint32(end_id).tobytes())
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.cumsum(length) - length
         n = len(first) - 1
         sequence = np.full(len(codes) + n, len(words), np.int64)
@@ -99,19 +104,14 @@ class WordEncoder:
         mask[first[1:] + np.arange(n)] = False
         sequence[mask] = codes
         lengths = length[sequence]
-        out = np.concatenate(ids)[spread(start[sequence], lengths)]
+        out = np.frombuffer(b"".join(ids), np.uint32)[spread(start[sequence], lengths)]
         total = np.concatenate(([0], np.cumsum(lengths)))
         return out, np.diff(total[np.concatenate(([0], first[1:] + np.arange(1, n + 1)))])
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """This worker's encoder for a tokenizer file; kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """This worker's encoder for a tokenizer file."""
+    return kept(("encoder", path), lambda: WordEncoder(path))
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, place: tuple[str, str] | None = None) -> DataFrame:
@@ -138,7 +138,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, plac
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
         name, out, counts, ids, first = uuid.uuid4().hex, None, [], [], None
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keeps=True):
             if out is None:
                 out = store.open_output_stream(f"{top}/{name}.bin")
                 first = tuple(batch.column(c)[0].as_py() for c in ("_part", "_no", "_h"))
