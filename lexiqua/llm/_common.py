@@ -152,8 +152,9 @@ def filled(column: pa.Array) -> pa.Array:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = pc.fill_null(column, "")
     offsets = np.frombuffer(column.buffers()[1] or b"\0\0\0\0", np.int32)[column.offset : column.offset + len(column) + 1]
-    if len(column) and (column.offset or offsets[0]):
-        data = column.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if column.buffers()[2] else pa.py_buffer(b"")
+    held = column.buffers()[2]
+    if len(column) and (column.offset or offsets[0] or held is not None and held.size > offsets[-1]):
+        data = held.slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if held else pa.py_buffer(b"")
         column = pa.StringArray.from_buffers(len(column), pa.py_buffer(offsets - offsets[0]), data)
     return column
 
