@@ -117,3 +117,17 @@ def test_one_of_each(spark):
 
 def test_no_rows(spark):
     assert run(spark, []) == [] and j.one_of_each(frame(spark, [])).count() == 0
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from lexiqua.llm import components as c
+
+    rng = random.Random(11)
+    links = [(0, i) for i in range(1, 60)] + [(100, i) for i in range(101, 150)] + [(59, 200), (200, 101)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    root = list(range(400))
+    for a, b in links * 400:
+        root[a] = root[b] = min(root[a], root[b])
+    want = {i: r for i, r in enumerate(root) if r != i}
+    for hub in (5, 40, 10_000):
+        monkeypatch.setattr(c, "HUB_LINKS", hub)
+        assert {r.id: r.label for r in c.components(spark.createDataFrame(links, "u long, v long")).collect()} == want
