@@ -26,7 +26,7 @@ from lexiqua.llm._common import cut, filled, kept, new_folder, parts_for, slices
 MANIFEST = "shard string, first_part long, first_id long, first_hash long, n_docs long, n_ids long, width int"
 DOCS = "shard string, no long, doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Words whose ids a Python worker keeps. Words are kept as they come, which keeps the frequent ones.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 #: A pretoken between words that are encoded together; words that hold it are encoded alone.
 BETWEEN = "\x00"
 #: Words of many kinds between each kind of ASCII white space, alone and in rows.
