@@ -91,3 +91,74 @@ def solve_steps(given: dict[str, Column], steps: list[dict]) -> dict[str, Column
 def triangular(n: Column) -> Column:
     """1 + 2 + ... + n for whole n of 0 or more; an error otherwise."""
     return F.when((n >= 0) & (n == F.floor(n)), n * (n + 1) / 2).otherwise(F.raise_error(F.lit("n must be a whole number of 0 or more")).cast("double"))
+
+
+#: The distinct expressions that formulas found in texts came to.
+GENERATED = [
+    "c**2*m", "-C*H**2 + CH", "turning", "down", "by", "C*H**2", "1000*cal", "x", "smelly", "n**4", "m/n", "kx", "c", "bladder", "aryl", "a*c", "a", "DeltaE", "Da", "CHCO - 2", "CF*t", "1418*dinars", "100*kg",
+]
+
+
+def names_of(expression: str) -> list[str]:
+    """The names that an expression needs values for, in order of the alphabet."""
+    return sorted({n.id for n in ast.walk(ast.parse(expression.replace("^", "**"), mode="eval")) if isinstance(n, ast.Name)} - set(_CONSTANTS) - set(_FUNCTIONS))
+
+
+def shown(c: Column) -> Column:
+    """A number to six digits, without zeros at the end; with an exponent below 0.0001 and from a million on."""
+    c = c.cast("double")
+    written = F.format_string("%.5e", c)
+    mantissa, exponent = F.substring_index(written, "e", 1), F.substring_index(written, "e", -1).cast("int")
+    bare = lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x)
+    plain = F.printf(F.concat(F.lit("%."), (F.lit(5) - F.when(exponent.between(-4, 5), exponent).otherwise(0)).cast("string"), F.lit("f")), c)
+    return F.when(exponent.between(-4, 5), bare(plain)).otherwise(F.concat(bare(mantissa), F.lit("e"), F.substring_index(written, "e", -1)))
+
+
+def _solved(given: dict[str, Column], steps: list[dict]) -> list[tuple[dict, Column]]:
+    known = solve_steps(given, steps)
+    return [(step, known[step["assign"]]) for step in steps]
+
+
+def _unit(step: dict) -> str:
+    return step.get("to_unit") or step.get("unit") or ""
+
+
+def render_annotated(given: dict[str, Column], steps: list[dict]) -> Column:
+    """A solution as a text: what is given, each step with its result, and the last result as the answer."""
+    out = [F.lit("Given:")] + [F.concat(F.lit(f"  {k} = "), shown(v)) for k, v in given.items()] + [F.lit("Steps:")]
+    solved = _solved(given, steps)
+    for i, (step, value) in enumerate(solved, 1):
+        told = F.concat(F.lit("    Result: "), shown(value), F.lit(f" {_unit(step)}".rstrip()))
+        out += [F.lit(f"  {i}. {step.get('description', step['assign'])}"), F.lit(f"    Formula: {step['expression']}"), F.when(value.isNull(), "    Error: no value").otherwise(told)]
+    step, value = solved[-1]
+    return F.concat_ws("\n", *out, F.when(value.isNull(), "Answer: could not be determined").otherwise(F.concat(F.lit(f"Answer: {step['assign']} = "), shown(value), F.lit(f" {_unit(step)}".rstrip()))))
+
+
+def render_json(given: dict[str, Column], steps: list[dict]) -> Column:
+    """A solution as JSON: ``given``, ``steps`` (expression, result, unit) and ``answer``."""
+    solved = _solved(given, steps)
+    told = [F.struct(F.lit(s["expression"]).alias("expression"), F.lit(s["assign"]).alias("assign"), v.alias("result"), F.lit(_unit(s)).alias("unit")) for s, v in solved]
+    return F.to_json(F.struct(F.struct(*(v.alias(k) for k, v in given.items())).alias("given"), F.array(*told).alias("steps"), solved[-1][1].alias("answer")))
+
+
+def render_latex(given: dict[str, Column], steps: list[dict]) -> Column:
+    """A solution as LaTeX: given values, numbered steps with their formula and result, the answer in bold."""
+    out = [F.lit(r"\textbf{Given:}")] + [F.concat(F.lit(f"  ${k} = "), shown(v), F.lit("$")) for k, v in given.items()] + [F.lit(r"\textbf{Steps:}")]
+    solved = _solved(given, steps)
+    unit = lambda s: r"\,\text{" + _unit(s) + "}" if _unit(s) else ""
+    for i, (step, value) in enumerate(solved, 1):
+        out += [F.lit(f"  {i}. {step.get('description', step['assign'])}"), F.lit(f"  $${step['expression']}$$"), F.concat(F.lit("  $= "), shown(value), F.lit(f"{unit(step)}$"))]
+    step, value = solved[-1]
+    return F.concat_ws("\n", *out, F.concat(F.lit(r"\textbf{Answer:} $" + f"{step['assign']} = "), shown(value), F.lit(f"{unit(step)}$")))
+
+
+def heat_balance(q: Column, w: Column) -> Column:
+    """The change of inner energy: heat in less work done."""
+    return q - w
+
+
+def curve(expression: str, name: str, start: Column, end: Column, points: int, values: dict[str, Column] | None = None) -> Column:
+    """``points`` places from ``start`` to ``end``, evenly, as structs ``x`` and ``y``, the expression's value there."""
+    at = F.sequence(F.lit(0), F.lit(points - 1))
+    x = lambda i: start + (end - start) * i / float(max(1, points - 1))
+    return F.transform(at, lambda i: F.struct(x(i).alias("x"), compile_expression(expression, {**(values or {}), name: x(i)}).alias("y")))

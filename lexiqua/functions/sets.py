@@ -28,7 +28,7 @@ def inclusion(broad: Column, narrow: Column) -> Column:
 
 def profile(c: Column) -> Column:
     """A text's four word sets, computed once and compared often."""
-    return F.struct(text.nouns(c).alias("nouns"), text.predicates(c).alias("predicates"), text.participles(c).alias("participles"), text.connectives(c).alias("connectives"))
+    return text.word_classes(c)
 
 
 def percent_similarity(a: Column, b: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiqua.functions import text
 
+#: Words that may go into a plan as literals, and rows that may be broadcast.
+LITERAL_WORDS, BROADCAST_ROWS = 5_000, 1_000_000
+
 
 def siblings(df: DataFrame, group: str, key: str, most: int = 10) -> DataFrame:
     """Each row's first other keys of its group."""
@@ -41,22 +44,62 @@ def cooccurring(df: DataFrame, text_col: str, terms: list[str], most: int = 5) -
 
 
 def known_part(df: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame) -> DataFrame:
-    """The part of a text's tokens that the vocabulary (``word``) has; 1 for a text without tokens."""
-    tokens = df.select(F.col(id_col).alias("_id"), F.explode_outer(text.tokenize(F.col(text_col))).alias("t"))
-    counts = tokens.groupBy("_id", "t").agg(F.count("t").alias("n"))
-    known = counts.join(vocabulary.select(F.col("word").alias("t"), F.lit(True).alias("known")).distinct(), "t", "left")
-    sums = known.groupBy("_id").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("has"))
-    return sums.select(F.col("_id").alias(id_col), F.when(F.col("all") == 0, 1.0).otherwise(F.col("has") / F.greatest("all", F.lit(1))).alias("known_part"))
+    """The part of a text's tokens that the vocabulary (``word``) has, a row for each row of ``df``; 1 for a text without tokens.
+
+    A vocabulary of up to ``LITERAL_WORDS`` words goes into the plan as a hash set and texts are judged in their rows. A larger one
+    is joined to each row's distinct tokens: broadcast by its count, else shuffled.
+    """
+    tokens = text.tokenize(F.col(text_col))
+    words = vocabulary.select("word").filter("word IS NOT NULL").distinct()
+    known = [r[0] for r in words.limit(LITERAL_WORDS + 1).collect()]
+    share = lambda has, n: F.when(n == 0, 1.0).otherwise(has / F.greatest(n, F.lit(1)))
+    if len(known) <= LITERAL_WORDS:
+        has = F.size(F.filter("_t", lambda t: t.isin(*known))) if known else F.lit(0)
+        return df.select(id_col, tokens.alias("_t")).select(id_col, share(has, F.size("_t")).alias("known_part"))
+    rows = df.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("no")).alias("_id"), tokens.alias("_t")).select("_id", F.explode_outer("_t").alias("t"))
+    counts = rows.groupBy("_id", "t").agg(F.count("t").alias("n"))
+    listed = words.select(F.col("word").alias("t"), F.lit(True).alias("known"))
+    joined = counts.join(F.broadcast(listed) if words.count() <= BROADCAST_ROWS else listed, "t", "left")
+    sums = joined.groupBy("_id").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("has"))
+    return sums.select(F.col("_id.id").alias(id_col), share(F.col("has"), F.col("all")).alias("known_part"))
 
 
 def occurrences(df: DataFrame, text_col: str, terms: list[str]) -> DataFrame:
-    """How often each term is part of the texts, and the grand total (a null term)."""
-    one = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.regexp_count(F.lower(text.blank(F.col(text_col))), F.lit(t)).alias("n")) for t in terms])).alias("c")
+    """How often each term is part of the texts, whatever characters it has, and the grand total (a null term)."""
+    one = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), text.occurrences(F.col(text_col), t).alias("n")) for t in terms])).alias("c")
     return df.select(one).select("c.*").rollup("term").agg(F.sum("n").alias("n"))
 
 
-def bridge(shared, thesaurus_terms=None):
-    """The first shared term in the thesaurus of both, else the first of at most 12 letters."""
-    short = F.filter(shared, lambda t: F.length(t) <= 12)
-    first = F.get(short, F.lit(0))
-    return first if thesaurus_terms is None else F.coalesce(F.get(F.array_intersect(shared, thesaurus_terms), F.lit(0)), first)
+def bridges(pairs: DataFrame, thesaurus: DataFrame) -> DataFrame:
+    """``pairs`` (``a, b, shared``) with ``bridge``: a shared term whose entry in the thesaurus (``word, subject``) names both, else the
+    first shared term of at most 12 letters, else the first word of the thesaurus that names both. Names meet in lower case."""
+    edges = thesaurus.select("word", F.lower("subject").alias("subject")).distinct()
+    keyed = pairs.select("a", "b", "shared", F.lower("a").alias("_x"), F.lower("b").alias("_y"))
+    both = keyed.select("a", "b", "_x", "_y").distinct().join(edges.withColumnRenamed("subject", "_x"), "_x").join(edges.withColumnRenamed("subject", "_y"), ["_y", "word"])
+    named = both.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.array_sort(F.collect_set("word")).alias("_words"))
+    met = F.get(F.filter("shared", lambda t: F.array_contains(F.coalesce("_words", F.array().cast("array<string>")), t)), F.lit(0))
+    joined = pairs.join(named, F.col("a").eqNullSafe(F.col("_a")) & F.col("b").eqNullSafe(F.col("_b")), "left")
+    return joined.withColumn("bridge", F.coalesce(met, F.get(F.filter("shared", lambda t: F.length(t) <= 12), F.lit(0)), F.get("_words", F.lit(0)))).drop("_a", "_b", "_words")
+
+
+def track_word(relationships: DataFrame, word: str) -> DataFrame:
+    """Code relationships (``ord, term, description, related_terms, example``) after an inquiry for a word: unless some entry is it or
+    relates to it, it joins the related terms of the first entry whose description or example holds it."""
+    w = F.lit(word)
+    none = F.array().cast("array<string>")
+    marked = relationships.withColumn("_knows", (F.col("term") == w) | F.array_contains(F.coalesce("related_terms", none), w)).withColumn("_holds", F.contains(F.coalesce("description", F.lit("")), w) | F.contains(F.coalesce("example", F.lit("")), w))
+    told = marked.agg(F.coalesce(F.bool_or("_knows"), F.lit(False)).alias("_known"), F.min(F.when(F.col("_holds"), F.col("ord"))).alias("_first"))
+    joined = marked.crossJoin(F.broadcast(told))  # one row
+    here = ~F.col("_known") & (F.col("ord") == F.col("_first"))
+    return joined.withColumn("related_terms", F.when(F.coalesce(here, F.lit(False)), F.array_append(F.coalesce("related_terms", none), w)).otherwise(F.col("related_terms"))).select(*relationships.columns)
+
+
+def by_normal_key(entries: DataFrame, key: str) -> DataFrame:
+    """The first entry (``file, ord, key``) whose key is the wanted one once both are plain words."""
+    same = text.normalize_key(F.col("key")) == text.normalize_key(F.lit(key))
+    return entries.filter(same).orderBy("file", "ord").limit(1)
+
+
+def first_of(df: DataFrame, group: list[str], order: list, most: int) -> DataFrame:
+    """The first rows of each group in an order (siblings, history, evidence, clarifiers: each with its own number)."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= most)

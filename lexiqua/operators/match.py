@@ -16,6 +16,9 @@ GROUPS = {
     "math": "algebra linear_algebra calculus math geometry complex_numbers probability statistics trigonometry vectors".split(),
     "science": "biology chemistry physics thermodynamics".split(), "code": ["code_dictionary"], "definitions": ["wikipedia_defs"],
 }
+#: Keywords of all prompts that go into one plan, at most.
+MOST_KEYWORDS = 1_000
+# Fixed value: what an equation in a gloss looks like.
 EQUATION = r"([A-Za-z0-9()\[\]{}.+\-^_=/]+\s*=\s*[A-Za-z0-9().+\-^_/]+)"
 
 
@@ -45,12 +48,27 @@ def order_of(gloss: Column) -> Column:
     return F.when(equation != "", equation).when(F.length(g) > 200, F.concat(F.substring(g, 1, 200), F.lit("..."))).otherwise(g)
 
 
+def keyword_counts(tokens: Column) -> Column:
+    """An array's words as structs ``less`` (minus the count), ``pos`` (first place), ``keyword``, most frequent first, ties by first place."""
+
+    def counted(ordered: Column) -> Column:
+        at = lambda i: F.get(ordered, i)
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (at(i)["w"] != at(F.greatest(i - 1, F.lit(0)))["w"]))
+        each = lambda starts: F.transform(starts, lambda b, k: F.struct((b - F.coalesce(F.get(starts, k + 1), F.size(ordered))).alias("less"), at(b)["pos"].alias("pos"), at(b)["w"].alias("keyword")))
+        return F.sort_array(F.get(F.transform(F.array(starts), each), F.lit(0)))
+
+    placed = F.sort_array(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("pos"))))
+    return F.when(F.size(tokens) > 0, F.get(F.transform(F.array(placed), counted), F.lit(0)))
+
+
 def keywords(df: DataFrame, id_cols: list[str], text_col: str, top: int = 6) -> DataFrame:
-    """The most frequent keywords of each row's text, ties by first place: ``id_cols, keyword, n, rank``."""
-    tokens = df.select(*id_cols, F.posexplode(text.keyword_tokens(F.col(text_col))).alias("pos", "keyword"))
-    counts = tokens.groupBy(*id_cols, "keyword").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy(*id_cols).orderBy(F.desc("n"), "pos"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= top).select(*id_cols, "keyword", "n", "rank")
+    """The most frequent keywords of each row's text, ties by first place: ``id_cols, keyword, n, rank``.
+
+    All of a text's words are in its row, so they are sorted and counted there; nothing is shuffled.
+    """
+    counts = keyword_counts(text.keyword_tokens(F.col(text_col)))
+    best = df.select(*id_cols, F.posexplode(F.slice(counts, 1, top)).alias("_at", "_k"))
+    return best.select(*id_cols, F.col("_k.keyword").alias("keyword"), (-F.col("_k.less")).cast("long").alias("n"), (F.col("_at") + 1).alias("rank"))
 
 
 def matches(entries: DataFrame, words: list[str]) -> DataFrame:
@@ -72,13 +90,25 @@ def matches(entries: DataFrame, words: list[str]) -> DataFrame:
     return keyed.withColumn("hit", F.explode(found)).select(F.col("kw.keyword").alias("keyword"), "file", "key", "senses", "hit.field", "hit.sense")
 
 
-def taxonomy(found: DataFrame) -> DataFrame:
-    """Matches as taxa: ``keyword, kingdom, phylum, family, order, variable, type, value``."""
-    first = F.get("senses", F.lit(0))["gloss"]
+def last_matches(found: DataFrame) -> DataFrame:
+    """Of the matches of one entry the last (by field, then sense), so each file and key is there once."""
+    last = F.row_number().over(Window.partitionBy("file", "key").orderBy(F.desc("sense"), F.desc("field"), "keyword"))
+    return found.withColumn("_n", last).filter("_n = 1").drop("_n")
+
+
+def choose_sense(senses: Column) -> Column:
+    """The first sense of an entry; null without any."""
+    return F.get(senses, F.lit(0))
+
+
+def taxonomy(found: DataFrame, more: bool = False) -> DataFrame:
+    """Matches as taxa: ``keyword, kingdom, phylum, family, order, variable, type, value``; with ``more``, their entry's ``key``, first ``gloss`` and ``synonyms``, too."""
+    first = choose_sense(F.col("senses"))
     gloss = F.get("senses", F.col("sense"))["gloss"]
-    told = F.when(F.col("field") == "key", first).otherwise(gloss)
-    value = F.when(F.col("field") == "synonym", F.array_join(F.get("senses", F.col("sense"))["synonyms"], ", ")).when(F.col("field") == "gloss", gloss).otherwise(first)
-    return found.select("keyword", kingdom(F.col("file")).alias("kingdom"), F.regexp_replace("file", r"\.json$", "").alias("phylum"), family(told).alias("family"), order_of(told).alias("order"), text.normalize(F.col("key")).alias("variable"), F.when(F.col("field") == "key", "entry").otherwise(F.col("field")).alias("type"), text.blank(value).alias("value"))
+    told = F.when(F.col("field") == "key", first["gloss"]).otherwise(gloss)
+    value = F.when(F.col("field") == "synonym", F.array_join(F.get("senses", F.col("sense"))["synonyms"], ", ")).when(F.col("field") == "gloss", gloss).otherwise(first["gloss"])
+    also = ["key", text.blank(first["gloss"]).alias("gloss"), F.coalesce(first["synonyms"], F.array().cast("array<string>")).alias("synonyms")] if more else []
+    return found.select("keyword", kingdom(F.col("file")).alias("kingdom"), F.regexp_replace("file", r"\.json$", "").alias("phylum"), family(told).alias("family"), order_of(told).alias("order"), text.normalize(F.col("key")).alias("variable"), F.when(F.col("field") == "key", "entry").otherwise(F.col("field")).alias("type"), text.blank(value).alias("value"), *also)
 
 
 def score() -> Column:

@@ -2,38 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiqua.functions import sets, text
 
 #: Thresholds of the tiers.
 EQUAL_OVERLAP, INCLUDES, OVERLAPS = 0.85, 0.6, 0.25
+KINDS = ("nouns", "predicates", "participles", "connectives")
+
+
+def _empty_keys(profile: Column, least: float) -> Column:
+    """Keys on which texts meet that are alike by what both lack: each least set of kinds whose weights reach ``least`` and that a text has none of."""
+    weights = dict(zip(KINDS, sets.WEIGHTS, strict=True))
+    enough = [set(s) for n in range(1, len(KINDS) + 1) for s in combinations(KINDS, n) if sum(weights[k] for k in s) * 100 >= least - 1e-9]
+    keys = []
+    for s in (s for s in enough if not any(t < s for t in enough)):
+        none = F.lit(True)
+        for kind in sorted(s):
+            none = none & (F.size(profile[kind]) == 0)
+        keys.append(F.when(none, F.lit("none of " + " ".join(sorted(s)))))
+    return F.filter(F.array(*keys), lambda k: k.isNotNull()) if keys else F.array().cast("array<string>")
 
 
 def similar_pairs(df: DataFrame, id_col: str, text_col: str, least: float = 20.0) -> DataFrame:
     """Pairs ``a < b`` of at least ``least`` percent similarity: ``a, b, percent, shared`` (nouns in both).
 
-    Two empty sets are alike, so pairs meet on any word of a kind, or on both having none of a kind: pairs that do neither
-    have 0 percent. Texts are profiled once; the words that pairs meet on are shuffled, not all pairs of texts.
+    Two empty sets are alike. Pairs meet on a word of a kind; on what both lack only where that alone reaches ``least``, so each
+    such meeting is a row of the result. Texts are profiled once; what pairs meet on is shuffled, not all pairs of texts.
     """
     if least <= 0:
         raise ValueError("pairs of 0 percent aren't joined")
     rows = df.select(F.col(id_col).alias("id"), sets.profile(F.col(text_col)).alias("p"))
-    kinds = ("nouns", "predicates", "participles", "connectives")
-
-    def marked(kind: str) -> Column:
-        own = F.col("p")[kind]
-        return F.when(F.size(own) == 0, F.array(F.lit(f"{kind}:"))).otherwise(F.transform(own, lambda w: F.concat(F.lit(f"{kind}:"), w)))
-
-    meets = F.concat(*map(marked, kinds))
-    keyed = rows.select("id", F.explode(meets).alias("k"))
+    marked = [F.transform(F.col("p")[kind], lambda w, kind=kind: F.concat(F.lit(f"{kind}:"), w)) for kind in KINDS]
+    keyed = rows.select("id", F.explode(F.concat(*marked, _empty_keys(F.col("p"), least))).alias("k"))
     pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     scored = pairs.join(rows.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(rows.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
     scored = scored.withColumn("percent", sets.percent_similarity(F.col("pa"), F.col("pb"))).filter(F.col("percent") >= least)
     return scored.select("a", "b", "percent", F.array_sort(F.array_intersect("pa.nouns", "pb.nouns")).alias("shared"))
 
 
+def best_pairs(pairs: DataFrame, most: int = 50) -> DataFrame:
+    """The most similar pairs (``a, b, percent, shared``) with their first six shared terms, ranked; ties by names."""
+    rank = F.row_number().over(Window.orderBy(F.desc("percent"), "a", "b"))
+    best = pairs.orderBy(F.desc("percent"), "a", "b").limit(most)
+    return best.withColumn("rank", rank).withColumn("shared", F.slice("shared", 1, 6))
+
+
+def exemplified_pairs(df: DataFrame, id_col: str, text_col: str, most: int = 20) -> DataFrame:
+    """Pairs that share nouns, by how many of their first six shared nouns a sentence of either has, then by all shared:
+    ``a, b, examples, shared, rank``, the first ``most``."""
+    nouns = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.explode(text.nouns(F.col(text_col))).alias("noun"))
+    met = nouns.alias("x").join(nouns.alias("y"), (F.col("x.noun") == F.col("y.noun")) & (F.col("x.id") < F.col("y.id")))
+    pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.slice(F.array_sort(F.collect_list("x.noun")), 1, 6).alias("nouns"), F.count("*").alias("shared"))
+    told = lambda side: df.select(F.col(id_col).alias(side), F.lower(text.blank(F.col(text_col))).alias(f"t{side}"))
+    both = pairs.join(told("a"), "a").join(told("b"), "b")
+    examples = F.size(F.filter("nouns", lambda n: F.contains("ta", n) | F.contains("tb", n)))
+    best = both.select("a", "b", examples.alias("examples"), "shared").filter("examples > 0").orderBy(F.desc("examples"), F.desc("shared"), "a", "b").limit(most)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("examples"), F.desc("shared"), "a", "b")))
+
+
 def shared_noun_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs ``a < b`` with a noun in common and how many: an equi-join on nouns."""
     nouns = df.select(F.col(id_col).alias("id"), F.explode(text.nouns(F.col(text_col))).alias("noun"))
@@ -51,9 +81,49 @@ def relation(a: Column, b: Column) -> Column:
 
 
 def relations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs ``a < b`` that share a token, with their relation; all other pairs are distinct."""
+    """Pairs ``a < b`` that are not distinct, with their relation.
+
+    Any relation needs a part of one text's words in the other, so pairs meet on a prefix: of each text its rarest words
+    (counted over all texts), as many as leave too few others for any tier. Frequent words bring no pairs together.
+    """
     rows = df.select(F.col(id_col).alias("id"), text.tokenize(F.col(text_col)).alias("t"))
-    keyed = rows.select("id", F.explode(F.array_distinct("t")).alias("k"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    counts = rows.select("id", F.size("t").alias("n"), F.explode("t").alias("k")).groupBy("id", "n", "k").agg(F.count("*").alias("m"))
+    texts = counts.groupBy("k").agg(F.count("*").alias("texts"))
+    ranked = counts.join(texts, "k")
+    before = Window.partitionBy("id").orderBy("texts", "k").rowsBetween(Window.unboundedPreceding, -1)
+    place, ahead = F.row_number().over(Window.partitionBy("id").orderBy("texts", "k")), F.coalesce(F.sum("m").over(before), F.lit(0))
+    ranked = ranked.withColumn("place", place).withColumn("ahead", ahead).withColumn("d", F.count("*").over(Window.partitionBy("id")))
+    # Included texts have INCLUDES of their words in the other; overlapping ones OVERLAPS of their distinct words.
+    first = ranked.filter((F.col("ahead") <= (1 - INCLUDES) * F.col("n") + 1e-9) | (F.col("place") <= F.col("d") - F.ceil(OVERLAPS * F.col("d")) + 1)).select("id", "k")
+    met = first.alias("x").join(counts.select("id", "k").alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") != F.col("y.id")))
+    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     both = pairs.join(rows.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(rows.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return both.select("a", "b", relation(F.col("ta"), F.col("tb")).alias("relation"))
+    return both.select("a", "b", relation(F.col("ta"), F.col("tb")).alias("relation")).filter("relation <> 'distinct'")
+
+
+def best_of_entries(a: DataFrame, b: DataFrame, key: str, tokens: str) -> DataFrame:
+    """Entries of two sides with a common ``key`` (a term, or a pair of terms), each against each: the best scores of any pair.
+
+    ``key, overlap`` (of the smaller set), ``a_covers, b_covers`` (the part of the other's tokens that it has), ``jaccard``.
+    The entries of one term are few; pairs are made inside a key only.
+    """
+    ta, tb = F.col("_a"), F.col("_b")
+    met = a.select(key, F.col(tokens).alias("_a")).join(b.select(key, F.col(tokens).alias("_b")), key)
+    full = (F.size(ta) > 0) & (F.size(tb) > 0)
+    best = lambda c: F.coalesce(F.max(c), F.lit(0.0))
+    return met.groupBy(key).agg(best(sets.overlap_coefficient(ta, tb)).alias("overlap"), best(sets.inclusion(ta, tb)).alias("a_covers"), best(sets.inclusion(tb, ta)).alias("b_covers"), best(F.when(full, sets.jaccard(ta, tb)).otherwise(0.0)).alias("jaccard"))
+
+
+def tiered_relation(best: DataFrame) -> DataFrame:
+    """``best`` of ``best_of_entries`` with ``relation``, ``score`` and ``reason``."""
+    shown = lambda c: F.format_string("%.2f", c)
+    of = lambda relation, score, reason: F.struct(F.lit(relation).alias("relation"), score.alias("score"), reason.alias("reason"))
+    tier = (
+        F.when(F.col("overlap") > EQUAL_OVERLAP, of("equal", F.lit(None).cast("double"), F.lit("high token overlap")))
+        .when((F.col("a_covers") >= INCLUDES) & (F.col("b_covers") >= INCLUDES), of("equal", F.lit(None).cast("double"), F.concat(F.lit("both include the other: "), shown(F.col("a_covers")), F.lit("/"), shown(F.col("b_covers")))))
+        .when(F.col("a_covers") >= INCLUDES, of("a_includes_b", F.col("a_covers"), F.concat(F.lit("a covers "), shown(F.col("a_covers")), F.lit(" of b"))))
+        .when(F.col("b_covers") >= INCLUDES, of("b_includes_a", F.col("b_covers"), F.concat(F.lit("b covers "), shown(F.col("b_covers")), F.lit(" of a"))))
+        .when(F.col("jaccard") >= OVERLAPS, of("overlap", F.col("jaccard"), F.concat(F.lit("Jaccard "), shown(F.col("jaccard")))))
+        .otherwise(of("distinct", F.lit(None).cast("double"), F.lit("low overlap and no inclusion")))
+    )
+    return best.withColumn("_t", tier).select(*best.columns, "_t.relation", "_t.score", "_t.reason")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from lexiqua.operators import intervals
 #: Percent from which subjects are strongly or moderately alike, and the part of a predicate that covers it.
 STRONG, MODERATE, COVERS = 60, 30, 0.35
 CODE_BIAS = 0.7
+#: Fixed value: equations of one system, at most.
+MOST_EQUATIONS = 10
 
 
 def period_coverage(spans: DataFrame, start: int, end: int, most: int = 10) -> DataFrame:
@@ -25,13 +28,164 @@ def period_coverage(spans: DataFrame, start: int, end: int, most: int = 10) -> D
     return best.select("rank", F.format_string("%s: %d to %d (%.1f%%)", "key", F.col("start"), F.col("end"), F.col("overlap") * 100).alias("line"))
 
 
+def _bound(value: Column, build) -> Column:
+    """``build`` of a value that is computed once, however often it is used: Catalyst repeats an expression in each place."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def comparison(a: Column, b: Column) -> Column:
     """``percent, shared, only_a, only_b, verdict`` of two texts."""
-    pa, pb = sets.profile(a), sets.profile(b)
-    percent = sets.percent_similarity(pa, pb)
-    verdict = F.when(percent >= STRONG, "strong").when(percent >= MODERATE, "moderate").otherwise("weak")
-    order = lambda c: F.array_sort(c)
-    return F.struct(percent.alias("percent"), order(F.array_intersect(pa["nouns"], pb["nouns"])).alias("shared"), order(F.array_except(pa["nouns"], pb["nouns"])).alias("only_a"), order(F.array_except(pb["nouns"], pa["nouns"])).alias("only_b"), verdict.alias("verdict"))
+
+    def build(p: Column) -> Column:
+        pa, pb = p["a"], p["b"]
+        words = lambda c: F.array_sort(c)
+        told = F.struct(sets.percent_similarity(pa, pb).alias("percent"), words(F.array_intersect(pa["nouns"], pb["nouns"])).alias("shared"), words(F.array_except(pa["nouns"], pb["nouns"])).alias("only_a"), words(F.array_except(pb["nouns"], pa["nouns"])).alias("only_b"))
+        verdict = lambda percent: F.when(percent >= STRONG, "strong").when(percent >= MODERATE, "moderate").otherwise("weak")
+        return _bound(told, lambda t: F.struct(t["percent"].alias("percent"), t["shared"].alias("shared"), t["only_a"].alias("only_a"), t["only_b"].alias("only_b"), verdict(t["percent"]).alias("verdict")))
+
+    return _bound(F.struct(sets.profile(a).alias("a"), sets.profile(b).alias("b")), build)
+
+
+def two_subject_report(name_a: Column, name_b: Column, a: Column, b: Column) -> Column:
+    """How two subjects are alike, where they differ, and what follows, as a paragraph."""
+    listed = lambda words: F.when(F.size(words) > 0, text.listed(F.slice(words, 1, 6))).otherwise(F.lit("nothing"))
+    means = {"strong": "strongly related", "moderate": "moderately related", "weak": "weakly related"}
+
+    def told(c: Column) -> Column:
+        return F.concat(
+            name_a, F.lit(" and "), name_b, F.lit(" are "), F.round(F.round(c["percent"], 6)).cast("int").cast("string"), F.lit("% alike. Both concern "), listed(c["shared"]), F.lit(". Only "), name_a, F.lit(" concerns "), listed(c["only_a"]),
+            F.lit("; only "), name_b, F.lit(" concerns "), listed(c["only_b"]), F.lit(". They are "), F.element_at(F.create_map(*(F.lit(x) for kv in means.items() for x in kv)), c["verdict"]), F.lit("."),
+        )
+
+    return _bound(comparison(a, b), told)
+
+
+# Words that negate, verbs and the like that say nothing of a predicate.
+NEGATIONS = ["not", "n't", "no", "never", "cannot", "without"]
+EMPTY_VERBS = "do does did move moves moved be is are have has by with using use".split()
+
+
+def _predicate_words(predicate: str) -> list[str]:
+    """What a predicate says, or all its words where that is nothing."""
+    words = predicate.lower().split()
+    return [w for w in words if w not in EMPTY_VERBS] or words
+
+
+def _holds_any(c: Column, parts: list[str]) -> Column:
+    found = F.lit(False)
+    for w in parts:
+        found = found | F.contains(F.lower(c), F.lit(w))
+    return found
+
+
+def evidence(fragments: DataFrame, predicate: str) -> DataFrame:
+    """Of ``term, ord, fragment`` what speaks for a predicate in each term's fragments, and what negates it: ``term, has, supporting, unsupporting``.
+
+    A term has the predicate if one of its words is a word of the fragments, without a last e or with an s, too.
+    """
+    core = _predicate_words(predicate)
+    forms = list(dict.fromkeys(x for w in core for x in (w, w.rstrip("e"), w + "s")))
+    held = F.arrays_overlap(text.words(F.col("fragment")), F.array(*map(F.lit, forms)))
+    gather = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("ord", "fragment")))), lambda x: x["fragment"])
+    against = _holds_any(F.col("fragment"), NEGATIONS) & _holds_any(F.col("fragment"), predicate.lower().split())
+    return fragments.groupBy("term").agg(F.coalesce(F.bool_or(held), F.lit(False)).alias("has"), gather(_holds_any(F.col("fragment"), core)).alias("supporting"), gather(against).alias("unsupporting"))
+
+
+def predicate_answer(found: DataFrame, a: str, b: str, predicate: str) -> DataFrame:
+    """One row: ``response`` on whether two terms both have a predicate, with up to two fragments each, and ``evidence`` of both."""
+    pick = lambda t, c: F.first(F.when(F.col("term") == t, F.col(c)), ignorenulls=True)
+    kind = "struct<has:boolean,supporting:array<string>,unsupporting:array<string>>"
+    side = lambda t: F.struct(F.coalesce(pick(t, "has"), F.lit(False)).alias("has"), F.coalesce(pick(t, "supporting"), F.array()).alias("supporting"), F.coalesce(pick(t, "unsupporting"), F.array()).alias("unsupporting")).cast(kind)
+    name = lambda t: F.lit(t[:1].upper() + t[1:])
+    some = lambda c: F.when(F.size(c) > 0, F.array_join(F.slice(c, 1, 2), "; ")).otherwise("(no direct supporting fragments)")
+    both = found.agg(side(a).alias("a"), side(b).alias("b"))
+    shown = F.when(F.size("a.supporting") + F.size("b.supporting") > 0, F.concat(F.lit(" Supporting: "), name(a), F.lit(": "), some(F.col("a.supporting")), F.lit("; "), name(b), F.lit(": "), some(F.col("b.supporting")), F.lit("."))).otherwise("")
+    answer = F.when(F.col("a.has") & F.col("b.has"), F.concat(name(a), F.lit(" and "), name(b), F.lit(f" both clearly {predicate}."), shown)).otherwise(F.concat(name(a), F.lit(" and "), name(b), F.lit(f" do not clearly both {predicate}.")))
+    return both.select(answer.alias("response"), F.struct("a", "b").alias("evidence"))
+
+
+def shared_token_appraisal(fragments: DataFrame, a: str, b: str, predicate: str) -> DataFrame:
+    """Of the words that two terms' fragments (``term, ord, fragment``) share, but their own names: ``token, n_a, n_b, equality, status, sentence``.
+
+    A word is supportive where only fragments for the predicate hold it, unsupportive where only negated ones do, mixed where
+    both do, else neutral. Fragments of both terms are read once.
+    """
+    own = [w for t in (a, b) for w in t.lower().split()]
+    rows = fragments.filter(F.col("term").isin(a, b)).select("term", F.lower("fragment").alias("f"), _holds_any(F.col("fragment"), _predicate_words(predicate)).alias("s"), (_holds_any(F.col("fragment"), NEGATIONS) & _holds_any(F.col("fragment"), predicate.lower().split())).alias("u"))
+    tokens = rows.select("term", F.explode(F.array_distinct(text.tokenize(F.col("f")))).alias("token")).filter((F.length("token") > 2) & ~F.col("token").isin(*own)).distinct().groupBy("token").count().filter("count = 2").select("token")
+    held = rows.join(tokens, F.contains("f", "token"))
+    times = ((F.length("f") - F.length(F.replace("f", F.col("token"), F.lit("")))) / F.length("token")).cast("long")
+    count = lambda t: F.coalesce(F.sum(F.when(F.col("term") == t, times)), F.lit(0)).cast("long")
+    told = held.groupBy("token").agg(count(a).alias("n_a"), count(b).alias("n_b"), F.bool_or("s").alias("_s"), F.bool_or("u").alias("_u"))
+    status = F.when(F.col("_s") & F.col("_u"), "mixed").when(F.col("_s"), "supportive").when(F.col("_u"), "unsupportive").otherwise("neutral")
+    equality = F.when(F.col("n_a") == F.col("n_b"), "equal").when(F.col("n_a") > F.col("n_b"), f"more_in_{a}").otherwise(f"more_in_{b}")
+    means = {"supportive": "which supports similarity", "unsupportive": "but it is negated in one of them at least", "mixed": "with evidence for and against", "neutral": "without evidence for or against"}
+    told = told.withColumn("status", status).withColumn("equality", equality)
+    how = F.when(F.col("n_a") == F.col("n_b"), F.concat(F.lit(" They do so equally often ("), F.col("n_a").cast("string"), F.lit(" times).")))
+    how = how.otherwise(F.concat(F.lit(" It is more frequent in "), F.when(F.col("n_a") > F.col("n_b"), a).otherwise(b), F.lit(" ("), F.greatest("n_a", "n_b").cast("string"), F.lit(" against "), F.least("n_a", "n_b").cast("string"), F.lit(").")))
+    sentence = F.concat(F.lit(f"Both {a} and {b} mention '"), F.col("token"), F.lit("', "), F.element_at(F.create_map(*(F.lit(x) for kv in means.items() for x in kv)), F.col("status")), F.lit("."), how)
+    return told.select("token", "n_a", "n_b", "equality", "status", sentence.alias("sentence"))
+
+
+def detailed_comparison(fragments: DataFrame, a: str, b: str, predicate: str) -> DataFrame:
+    """One row on two terms: ``response`` and ``evidence`` on the predicate, ``shared`` (the appraised words), ``numbers`` (those that each
+    side's fragments name, in order) and ``narrative``."""
+    answer = predicate_answer(evidence(fragments, predicate), a, b, predicate)
+    tokens = shared_token_appraisal(fragments, a, b, predicate).agg(F.array_sort(F.collect_list(F.struct("token", "n_a", "n_b", "equality", "status", "sentence"))).alias("shared"))
+    found = lambda t: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("term") == t, F.struct("ord", "n")))), lambda x: x["n"]))
+    numbers = fragments.select("term", "ord", F.regexp_extract_all("fragment", F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)).alias("n")).agg(F.struct(found(a).alias("a"), found(b).alias("b")).alias("numbers"))
+    joined = answer.crossJoin(F.broadcast(tokens)).crossJoin(F.broadcast(numbers))  # one row each
+    words = F.transform("shared", lambda x: x["token"])
+    told = F.when(F.size("shared") > 0, F.concat(F.lit(" Shared words: "), text.listed(words), F.lit("."))).otherwise("")
+    return joined.withColumn("narrative", F.concat("response", told))
+
+
+def equality_answer(a: Column, b: Column, relation: Column, score: Column, reason: Column) -> Column:
+    """The answer to a question whether two terms are alike, from their relation."""
+    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
+    shown = F.concat(F.lit(" (score "), F.format_string("%.2f", score), F.lit(")."))
+    return (
+        F.when(relation == "equal", F.concat(F.lit("Yes: "), quoted(a), F.lit(" and "), quoted(b), F.lit(" are equivalent. ("), reason, F.lit(")")))
+        .when(relation == "a_includes_b", F.concat(quoted(a), F.lit(" broadly includes "), quoted(b), shown)).when(relation == "b_includes_a", F.concat(quoted(b), F.lit(" broadly includes "), quoted(a), shown))
+        .when(relation == "overlap", F.concat(quoted(a), F.lit(" and "), quoted(b), F.lit(" overlap"), shown)).otherwise(F.concat(quoted(a), F.lit(" and "), quoted(b), F.lit(" appear distinct. ("), reason, F.lit(")")))
+    )
+
+
+def definitions_for(prompts: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """``prompt_id, answer``: a line for each term that a prompt (``prompt_id, prompt``) wants defined, from ``term, definitions``.
+
+    Terms meet by their normal key; the first term in order wins where several have one. A prompt that asks for none has no row.
+    """
+    from lexiqua.functions import prompts as asked
+
+    wanted = prompts.select("prompt_id", F.posexplode(asked.definition_terms(F.col("prompt"))).alias("at", "subject"))
+    keyed = knowledge.filter(F.size("definitions") > 0).groupBy(text.normalize_key(F.col("term")).alias("_key")).agg(F.min_by(F.get("definitions", F.lit(0)), "term").alias("told"))
+    line = F.concat(text.capitalize_first(F.col("subject")), F.lit(": "), F.when(F.col("told").isNull(), "(no definition found)").otherwise(text.clean_definition(F.col("told"))))
+    joined = wanted.withColumn("_want", text.normalize_key(F.col("subject"))).join(keyed, F.col("_want") == F.col("_key"), "left").withColumn("line", line)
+    return joined.groupBy("prompt_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("answer"))
+
+
+#: Equations by name, the form that each is known by, and other spellings.
+EQUATIONS = [
+    ("First Law of Thermodynamics", r"\bDelta\s*U\s*=\s*Q\s*-\s*W\b", ["ΔU = Q - W", "delta U = Q - W"]),
+    ("Ideal Gas Law", r"\bP\s*V\s*=\s*n\s*R\s*T\b", ["PV = nRT"]),
+    ("Newton's Second Law", r"\bF\s*=\s*m\s*a\b", ["F = ma"]),
+    ("Ohm's Law", r"\bV\s*=\s*I\s*R\b", ["V = IR"]),
+    ("Second Law of Thermodynamics (entropy)", r"\bDelta\s*S\s*\x{2265}\s*0\b", ["ΔS >= 0", "delta S >= 0"]),
+    ("Energy-Mass Equivalence", r"\bE\s*=\s*m\s*c\^2\b", ["E = mc^2"]),
+]
+
+
+def equation_names(c: Column) -> Column:
+    """The names of the equations that a text holds, by their form or another spelling, in order of the list."""
+    t = text.blank(c)
+    named = []
+    for name, pattern, spellings in EQUATIONS:
+        held = t.rlike(pattern)
+        for x in spellings:
+            held = held | F.contains(t, F.lit(x))
+        named.append(F.when(held, F.lit(name)))
+    return F.filter(F.array(*named), lambda n: n.isNotNull())
 
 
 def best_topic(scores: DataFrame) -> DataFrame:
@@ -42,7 +196,7 @@ def best_topic(scores: DataFrame) -> DataFrame:
 
 def token_support(df: DataFrame, side_col: str, text_col: str, tokens: list[str]) -> DataFrame:
     """How often tokens are part of each side's texts (``a``, ``b``), and which side has more."""
-    one = F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.regexp_count(F.lower(text.blank(F.col(text_col))), F.lit(t.lower())).alias("n")) for t in tokens])).alias("t")
+    one = F.explode(F.array(*[F.struct(F.lit(t).alias("token"), text.occurrences(F.col(text_col), t).alias("n")) for t in tokens])).alias("t")
     side = lambda s: F.coalesce(F.sum(F.when(F.col(side_col) == s, F.col("t.n"))), F.lit(0)).cast("long")
     counts = df.select(side_col, one).groupBy(F.col("t.token").alias("token")).agg(side("a").alias("a"), side("b").alias("b"))
     return counts.withColumn("label", F.when(F.col("a") == F.col("b"), "equal").when(F.col("a") > F.col("b"), "more in a").otherwise("more in b"))
@@ -95,6 +249,47 @@ def solve_linear(systems: DataFrame) -> DataFrame:
     return systems.select("id", "a", "b").mapInPandas(_solve, systems.select("id").schema.add("x", T.ArrayType(T.DoubleType())))
 
 
+def _coefficients(said: str) -> tuple[list[str], list[list[float]], list[float]] | None:
+    """Linear equations in words of symbols (``2x + 3y = 5, x - y = 1``): the unknowns in order of the alphabet, rows of coefficients, right sides."""
+    rows = []
+    for equation in said.split(",")[:MOST_EQUATIONS]:
+        sides = equation.split("=")
+        if len(sides) != 2:
+            return None
+        row: dict[str, float] = {}
+        for sign, side in ((1, sides[0]), (-1, sides[1])):
+            side = side.replace(" ", "")
+            if not side or not re.fullmatch(r"(?:[+-]?(?:\d+(?:\.\d+)?\*?)?[A-Za-z]\w*|[+-]?\d+(?:\.\d+)?)(?:[+-](?:(?:\d+(?:\.\d+)?\*?)?[A-Za-z]\w*|\d+(?:\.\d+)?))*", side):
+                return None
+            for minus, number, name in re.findall(r"([+-]?)(\d+(?:\.\d+)?)?\*?([A-Za-z]\w*)?", side):
+                if number or name:
+                    row[name] = row.get(name, 0.0) + sign * (-1 if minus == "-" else 1) * float(number or 1)
+        rows.append(row)
+    names = sorted({n for row in rows for n in row if n})
+    return names, [[row.get(n, 0.0) for n in names] for row in rows], [-row.get("", 0.0) for row in rows]
+
+
+def solve_equations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_col, solution`` (a map by unknown) of texts of up to ten linear equations with commas between; null where the text is none
+    or has no one solution. Equations of other kinds need symbolic algebra, which is not here."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for frame in frames:
+            out = []
+            for said in frame["_said"]:
+                found = _coefficients(said) if isinstance(said, str) else None
+                try:
+                    out.append(dict(zip(found[0], np.linalg.solve(np.array(found[1]), np.array(found[2])).tolist())) if found and len(found[0]) == len(found[1]) else None)
+                except np.linalg.LinAlgError:
+                    out.append(None)
+            yield pd.DataFrame({id_col: frame[id_col], "solution": out})
+
+    schema = df.select(id_col).schema.add("solution", T.MapType(T.StringType(), T.DoubleType()))
+    return df.select(id_col, F.col(text_col).alias("_said")).mapInPandas(run, schema)
+
+
 def next_id(df: DataFrame, id_col: str) -> DataFrame:
     return df.agg((F.coalesce(F.max(id_col), F.lit(0)) + 1).alias("next_id"))
 

@@ -18,8 +18,10 @@ def analyze(spark: SparkSession, prompts: DataFrame, entries: DataFrame) -> Data
     """
     frags = prompts.select("prompt_id", F.posexplode(text.fragments(F.col("prompt"))).alias("frag", "fragment"))
     words = match.keywords(frags, ["prompt_id", "frag"], "fragment")
-    asked = words.select("keyword").distinct().orderBy("keyword")
-    taxa = match.taxonomy(match.matches(entries, [r[0] for r in asked.toLocalIterator()]))
+    asked = [r[0] for r in words.select("keyword").distinct().orderBy("keyword").limit(match.MOST_KEYWORDS + 1).collect()]
+    if len(asked) > match.MOST_KEYWORDS:
+        raise ValueError(f"more than {match.MOST_KEYWORDS} keywords: analyse prompts in parts")
+    taxa = match.taxonomy(match.matches(entries, asked))
     return words.join(taxa, "keyword").select("prompt_id", "frag", "keyword", *ITEM)
 
 
@@ -96,3 +98,23 @@ def conjecture(items: DataFrame, steps: int = 4) -> DataFrame:
     walk = items.sparkSession.range(steps).crossJoin(F.broadcast(n)).filter("n > 0").select(F.col("id").alias("step"), cosine_index(F.col("id"), steps, F.col("n")).alias("pos"))
     told = F.concat(F.col("variable"), F.lit(" ("), F.col("family"), F.lit("): "), text.truncated(F.col("value"), 140))
     return walk.join(some, "pos").select("step", "variable", told.alias("text"))
+
+
+def conjecture_paragraph(items: DataFrame, steps: int = 4) -> DataFrame:
+    """The walk of ``conjecture`` as one text, a sentence for each step."""
+    told = conjecture(items, steps).agg(F.array_sort(F.collect_list(F.struct("step", "text"))).alias("t"))
+    return told.select(F.array_join(F.transform("t", lambda x: text.end_sentence(x["text"])), " ").alias("paragraph"))
+
+
+def chain_text(items: DataFrame, variable: str, steps: int = 5) -> DataFrame:
+    """The steps of ``chain``, each told as where it leads: ``step, variable, text``."""
+    told = F.concat(F.lit("Step "), F.col("step").cast("string"), F.lit(": "), F.col("variable"), F.lit(" ("), F.col("family"), F.lit(", "), F.col("phylum"), F.lit(") — "), F.col("type"), F.lit(": "), text.truncated(F.col("value"), 180))
+    return chain(items, variable, steps).select("step", "variable", told.alias("text"))
+
+
+def expand(items: DataFrame, variable: str) -> DataFrame:
+    """All items of a variable; of those that hold its name, where none is it."""
+    tier = F.when(F.col("variable") == variable, 1).when(F.contains("variable", F.lit(variable)), 2)
+    tiered = items.withColumn("tier", tier).filter("tier IS NOT NULL")
+    best = tiered.agg(F.min("tier").alias("_best"))
+    return tiered.join(F.broadcast(best), F.col("tier") == F.col("_best")).drop("tier", "_best").orderBy("rank")

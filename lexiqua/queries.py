@@ -206,21 +206,39 @@ def str20_examples(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", prompts.without_examples(marked).alias("cut"))
 
 
-@query("SELECT p_partkey, p_name AS key, CASE WHEN p_partkey % 2 = 0 THEN p_name || ',' || lower(p_type) ELSE p_name END AS terms FROM part")
+_QUESTIONS = [
+    ("What is the difference between the {a} and {b}?", 2), ("Define a {a} in 10 words.", 1), ("how does {a} differ from {b}?", 2), ("Give me a brief definition of the {a}?", 1), ("what's {a}", 1), ("Are {a} and {b} equivalent?", 2),
+    ("describe {a} in one sentence?", 1), ("compare {a} and {b}", 2), ("What are {a}!", 1), ("the difference between a {a} and {b}", 2), ("{a} {b}", 0),
+]
+
+
+@query(f"SELECT p_partkey, p_name AS key, CASE [{', '.join(str(n) for _, n in _QUESTIONS)}][p_partkey % {len(_QUESTIONS)} + 1] WHEN 2 THEN p_name || ',' || lower(p_type) WHEN 1 THEN p_name END AS terms FROM part")
 def str23_24_questions(spark, sf_dir):
+    form = F.element_at(F.array(*(F.lit(q) for q, _ in _QUESTIONS)), (F.col("p_partkey") % len(_QUESTIONS) + 1).cast("int"))
+    asked = F.replace(F.replace(form, F.lit("{a}"), F.col("p_name")), F.lit("{b}"), F.col("p_type"))
     even = F.col("p_partkey") % 2 == 0
-    asked = F.when(even, F.concat(F.lit("What is the difference between the "), F.col("p_name"), F.lit(" and "), F.col("p_type"), F.lit("?"))).otherwise(F.concat(F.lit("Define a "), F.col("p_name"), F.lit("?")))
     key = F.concat(F.when(even, "What is a ").otherwise("What does the "), F.col("p_name"), F.when(even, "?").otherwise(" mean?"))
     return _t(spark, sf_dir, "part").select("p_partkey", prompts.master_key(key).alias("key"), F.array_join(prompts.asked_terms(asked), ",").alias("terms"))
 
 
-_PHRASED = ["ratio of {a} to {b}", "{a} to {b}", "compare {a} to {b}", "{a} divided by {b}", "{a} times {b}", "half of {b}", "square root of {a}", "{a} increased by {b}", "{a} = {b}", "nothing"]
-_PHRASE_SQL = ["expr:({a})/({b})", "range:{a}..{b}", "compare:{a}..{b}", "expr:({a})/({b})", "expr:({a})*({b})", "expr:(1/2)*({b})", "expr:({a})**0.5", "expr:({a}) + ({b})", "equation:{a} = {b}", "none:"]
+@query("SELECT p_partkey, p_name || ' sold|' || split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) || '|' || split_part(p_name, ' ', 2) || ' sold|' || split_part(p_name, ' ', 1) || '|' || split_part(p_name, ' ', 2) || '|sold' AS spans FROM part")
+def str24_candidate_terms(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(prompts.candidate_terms(F.concat("p_name", F.lit(" sold"))), "|").alias("spans"))
+
+
+_PHRASED = [
+    "ratio of {a} to {b}", "{a} to {b}", "compare {a} to {b}", "{a} divided by {b}", "{a} times {b}", "half of {b}", "square root of {a}", "{a} increased by {b}", "{a} = {b}x", "nothing",
+    "gain of {a} to {b}", "gain {a} over {b}", "{a} per {b}", "{a} : {b}", "{a} decreased by {b}", "a quarter of {a}", "square of {b}", "from ({a}) to ({b})", "y equals {a}({b}+1", "one third of x",
+]
+_PHRASE_SQL = [
+    "expr:({a})/({b})", "range:{a}..{b}", "compare:{a}..{b}", "expr:({a})/({b})", "expr:({a})*({b})", "expr:(1/2)*({b})", "expr:({a})**0.5", "expr:({a}) + ({b})", "equation:{a} = {b}*x", "none:",
+    "expr:({a})/({b})", "expr:({a})/({b})", "expr:({a})/({b})", "expr:({a})/({b})", "expr:({a}) - ({b})", "expr:(1/4)*({a})", "expr:({b})**2", "range:{a}..{b}", "equation:y = {a}*({b}+1)", "expr:(1/3)*(x)",
+]
 
 
 def _filled(forms: list[str], kind: str) -> str:
     a, b = (f"' || CAST({c} AS {kind}) || '" for c in ("p_partkey", "p_size"))
-    return "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN '" + f.replace("{a}", a).replace("{b}", b) + "'" for i, f in enumerate(forms)) + " END"
+    return f"CASE p_partkey % {len(forms)} " + " ".join(f"WHEN {i} THEN '" + f.replace("{a}", a).replace("{b}", b) + "'" for i, f in enumerate(forms)) + " END"
 
 
 @query(f"SELECT p_partkey, {_filled(_PHRASE_SQL, 'VARCHAR')} AS meaning FROM part")
@@ -237,12 +255,27 @@ def str32_is_math(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", prompts.is_math(F.col("text")).alias("is_math"))
 
 
-@query("SELECT p_partkey, p_name AS old, p_type AS new, p_partkey % 2 = 0 AS apply, CASE WHEN p_partkey % 2 = 0 THEN regexp_extract(p_brand, '[0-9]+') END AS layer FROM part")
+#: A request, its new text, and whether it says to write, to try, that it is a pattern, its layer and its file.
+_CHANGES = [
+    ("replace '{a}' with '{b}' in layer {n} and apply", "{b}", True, False, False, "{n}", None), ("replace '{a}' with '{b}'", "{b}", False, False, False, None, None), ("grep '{a}' and replace it with '{b}'", "{b}", False, False, False, None, None),
+    ("change {a} into '{b}' as a dry run", "{b}", False, True, False, None, None), ("Change '{a}' to '{b}' in place.json, regex", "{b}", False, False, True, None, "place.json"), ("patch: rename '{a}' as '{b}' layer: {n}", "{b}", False, False, False, "{n}", None),
+    ("patch {n} -> {b}", "{b}", False, False, False, None, None), ("patch {n} => {b} now", "{b} now", False, False, False, None, None), ("change it", None, None, None, None, None, None), ("move {a} to {b}", None, None, None, None, None, None),
+]
+
+
+def _change(at: int) -> str:
+    def one(x: str | bool | None) -> str:
+        return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x.replace("{a}", "' || p_name || '").replace("{b}", "' || p_type || '").replace("{n}", "' || CAST(p_size AS VARCHAR) || '") + "'"
+
+    return f"CASE p_partkey % {len(_CHANGES)} " + " ".join(f"WHEN {i} THEN {one(c[at])}" for i, c in enumerate(_CHANGES)) + " END"
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % {len(_CHANGES)} IN (6, 7) THEN CAST(p_size AS VARCHAR) WHEN p_partkey % {len(_CHANGES)} < 6 THEN p_name END AS old, {_change(1)} AS new, {_change(2)} AS apply, {_change(3)} AS dry_run, {_change(4)} AS regex, {_change(5)} AS layer, {_change(6)} AS path FROM part")
 def str38_patch_intent(spark, sf_dir):
-    layer = F.concat(F.lit("' in layer "), F.regexp_extract("p_brand", "[0-9]+", 0), F.lit(" and apply"))
-    said = F.concat(F.lit("replace '"), F.col("p_name"), F.lit("' with '"), F.col("p_type"), F.when(F.col("p_partkey") % 2 == 0, layer).otherwise(F.lit("'")))
+    form = F.element_at(F.array(*(F.lit(c[0]) for c in _CHANGES)), (F.col("p_partkey") % len(_CHANGES) + 1).cast("int"))
+    said = F.replace(F.replace(F.replace(form, F.lit("{a}"), F.col("p_name")), F.lit("{b}"), F.col("p_type")), F.lit("{n}"), F.col("p_size").cast("string"))
     i = prompts.patch_intent(said)
-    return _t(spark, sf_dir, "part").select("p_partkey", i["old"].alias("old"), i["new"].alias("new"), i["apply"].alias("apply"), i["layer"].alias("layer"))
+    return _t(spark, sf_dir, "part").select("p_partkey", *(i[c].alias(c) for c in ("old", "new", "apply", "dry_run", "regex", "layer", "path")))
 
 
 _CUE_SQL = " + ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{c}') THEN 2 ELSE 0 END" for c in prompts.CUES)
@@ -366,8 +399,7 @@ def win6_cosine_walk(spark, sf_dir):
 @query("SELECT from_x + (to_x - from_x) * i / 10.0 AS x, (from_x + (to_x - from_x) * i / 10.0) * (from_x + (to_x - from_x) * i / 10.0) AS y FROM (SELECT CAST(min(r_regionkey) AS DOUBLE) AS from_x, CAST(max(r_regionkey) AS DOUBLE) AS to_x FROM region), range(11) r(i)")
 def win12_graph_points(spark, sf_dir):
     ends = _t(spark, sf_dir, "region").agg(F.min("r_regionkey").cast("double").alias("a"), F.max("r_regionkey").cast("double").alias("b"))
-    x = ends.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.col("a") + (F.col("b") - F.col("a")) * i / 10.0)).alias("x"))
-    return x.select("x", (F.col("x") * F.col("x")).alias("y"))
+    return ends.select(F.explode(mathexpr.curve("x * x", "x", F.col("a"), F.col("b"), 11)).alias("p")).select("p.x", "p.y")
 
 
 @query("SELECT doc_id, source FROM documents WHERE contains(lower(concat_ws(' ', source, lang, text)), 'license')")
@@ -403,7 +435,7 @@ _INCLUDED = "len(list_filter({n}, lambda x: list_contains({b}, x))) / CAST(great
 @query(
     f"""WITH t AS (SELECT item_id, {_tokens('text')} AS t FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.t AS ta, b.t AS tb FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.t, b.t)) > 0),
 m AS (SELECT a, b, len(list_intersect(ta, tb)) / CAST(greatest(least(len(list_distinct(ta)), len(list_distinct(tb))), 1) AS DOUBLE) AS coefficient, {_INCLUDED.format(n='tb', b='ta')} AS ab, {_INCLUDED.format(n='ta', b='tb')} AS ba, {_jaccard('ta', 'tb')} AS j FROM p)
-SELECT a, b, CASE WHEN coefficient > 0.85 OR ab >= 0.6 AND ba >= 0.6 THEN 'equal' WHEN ab >= 0.6 THEN 'a_includes_b' WHEN ba >= 0.6 THEN 'b_includes_a' WHEN j >= 0.25 THEN 'overlap' ELSE 'distinct' END AS relation FROM m"""
+SELECT a, b, CASE WHEN coefficient > 0.85 OR ab >= 0.6 AND ba >= 0.6 THEN 'equal' WHEN ab >= 0.6 THEN 'a_includes_b' WHEN ba >= 0.6 THEN 'b_includes_a' ELSE 'overlap' END AS relation FROM m WHERE coefficient > 0.85 OR ab >= 0.6 OR ba >= 0.6 OR j >= 0.25"""
 )
 def rel1_relations(spark, sf_dir):
     return relations.relations(_t(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -622,24 +654,28 @@ def _duck(sql: str) -> str:
     return re.sub(r"\be\(\)", "exp(CAST(1 AS DOUBLE))", sql)
 
 
-def _number(x: str, duck: bool) -> str:
-    """The smallest and largest of a formula in nine digits; what is no finite number counts as none.
-
-    A factor just above 1 moves values off the halfway points that the two engines round differently.
-    """
+def _number(x: str) -> str:
+    """A formula's value as the nearest single-precision number, as engines differ in the last bits; what is none, or beyond them, is null."""
     x = f"CAST({x} AS DOUBLE)"
-    x = f"{{}}(CASE WHEN abs({x}) < CAST('1e300' AS DOUBLE) THEN {x} END)"
-    return f"CASE WHEN {x} IS NOT NULL THEN {'printf' if duck else 'format_string'}('%.8e', {x} * CAST('1.0000000000012' AS DOUBLE) + CAST(0 AS DOUBLE)) END"
+    return f"CASE WHEN abs({x}) < CAST('1e30' AS DOUBLE) THEN CAST(CAST({x} AS FLOAT) AS DOUBLE) + CAST(0 AS DOUBLE) END"
 
 
 def _formula_query(domain: str) -> None:
+    names = [f"{name}_{i}" if i else name for i, name in _numbered(domain)]
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        columns = [F.expr(_number(sql, False).format(agg, agg)).alias(f"{name}_{agg}") for name, sql in _forms(domain) for agg in ("min", "max")]
-        return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*columns)
+        columns = [F.expr(_number(sql)).alias(n) for n, (_, sql) in zip(names, _forms(domain), strict=True)]
+        return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *columns)
 
-    columns = ", ".join(f'{_number(_duck(sql), True).format(agg, agg)} AS "{name}_{agg}"' for name, sql in _forms(domain) for agg in ("min", "max"))
+    columns = ", ".join(f'{_number(_duck(sql))} AS "{n}"' for n, (_, sql) in zip(names, _forms(domain), strict=True))
     QUERIES[f"fml_{domain}"] = run
-    ORACLES[f"fml_{domain}"] = f"SELECT l_returnflag, {columns} FROM lineitem GROUP BY 1"
+    ORACLES[f"fml_{domain}"] = f"SELECT l_orderkey, l_linenumber, {columns} FROM lineitem"
+
+
+def _numbered(domain: str) -> list[tuple[int, str]]:
+    """Each form's name, and which of the forms of that name it is."""
+    names = [name for name, _ in _forms(domain)]
+    return [(names[:i].count(name), name) for i, name in enumerate(names)]
 
 
 for _domain in formulas.DOMAINS:
@@ -648,12 +684,46 @@ for _domain in formulas.DOMAINS:
 
 
 @query()
-def fml_special(spark, sf_dir):
-    """Formulas that only one engine has: erf, combinations, factorials."""
+def fml_normal_cdf(spark, sf_dir):
+    """The formula with erf, which neither engine has."""
     formulas.register(spark)
-    x = {"x": "l_quantity", "mean": "25D", "sd": "10D", "n": "cast(l_linenumber + 3 AS int)", "k": "cast(l_linenumber AS int)", "p": "(l_discount + 0.1D)", "lam": "l_tax + 1D"}
-    names = [("statistics", "normal_cdf_approx"), ("statistics", "combination"), ("statistics", "permutation"), ("probability", "binomial_probability"), ("probability", "poisson_probability")]
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(formulas.formula(d, f).column(**{a: x[a] for a in formulas.formula(d, f).args}).cast("double").alias(f) for d, f in names))
+    f = formulas.formula("statistics", "normal_cdf_approx")
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", f.column(x="l_quantity", mean="25D", sd="10D").alias("normal_cdf"))
+
+
+_K = "CAST(l_linenumber AS INT)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(factorial({_K} + 3) / (factorial({_K}) * 6.0), 6) AS combination, CAST(factorial({_K} + 3) / 6 AS DOUBLE) AS permutation, round(factorial({_K} + 3) / (factorial({_K}) * 6.0) * pow(l_discount + 0.1, {_K}) * pow(1 - (l_discount + 0.1), 3), 9) AS binomial_probability, round(pow(l_tax + 1, {_K}) * exp(-(l_tax + 1)) / factorial({_K}), 9) AS poisson_probability FROM lineitem")
+def fml_special(spark, sf_dir):
+    """Formulas with combinations and factorials."""
+    x = {"n": "cast(l_linenumber + 3 AS int)", "k": "cast(l_linenumber AS int)", "r": "cast(l_linenumber AS int)", "p": "(l_discount + 0.1D)", "lam": "(l_tax + 1D)"}
+    of = lambda d, n: formulas.formula(d, n).column(**{a: x[a] for a in formulas.formula(d, n).args}).cast("double")
+    return _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(of("statistics", "combination"), 6).alias("combination"), of("statistics", "permutation").alias("permutation"), F.round(of("probability", "binomial_probability"), 9).alias("binomial_probability"), F.round(of("probability", "poisson_probability"), 9).alias("poisson_probability")
+    )
+
+
+_RE1, _IM1, _RE2, _IM2 = "l_quantity", "(l_discount - 0.05)", "(l_tax + 1)", "l_linenumber"
+_COMPLEX = {
+    "complex_conjugate": (_RE1, f"-({_IM1})"), "addition": (f"{_RE1} + {_RE2}", f"{_IM1} + {_IM2}"), "subtraction": (f"{_RE1} - {_RE2}", f"{_IM1} - {_IM2}"), "multiplication": (f"{_RE1} * {_RE2} - {_IM1} * {_IM2}", f"{_RE1} * {_IM2} + {_IM1} * {_RE2}"),
+    "division": (f"({_RE1} * {_RE2} + {_IM1} * {_IM2}) / ({_RE2} * {_RE2} + {_IM2} * {_IM2})", f"({_IM1} * {_RE2} - {_RE1} * {_IM2}) / ({_RE2} * {_RE2} + {_IM2} * {_IM2})"), "polar_form": (f"{_RE1} * cos({_RE2})", f"{_RE1} * sin({_RE2})"), "euler_formula": (f"cos({_RE2})", f"sin({_RE2})"),
+    "power_polar": (f"pow({_RE2}, 3) * cos(3 * {_RE2})", f"pow({_RE2}, 3) * sin(3 * {_RE2})"), "root_polar": (f"pow({_RE2}, 1 / CAST(3 AS DOUBLE)) * cos(({_RE2} + 2 * pi()) / 3)", f"pow({_RE2}, 1 / CAST(3 AS DOUBLE)) * sin(({_RE2} + 2 * pi()) / 3)"),
+}
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_RE1} AS real_part, round({_IM1}, 9) AS imaginary_part, round(sqrt({_RE1} * {_RE1} + {_IM1} * {_IM1}), 6) AS magnitude, round(atan2({_IM1}, {_RE1}), 6) AS argument, " + ", ".join(f"round({re_}, 6) + CAST(0 AS DOUBLE) AS {n}_re, round({im}, 6) + CAST(0 AS DOUBLE) AS {n}_im" for n, (re_, im) in _COMPLEX.items()) + " FROM lineitem")
+def fml_complex_numbers(spark, sf_dir):
+    number = lambda a, b: formulas.formula("complex_numbers", "complex_number").sql({"a": a, "b": b})
+    x = {"z": number("l_quantity", "l_discount - 0.05D"), "z1": number("l_quantity", "l_discount - 0.05D"), "z2": number("l_tax + 1D", "cast(l_linenumber AS double)"), "r": "(l_tax + 1D)", "theta": "(l_tax + 1D)", "n": "3D", "k": "1D"}
+    d = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", *(F.expr(v).alias(k) for k, v in x.items()))
+    args = {k: k for k in x}
+    of = lambda n, **more: formulas.formula("complex_numbers", n).column(**{a: (args | more)[a] for a in formulas.formula("complex_numbers", n).args})
+    pairs = {n: of(n, **({"r": "l_quantity"} if n == "polar_form" else {})) for n in _COMPLEX}
+    return d.select(
+        "l_orderkey", "l_linenumber", of("real_part").alias("real_part"), F.round(of("imaginary_part"), 9).alias("imaginary_part"), F.round(of("magnitude"), 6).alias("magnitude"), F.round(of("argument"), 6).alias("argument"),
+        *((F.round(c[part], 6) + F.lit(0.0)).alias(f"{n}_{part}") for n, c in pairs.items() for part in ("re", "im")),
+    )
 
 
 @query("SELECT l_orderkey, l_linenumber, round((pow(l_discount + 1 + CAST(0.5 AS DOUBLE), 2) - pow(l_discount + 1, 2)) / CAST(0.5 AS DOUBLE), 9) AS quotient, round(((pow(l_discount + 1 + CAST(0.5 AS DOUBLE), 2) - pow(l_discount + 1, 2)) / CAST(0.5 AS DOUBLE)) * (3 * (l_discount + 1)) + pow(l_discount + 1, 2) * ((3 * (l_discount + 1 + CAST(0.5 AS DOUBLE)) - 3 * (l_discount + 1)) / CAST(0.5 AS DOUBLE)), 6) AS product_rule FROM lineitem")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "schema_version INT, repo STRING, generated_at STRING, documents ARRAY<STRUCT<id:STRING,path:STRING,range:STRUCT<start:INT,`end`:INT>,title:STRING,tags:ARRAY<STRING>,notes:ARRAY<STRING>,text:STRING>>"
@@ -70,12 +73,92 @@ def matching_lines(lines: DataFrame, wanted: str) -> DataFrame:
     return tiered.join(best, (F.col("path") == F.col("_path")) & (F.col("tier") == F.col("_best"))).drop("_path", "_best")
 
 
-def planned_replacements(layers: DataFrame, old: str, new: str, regex: bool = False, layer: str | None = None) -> DataFrame:
-    """``layer, para, line, old, new`` for each line of layered documents (``layers: array<struct<name, actions: array<array<string>>>>``) that would change."""
-    rows = layers.select(F.explode("layers").alias("l")).select(F.col("l.name").alias("layer"), F.posexplode("l.actions").alias("para", "lines")).select("layer", "para", F.posexplode("lines").alias("line", "old"))
+def planned_replacements(layers: DataFrame, old: str, new: str, regex: bool = False, layer: str | None = None, selected: list[int] | None = None) -> DataFrame:
+    """``no, layer, para, line, old, new`` for each line of layered documents (``layers: array<struct<name, actions: array<array<string>>>>``) that
+    would change, numbered in order; with ``selected``, only of these numbers."""
+    rows = layers.select(F.posexplode("layers").alias("at", "l")).select("at", F.col("l.name").alias("layer"), F.posexplode("l.actions").alias("para", "lines")).select("at", "layer", "para", F.posexplode("lines").alias("line", "old"))
     rows = rows if layer is None else rows.filter(F.col("layer") == layer)
     changed = F.regexp_replace("old", F.lit(old), F.lit(new)) if regex else F.replace("old", F.lit(old), F.lit(new))
-    return rows.withColumn("new", changed).filter("new <> old")
+    planned = rows.withColumn("new", changed).filter("new <> old").withColumn("no", F.row_number().over(Window.orderBy("at", "para", "line")) - 1)
+    planned = planned.select("no", "layer", "para", "line", "old", "new")
+    return planned if selected is None else planned.filter(F.col("no").isin(selected) if selected else F.lit(False))
+
+
+LAYERED = "entry STRING, language STRING, layers ARRAY<STRUCT<name: STRING, actions: ARRAY<ARRAY<STRING>>>>"
+
+
+def apply_replacements(spark: SparkSession, path: str, old: str, new: str, regex: bool = False, layer: str | None = None, selected: list[int] | None = None, out: str | None = None, inplace: bool = False, dry_run: bool = False) -> dict:
+    """Apply planned replacements to a layered document: ``{"applied": n, "written_to": path or None}``.
+
+    In place, the file as it was is kept beside it with ``.bak`` behind its name. A dry run, or neither ``out`` nor ``inplace``, writes
+    nothing. Of a document that someone edits by hand, so the driver holds it and its changes.
+    """
+    text = spark.read.text(path, wholetext=True).first()
+    whole = json.loads(text[0]) if text else {}
+    docs = spark.createDataFrame([(json.dumps(whole),)], "v string").select(F.from_json("v", LAYERED).alias("d")).select("d.layers")
+    plan = planned_replacements(docs, old, new, regex, layer, selected).collect()
+    named = {x.get("name"): x for x in reversed(whole.get("layers", []))}
+    for r in plan:
+        named[r.layer]["actions"][r.para][r.line] = r.new
+    to = None if dry_run or not plan else path if inplace else out
+    if to is not None:
+        if inplace:
+            write_text(spark, f"{path}.bak", text[0])
+        write_text(spark, to, json.dumps(whole, indent=2, ensure_ascii=False))
+    return {"applied": len(plan), "written_to": to}
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file: under another name first, then in its place, so that readers see the old one or the new one."""
+    jvm = spark.sparkContext._jvm
+    at, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = store.create(staged, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    store.delete(at, False)
+    store.rename(staged, at)
+
+
+def refresh(spark: SparkSession, path: str, folder: str) -> dict:
+    """Rewrite a notes file with the texts of its ranges as ``folder`` has them now, the time (``generated_at``, UTC) and ``_refresh_errors``."""
+    notes = load_notes(spark, path)
+    rows = {r.id: r for r in refreshed(notes, lines_of(spark, folder)).select("id", "text", "errors").collect()}
+    data = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    errors = []
+    for doc in data.get("documents", []):
+        r = rows.get(doc.get("id"))
+        if r is not None and not r.errors:
+            doc["text"] = r.text
+        errors += [f"{doc.get('id', '?')}: {e}" for e in (r.errors if r is not None else ["no id"])]
+    data |= {"generated_at": datetime.now(UTC).isoformat(), "_refresh_errors": errors}
+    write_text(spark, path, json.dumps(data, indent=2, ensure_ascii=False))
+    return data
+
+
+PENDING = "id STRING, created_at STRING, parsed STRUCT<old: STRING, new: STRING, apply: BOOLEAN, dry_run: BOOLEAN, regex: BOOLEAN, layer: STRING, path: STRING>"
+
+
+def load_pending(spark: SparkSession, path: str) -> DataFrame:
+    """The store of pending changes; an absent one is made, and one that can't be read is empty."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        write_text(spark, path, "[]")
+    listed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"ARRAY<STRUCT<{PENDING}>>").alias("l"))
+    return listed.select(F.explode("l").alias("p")).filter("p.id IS NOT NULL").select("p.*")
+
+
+def save_pending(store: DataFrame, path: str) -> None:
+    """Write the store back; changes that wait for a person are few."""
+    rows = [json.loads(r[0]) for r in store.orderBy("created_at", "id").select(F.to_json(F.struct(*store.columns))).collect()]
+    write_text(store.sparkSession, path, json.dumps(rows, indent=2, ensure_ascii=False))
+
+
+def get_by_id(store: DataFrame, id_: str) -> DataFrame:
+    return store.filter(F.col("id") == id_).limit(1)
 
 
 def upsert(store: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:

@@ -28,7 +28,7 @@ def test_text_functions(spark):
     assert get(text.with_periods, "hello there. what\n(is) this? ok") == "Hello there. What. (Is) this? Ok."
     assert get(text.singularize, "cities") == "city" and get(text.singularize, "phases") == "phas" and get(text.singularize, "glass") == "glass" and get(text.singularize, "dogs") == "dog"
     assert get(text.strip_punct, "end?!.") == "end"
-    assert get(text.signed_integers, "a-5 b7") == [-5, 7]
+    assert get(text.signed_integers, "a-5 b7") == [-5, 7] and get(text.signed_integers, "1234567890123456 -9223372036854775808 9223372036854775808") == [1234567890123456, -(1 << 63), None]
     assert get(text.clean_definition, "See https://x.org/a [1] wiki  now") == "See now"
     assert get(lambda c: text.truncated(c, 10), "x" * 11) == "x" * 7 + "..."
     assert get(lambda c: text.first_chunk_containing(c, "BETA"), "alpha. has beta here\nmore") == "has beta here"
