@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiqua.llm._common import cut, mixed, slices, split_words, translated
+from lexiqua.llm._common import cut, mixed, scratch, settled, slices, split_words, translated
 from lexiqua.llm.components import components
 
 #: Sets in an inverted list that gives pairs; longer lists are compared in blocks.
@@ -290,7 +290,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     never is a component's id: a component of null ids has a null id. Texts are read whole, and a very long one is a set of
     its size in one worker. Other columns of ``docs`` are not read, whatever their names. No rows: no rows.
     """
-    docs = docs.select(id_col, "text")
+    with scratch() as made:
+        return settled(_components(docs.select(id_col, "text"), k, percent, id_col), "components", made)
+
+
+def _components(docs: DataFrame, k: int, percent: int, id_col: str) -> DataFrame:
     all_sets = shingled(docs, k, percent, id_col)
     full = all_sets.filter("n > 0")
     same = full.groupBy("d1", "d2").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
@@ -337,7 +341,7 @@ def one_of_each(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     Of rows with that id, one row stays (the smallest text hash). Documents without words and components of null ids stay
     whole. All columns stay as they are, unless their names begin with an underscore. No rows: no rows.
     """
-    found = cut(jaccard_components(docs, k, percent), "components")
+    found = jaccard_components(docs, k, percent)
     gone = found.filter("n_shingles > 0 AND doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select("doc_id", "th")
     double = found.filter("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c"), F.min("th").alias("_least")).filter("c > 1")
     double = cut(double.select(F.col("doc_id").alias("_twice"), "_least"), "double")
