@@ -94,6 +94,25 @@ def formula(domain: str, name: str, over_rows: bool = False) -> Formula:
     return next(f for f in catalogue(domain)[name] if f.over_rows == over_rows)
 
 
+def evaluated(domain: str, name: str, values: dict[str, str]) -> Column:
+    """``value`` and ``detail`` of a formula by its name (in any case of letters), for values (SQL text) by theirs.
+
+    An argument's own name comes first, then the same in another case. Where one is missing, the formula isn't there, or it
+    isn't solved, the value is null and the detail says so.
+    """
+    told = lambda value, detail: F.struct(value.alias("value"), detail.alias("detail"))
+    none = F.lit(None).cast("double")
+    found = next((f for n, forms in catalogue(domain).items() if n.lower() == name.lower() for f in forms if not f.over_rows), None)
+    if found is None or not found.solved:
+        return told(none, F.lit(f"no formula {name} of {domain}" if found is None else f"{found.name} has no expression"))
+    low = {k.lower(): v for k, v in values.items()}
+    given = {a: values.get(a, low.get(a.lower())) for a in (a.lstrip("*") for a in found.args)}
+    if missing := [a for a, v in given.items() if v is None]:
+        return told(none, F.lit(f"missing: {', '.join(missing)}"))
+    value = found.column(**given).cast("double")
+    return told(value, F.when(value.isNull(), "no value").otherwise(f"{found.name}({', '.join(given)})"))
+
+
 def every() -> list[Formula]:
     return [f for d in DOMAINS for forms in catalogue(d).values() for f in forms]
 

@@ -157,6 +157,10 @@ def heat_balance(q: Column, w: Column) -> Column:
     return q - w
 
 
+def half_heat_balance(q: Column, w: Column) -> Column:
+    return heat_balance(q, w) / 2
+
+
 def curve(expression: str, name: str, start: Column, end: Column, points: int, values: dict[str, Column] | None = None) -> Column:
     """``points`` places from ``start`` to ``end``, evenly, as structs ``x`` and ``y``, the expression's value there."""
     at = F.sequence(F.lit(0), F.lit(points - 1))

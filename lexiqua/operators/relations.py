@@ -14,6 +14,25 @@ EQUAL_OVERLAP, INCLUDES, OVERLAPS = 0.85, 0.6, 0.25
 KINDS = ("nouns", "predicates", "participles", "connectives")
 
 
+#: Rows of one key that a task pairs with all others of it; keys of more, and of more than this part of all rows, are spread.
+SPREAD_ROWS, SPREAD_PART = 2_000, 1e-5
+
+
+def met_pairs(keyed: DataFrame) -> DataFrame:
+    """Of ``id, k`` the pairs ``a < b`` of ids that have a key in common, once for each: ``a, b, k``.
+
+    Keys of many ids are few by their part of all rows, so they are broadcast; of such a key one side is spread over as many
+    tasks as it has times ``SPREAD_ROWS`` ids, and the other goes to each. What the pairs number is what the result holds.
+    """
+    counts = keyed.groupBy("k").agg(F.count("*").alias("n"))
+    total = keyed.count()
+    hot = F.broadcast(counts.filter(F.col("n") > max(SPREAD_ROWS, total * SPREAD_PART)).select(F.col("k").alias("_k"), F.ceil(F.col("n") / SPREAD_ROWS).cast("int").alias("_s")))
+    marked = keyed.join(hot, F.col("k") == F.col("_k"), "left").select("id", "k", F.coalesce("_s", F.lit(1)).alias("s"))
+    x = marked.select(F.col("id").alias("a"), "k", F.pmod(F.xxhash64("id"), F.col("s")).cast("int").alias("salt"))
+    y = marked.select(F.col("id").alias("b"), "k", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
+    return x.join(y, ["k", "salt"]).filter("a < b").select("a", "b", "k")
+
+
 def _empty_keys(profile: Column, least: float) -> Column:
     """Keys on which texts meet that are alike by what both lack: each least set of kinds whose weights reach ``least`` and that a text has none of."""
     weights = dict(zip(KINDS, sets.WEIGHTS, strict=True))
@@ -38,7 +57,7 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, least: float = 20.0
     rows = df.select(F.col(id_col).alias("id"), sets.profile(F.col(text_col)).alias("p"))
     marked = [F.transform(F.col("p")[kind], lambda w, kind=kind: F.concat(F.lit(f"{kind}:"), w)) for kind in KINDS]
     keyed = rows.select("id", F.explode(F.concat(*marked, _empty_keys(F.col("p"), least))).alias("k"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = met_pairs(keyed).select("a", "b").distinct()
     scored = pairs.join(rows.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(rows.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
     scored = scored.withColumn("percent", sets.percent_similarity(F.col("pa"), F.col("pb"))).filter(F.col("percent") >= least)
     return scored.select("a", "b", "percent", F.array_sort(F.array_intersect("pa.nouns", "pb.nouns")).alias("shared"))
@@ -54,9 +73,8 @@ def best_pairs(pairs: DataFrame, most: int = 50) -> DataFrame:
 def exemplified_pairs(df: DataFrame, id_col: str, text_col: str, most: int = 20) -> DataFrame:
     """Pairs that share nouns, by how many of their first six shared nouns a sentence of either has, then by all shared:
     ``a, b, examples, shared, rank``, the first ``most``."""
-    nouns = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.explode(text.nouns(F.col(text_col))).alias("noun"))
-    met = nouns.alias("x").join(nouns.alias("y"), (F.col("x.noun") == F.col("y.noun")) & (F.col("x.id") < F.col("y.id")))
-    pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.slice(F.array_sort(F.collect_list("x.noun")), 1, 6).alias("nouns"), F.count("*").alias("shared"))
+    met = met_pairs(df.select(F.col(id_col).alias("id"), F.explode(text.nouns(F.col(text_col))).alias("k")))
+    pairs = met.groupBy("a", "b").agg(F.slice(F.array_sort(F.collect_list("k")), 1, 6).alias("nouns"), F.count("*").alias("shared"))
     told = lambda side: df.select(F.col(id_col).alias(side), F.lower(text.blank(F.col(text_col))).alias(f"t{side}"))
     both = pairs.join(told("a"), "a").join(told("b"), "b")
     examples = F.size(F.filter("nouns", lambda n: F.contains("ta", n) | F.contains("tb", n)))
@@ -65,9 +83,9 @@ def exemplified_pairs(df: DataFrame, id_col: str, text_col: str, most: int = 20)
 
 
 def shared_noun_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs ``a < b`` with a noun in common and how many: an equi-join on nouns."""
-    nouns = df.select(F.col(id_col).alias("id"), F.explode(text.nouns(F.col(text_col))).alias("noun"))
-    return nouns.alias("x").join(nouns.alias("y"), (F.col("x.noun") == F.col("y.noun")) & (F.col("x.id") < F.col("y.id"))).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"))
+    """Pairs ``a < b`` with a noun in common and how many: an equi-join on nouns, those of many texts spread over tasks."""
+    met = met_pairs(df.select(F.col(id_col).alias("id"), F.explode(text.nouns(F.col(text_col))).alias("k")))
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def relation(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiqua.functions import text
+from lexiqua.functions import formulas, text
 from lexiqua.operators import match
 from lexiqua.operators.reports import CODE_BIAS
 from lexiqua.plans.sessions import ITEM, cosine_index
@@ -137,6 +137,17 @@ def respond(taxa: DataFrame, steps: int = 4) -> DataFrame:
     return joined.select("prompt_id", "topic", "main", "clarifiers", "related", response.alias("response"))
 
 
+def computed(answers: DataFrame, values: dict[str, str]) -> DataFrame:
+    """``respond``'s rows with ``computed``: the value of the main taxon where it is a formula of the catalogue, of its file's domain, whose
+    arguments all have ``values`` (SQL text); null elsewhere."""
+    found = F.when(F.lit(False), F.lit(None).cast("double"))
+    for f in formulas.every():
+        if f.solved and not f.over_rows and not f.takes_functions and f.args and set(f.args) <= set(values):
+            same = (F.col("main.phylum") == f.domain) & (F.col("main.variable") == "".join(c for c in f.name.lower() if c.isalnum()))
+            found = found.when(same, formulas.evaluated(f.domain, f.name, values)["value"])
+    return answers.withColumn("computed", found)
+
+
 def novelty_cover(fragments: Column, most: int = 4) -> Column:
     """Of an array of fragments those that add words, the richest first: the first, then any with a word that none before has."""
     rich = F.sort_array(F.transform(fragments, lambda f, i: F.struct((-F.size(F.array_distinct(text.tokenize(f)))).alias("less"), i.alias("i"), f.alias("f"), F.array_distinct(text.tokenize(f)).alias("w"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -433,12 +434,14 @@ _INCLUDED = "len(list_filter({n}, lambda x: list_contains({b}, x))) / CAST(great
 
 
 @query(
-    f"""WITH t AS (SELECT item_id, {_tokens('text')} AS t FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.t AS ta, b.t AS tb FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.t, b.t)) > 0),
+    f"""WITH t AS (SELECT item_id, {_tokens('text')} AS t FROM benchmark UNION ALL SELECT item_id + 100000 * k, {_tokens('text[1 : length(text) // k]')} FROM benchmark, range(1, 4) r(k)), p AS (SELECT a.item_id AS a, b.item_id AS b, a.t AS ta, b.t AS tb FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.t, b.t)) > 0),
 m AS (SELECT a, b, len(list_intersect(ta, tb)) / CAST(greatest(least(len(list_distinct(ta)), len(list_distinct(tb))), 1) AS DOUBLE) AS coefficient, {_INCLUDED.format(n='tb', b='ta')} AS ab, {_INCLUDED.format(n='ta', b='tb')} AS ba, {_jaccard('ta', 'tb')} AS j FROM p)
 SELECT a, b, CASE WHEN coefficient > 0.85 OR ab >= 0.6 AND ba >= 0.6 THEN 'equal' WHEN ab >= 0.6 THEN 'a_includes_b' WHEN ba >= 0.6 THEN 'b_includes_a' ELSE 'overlap' END AS relation FROM m WHERE coefficient > 0.85 OR ab >= 0.6 OR ba >= 0.6 OR j >= 0.25"""
 )
 def rel1_relations(spark, sf_dir):
-    return relations.relations(_t(spark, sf_dir, "benchmark"), "item_id", "text")
+    b = _t(spark, sf_dir, "benchmark")
+    parts = [b.select((F.col("item_id") + 100_000 * k).alias("item_id"), F.substring("text", F.lit(1), F.floor(F.length("text") / k).cast("int")).alias("text")) for k in (1, 2, 3)]
+    return relations.relations(reduce(lambda x, y: x.unionByName(y), parts, b.select("item_id", "text")), "item_id", "text")
 
 
 @query(f"WITH p AS (SELECT item_id, {_content('text', 'NOT ' + _PREDICATE)} AS nouns FROM benchmark) SELECT a.item_id, array_to_string(list_sort(list_intersect(a.nouns, b.nouns)), ' ') AS shared, CAST(len(list_filter(a.nouns, lambda x: NOT list_contains(b.nouns, x))) AS INT) AS only_here FROM p a JOIN p b ON b.item_id = a.item_id + 1")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexiqua.functions import fragments, mathexpr, prompts, text
+from lexiqua.functions import formulas, fragments, mathexpr, prompts, text
 from lexiqua.operators import lookup, match, relations, reports
 from lexiqua.plans import responses, sessions
 from lexiqua.queries import _FAMILY, _MATCHES, _PERCENT, _RANKED, _SPANS, _OVERLAP, _content, _entries, _jaccard, _list, _normal, _profile, _session, _spans, _t, _tokens, _words, query, _INCLUDED, _PREDICATE
@@ -492,17 +494,15 @@ def mth6_equations(spark, sf_dir):
     return solved.select("p_partkey", F.round(F.col("solution")["x"], 4).alias("x"), F.round(F.col("solution")["y"], 4).alias("y"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_quantity - l_tax, 9) AS u FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity - l_tax, 9) AS u, round((l_quantity - l_tax) / 2, 9) AS half FROM lineitem")
 def mth8_heat_balance(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(mathexpr.heat_balance(F.col("l_quantity"), F.col("l_tax")), 9).alias("u"))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(mathexpr.heat_balance(F.col("l_quantity"), F.col("l_tax")), 9).alias("u"), F.round(mathexpr.half_heat_balance(F.col("l_quantity"), F.col("l_tax")), 9).alias("half"))
 
 
 _VALUE = {c: f"CAST(p_size + {i} AS DOUBLE)" for i, c in enumerate(sorted({n for e in mathexpr.GENERATED for n in mathexpr.names_of(e)}))}
 
 
 def _sql_of(expression: str) -> str:
-    import re
-
     text_ = re.sub(r"([A-Za-z]+)\*\*(\d+)", r"pow(\1, \2)", expression)
     return re.sub(r"[A-Za-z]+", lambda m: m[0] if m[0] == "pow" else _VALUE[m[0]], text_)
 
@@ -525,3 +525,86 @@ def mth10_equation_names(spark, sf_dir):
 @query(f"SELECT item_id, CAST(len({_tokens('text')}) + 2 AS INT) AS n FROM benchmark")
 def agg13b_entry_tokens(spark, sf_dir):
     return _t(spark, sf_dir, "benchmark").select("item_id", F.size(text.tokenize(F.concat_ws(" ", "text", F.lit("Two two")))).alias("n"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) * p_size END AS value, CASE p_partkey % 4 WHEN 0 THEN 'area_square(s)' WHEN 1 THEN 'missing: s' WHEN 2 THEN 'no formula nothing of geometry' ELSE 'no value' END AS detail FROM part")
+def mth7_by_name(spark, sf_dir):
+    """MTH-7: a formula by its name, with what is missing told; of every fourth part a missing value of its argument."""
+    cases = [formulas.evaluated("geometry", "AREA_Square", {"S": "cast(p_size AS double)"}), formulas.evaluated("geometry", "area_square", {"other": "1D"}), formulas.evaluated("geometry", "nothing", {}), formulas.evaluated("geometry", "area_square", {"s": "cast(NULL AS double)"})]
+    c = F.element_at(F.array(*cases), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _t(spark, sf_dir, "part").select("p_partkey", c["value"].alias("value"), c["detail"].alias("detail"))
+
+
+# Formulas over arrays and functions
+
+_A = "(CAST(embedding[1] AS DOUBLE))", "(CAST(embedding[2] AS DOUBLE))", "(CAST(embedding[3] AS DOUBLE))"
+_B = "(CAST(embedding[4] AS DOUBLE))", "(CAST(embedding[5] AS DOUBLE))", "(CAST(embedding[6] AS DOUBLE))"
+_DOT = " + ".join(f"{a} * {b}" for a, b in zip(_A, _B))
+_LEN = " + ".join(f"{b} * {b}" for b in _B)
+_ARRAYS = {
+    "algebra.polynomial": (f"{_A[0]} + {_A[1]} * 2 + {_A[2]} * 4", None), "algebra.evaluate_polynomial": (f"{_A[0]} + {_A[1]} * 2 + {_A[2]} * 4", None), "math.polynomial": (f"{_A[0]} + {_A[1]} * 2 + {_A[2]} * 4", None),
+    "math.average": (f"({' + '.join(_A)}) / 3", None), "math.mean": (f"({' + '.join(_A)}) / 3", None), "statistics.mean": (f"({' + '.join(_A)}) / 3", None), "finance.expected_return": (_DOT, None), "finance.portfolio_return": (_DOT, None),
+    "probability.expected_value_discrete": (_DOT, None), "probability.variance_discrete": (" + ".join(f"pow({a} - ({_DOT}), 2) * {b}" for a, b in zip(_A, _B)), None),
+    "linear_algebra.projection_scalar": (f"({_DOT}) / sqrt({_LEN})", None), "vectors.projection_scalar": (f"({_DOT}) / sqrt({_LEN})", None), "linear_algebra.projection_vector": (f"({_DOT}) / ({_LEN}) * {_B[1]}", "[1]"), "vectors.projection_vector": (f"({_DOT}) / ({_LEN}) * {_B[1]}", "[1]"),
+    "linear_algebra.cross_product": (f"{_A[2]} * {_B[0]} - {_A[0]} * {_B[2]}", "[1]"), "linear_algebra.unit_vector": (f"{_A[2]} / sqrt({' + '.join(f'{a} * {a}' for a in _A)})", "[2]"), "linear_algebra.vector": (_A[1], "[1]"),
+    "linear_algebra.matrix_addition": (f"{_A[1]} + {_B[1]}", "[0][1]"), "linear_algebra.matrix_subtraction": (f"{_A[2]} - {_A[0]}", "[1][0]"), "linear_algebra.scalar_multiplication": (f"3 * {_A[1]}", "[0][1]"),
+    "linear_algebra.matrix_2x2": (_A[2], "[1][0]"), "linear_algebra.inverse_2x2": (f"-{_A[1]} / ({_A[0]} * {_B[0]} - {_A[1]} * {_A[2]})", "[0][1]"),
+}
+
+
+def _single(x: str) -> str:
+    """The nearest single-precision number."""
+    return f"CAST(CAST(({x}) + CAST(0 AS DOUBLE) AS FLOAT) AS DOUBLE)"
+
+
+@query("SELECT vec_id, " + ", ".join(f'{_single(sql)} AS "{n.replace(".", "_")}"' for n, (sql, _) in _ARRAYS.items()) + " FROM embeddings")
+def fml_arrays(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).selectExpr("vec_id", "slice(e, 1, 3) AS v", "slice(e, 4, 3) AS w", "array(slice(e, 1, 2), array(e[2], e[3])) AS m", "array(slice(e, 4, 2), slice(e, 1, 2)) AS k")
+    args = {"v": "v", "w": "w", "coeffs": "v", "values": "v", "ps": "w", "rs": "v", "ws": "w", "xs": "v", "x": "2D", "A": "m", "B": "k", "k": "3D", "a": "v[0]", "b": "v[1]", "c": "v[2]", "d": "w[0]", "coords": "v[0], v[1], v[2]"}
+    columns = []
+    for name, (_, at) in _ARRAYS.items():
+        f = formulas.formula(*name.split("."))
+        columns.append(F.expr(_single(f"({f.sql({a.lstrip('*'): args[a.lstrip('*')] for a in f.args})}){at or ''}")).alias(name.replace(".", "_")))
+    return e.select("vec_id", *columns)
+
+
+_F1, _G1 = "pow({0}, 2)", "(3 * ({0}))"
+_X, _H = "(l_discount + 1)", "CAST(0.5 AS DOUBLE)"
+
+
+def _at(form: str, x: str) -> str:
+    return form.format(x)
+
+
+_D = lambda form: f"(({_at(form, f'({_X} + {_H})')} - {_at(form, _X)}) / {_H})"
+_CALCULUS = {
+    "limit_definition": _at(_F1, f"({_X} + {_H})"), "derivative_definition": _D(_F1), "derivative_sum": f"{_D(_F1)} + {_D(_G1)}",
+    "derivative_quotient_rule": f"({_D(_F1)} * {_at(_G1, _X)} - {_at(_F1, _X)} * {_D(_G1)}) / pow({_at(_G1, _X)}, 2)", "derivative_chain_rule": f"({_at(_F1, _at(_G1, f'({_X} + {_H})'))} - {_at(_F1, _at(_G1, _X))}) / {_H}",
+    "riemann_sum_left": f"({_at(_F1, _X)} + {_at(_F1, '(l_tax + 2)')}) * {_H}", "riemann_sum_right": f"({_at(_F1, _X)} + {_at(_F1, '(l_tax + 2)')}) * {_H}", "definite_integral_approx": f"({_at(_F1, _X)} + {_at(_F1, '(l_tax + 2)')}) * {_H}",
+}
+
+
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"{_single(sql)} AS {n}" for n, sql in _CALCULUS.items()) + ", round(l_discount * 100 / 1.05 + l_discount * 100 / pow(1.05, 2) + 100 / pow(1.05, 2), 6) AS bond_price FROM lineitem")
+def fml_functions(spark, sf_dir):
+    build = {"f": lambda a: f"power({a}, 2)", "g": lambda a: f"3 * ({a})"}
+    args = {"x": "(l_discount + 1)", "h": "0.5D", "a": "(l_discount + 1)", "dx": "0.5D", "xs": "array(l_discount + 1, l_tax + 2)"}
+    columns = []
+    for name in _CALCULUS:
+        f = formulas.formula("calculus", name)
+        columns.append(F.expr(_single(f.sql({a: args[a] for a in f.args if a not in f.takes_functions}, {g: build[g] for g in f.takes_functions}))).alias(name))
+    bond = formulas.formula("finance", "bond_price").column(C="(l_discount * 100)", r="0.05D", n="2D", F="100D")
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *columns, F.round(bond, 6).alias("bond_price"))
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity * l_discount), 3) AS finance_portfolio_return, round(sum(l_quantity * l_discount), 3) AS probability_expected_value_discrete, round(sum(l_discount * l_discount * l_tax) - pow(sum(l_discount * l_tax), 2), 3) AS probability_variance_discrete, round(avg(l_quantity), 6) AS math_average, round(avg(l_quantity), 6) AS math_mean, median(l_quantity) AS math_median, max(l_quantity) - min(l_quantity) AS math_range_stat, round(var_pop(l_quantity), 6) AS math_variance_population, round(stddev_pop(l_quantity), 6) AS math_standard_deviation_population FROM lineitem GROUP BY 1")
+def fml_over_rows(spark, sf_dir):
+    args = {"value": "l_quantity", "w": "l_discount", "r": "l_quantity", "x": "l_quantity", "p": "l_discount"}
+
+    def of(domain: str, name: str, **more: str):
+        names = {**args, **more}
+        return F.expr(re.sub(r"\b(" + "|".join(names) + r")\b(?!\()", lambda m: names[m[1]], formulas.formula(domain, name, True).body))
+
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.round(of("finance", "portfolio_return"), 3).alias("finance_portfolio_return"), F.round(of("probability", "expected_value_discrete"), 3).alias("probability_expected_value_discrete"), F.round(of("probability", "variance_discrete", x="l_discount", p="l_tax"), 3).alias("probability_variance_discrete"),
+        *((F.round(of("math", n), 6) if n in ("average", "mean", "variance_population", "standard_deviation_population") else of("math", n)).alias(f"math_{n}") for n in ("average", "mean", "median", "range_stat", "variance_population", "standard_deviation_population")),
+    )

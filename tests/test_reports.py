@@ -83,6 +83,14 @@ def test_pairs_alike_by_what_both_lack(spark):
         assert got == {(r.a, r.b): round(r.percent, 6) for r in every if r.percent >= least}
 
 
+def test_pairs_of_frequent_keys_are_spread(spark, monkeypatch):
+    rows = [(i, f"k{i % 3}") for i in range(40)] + [(i, "all") for i in range(0, 40, 2)] + [(99, "one")]
+    want = sorted((a, b, k) for a, k in rows for b, j in rows if a < b and j == k)
+    for spread in (2_000, 3):
+        monkeypatch.setattr(relations, "SPREAD_ROWS", spread)
+        assert sorted(map(tuple, relations.met_pairs(spark.createDataFrame(rows, "id int, k string")).collect())) == want
+
+
 def test_relations_against_all_pairs(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("red red blue ball game far away from sun moon star".split()) for _ in range(rng.randint(0, 7)))) for i in range(60)]
