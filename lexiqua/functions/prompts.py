@@ -123,6 +123,15 @@ def phrase(c: Column) -> Column:
     return F.when(said.rlike(EQUATION), equation).when(low.rlike(COLON), ratio).otherwise(words)
 
 
+def int_to_int(c: Column) -> Column:
+    """``kind`` (range, compare or none) and the bounds ``a`` and ``b`` of "a to b"."""
+    form = Form("{bound} to {bound}")
+    said = text.blank(c)
+    a, b = form.filled(said)
+    fits = form.fits(said)
+    return F.struct(F.when(~fits, "none").when(F.lower(said).contains("compare"), "compare").otherwise("range").alias("kind"), F.when(fits, a).alias("a"), F.when(fits, b).alias("b"))
+
+
 def patch_intent(c: Column) -> Column:
     """``old, new`` and flags of a request to change a text; null where it asks for none."""
     p = F.trim(text.blank(c))
@@ -203,3 +212,16 @@ def definition_sentence(name: Column, gloss: Column, formula: Column) -> Column:
     core = F.regexp_replace(F.trim(text.blank(gloss)), r"[.\s]+$", "")
     told = F.concat(text.capitalize_first(name), F.lit(" is "), article(core), F.lit(" "), core, F.lit("."))
     return F.when(text.blank(formula) == "", told).otherwise(F.concat(told, F.lit(" Its formula is "), formula, F.lit(".")))
+
+def definition_style(name: Column, core: Column, details: Column, formula: Column) -> Column:
+    """A name, what it is, its details (an array) as a clause, and its formula: "x is a core that a, b, and c. The formula is f."
+
+    A core has an article of its own or gets one; without a core the name is a concept.
+    """
+    said = F.trim(text.blank(core))
+    said = F.when(said == "", "concept").otherwise(said)
+    told = F.when(said.rlike(r"(?i)^(?:a|an|the)\s"), said).otherwise(F.concat(article(said), F.lit(" "), said))
+    parts = F.filter(F.transform(F.coalesce(details, F.array().cast("array<string>")), lambda d: F.trim(d)), lambda d: d != "")
+    n = F.size(parts)
+    clause = F.when(n == 0, "").when(n == 1, F.concat(F.lit(" that "), F.get(parts, F.lit(0)))).otherwise(F.concat(F.lit(" that "), F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.try_element_at(parts, F.lit(-1))))
+    return F.concat(name, F.lit(" is "), told, clause, F.lit("."), F.when(text.blank(formula) == "", "").otherwise(F.concat(F.lit(" The formula is "), formula, F.lit("."))))

@@ -96,6 +96,12 @@ def last_matches(found: DataFrame) -> DataFrame:
     return found.withColumn("_n", last).filter("_n = 1").drop("_n")
 
 
+def entry_tokens(senses: Column) -> Column:
+    """The tokens of all senses' glosses and synonyms, in order, with repeats."""
+    each = lambda s: F.concat(text.tokenize(s["gloss"]), F.flatten(F.transform(F.coalesce(s["synonyms"], F.array().cast("array<string>")), text.tokenize)))
+    return F.flatten(F.transform(senses, each))
+
+
 def choose_sense(senses: Column) -> Column:
     """The first sense of an entry; null without any."""
     return F.get(senses, F.lit(0))

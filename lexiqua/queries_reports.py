@@ -522,9 +522,40 @@ def mth10_equation_names(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(reports.equation_names(F.element_at(F.array(*map(F.lit, _SPELLED)), (F.col("p_partkey") % 7 + 1).cast("int"))), "|").alias("names"))
 
 
-@query(f"SELECT item_id, CAST(len({_tokens('text')}) + 2 AS INT) AS n FROM benchmark")
+@query(f"SELECT p_partkey, array_to_string(list_concat({_tokens("p_name || ' is ' || p_type || ' ion of size = ' || CAST(p_size AS VARCHAR)")}, {_tokens('p_brand')}), ' ') AS tokens FROM part")
 def agg13b_entry_tokens(spark, sf_dir):
-    return _t(spark, sf_dir, "benchmark").select("item_id", F.size(text.tokenize(F.concat_ws(" ", "text", F.lit("Two two")))).alias("n"))
+    e = _entries(spark, sf_dir).withColumn("p_partkey", F.element_at(F.split("key", " "), -1).cast("long"))
+    return e.select("p_partkey", F.array_join(match.entry_tokens(F.col("senses")), " ").alias("tokens"))
+
+
+@query("SELECT p_partkey, p_name || ' is ' || CASE p_partkey % 4 WHEN 0 THEN 'a concept' WHEN 1 THEN 'the ' || p_type ELSE CASE WHEN p_type = 'ECONOMY' THEN 'an ' ELSE 'a ' END || p_type END || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' that ' || p_brand ELSE ' that ' || p_brand || ', x, and y' END || '.' || CASE WHEN p_size % 2 = 0 THEN ' The formula is ' || p_size || 'x.' ELSE '' END AS told FROM part")
+def str22_definition_with_details(spark, sf_dir):
+    n = F.col("p_partkey")
+    core = F.when(n % 4 == 0, " ").when(n % 4 == 1, F.concat(F.lit("the "), F.col("p_type"))).otherwise(F.col("p_type"))
+    details = F.when(n % 3 == 0, F.array(F.lit(" "))).when(n % 3 == 1, F.array("p_brand")).otherwise(F.array(F.col("p_brand"), F.lit("x "), F.lit(""), F.lit("y")))
+    formula = F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit("x")))
+    return _t(spark, sf_dir, "part").select("p_partkey", prompts.definition_style(F.col("p_name"), core, details, formula).alias("told"))
+
+
+@query("SELECT p_partkey, ['range', 'compare', 'none', 'range'][p_partkey % 4 + 1] AS kind, CASE p_partkey % 4 WHEN 2 THEN NULL WHEN 3 THEN 'x' ELSE CAST(p_partkey AS VARCHAR) END AS a, CASE WHEN p_partkey % 4 <> 2 THEN CAST(p_size AS VARCHAR) END AS b FROM part")
+def str30_int_to_int(spark, sf_dir):
+    n, s = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    said = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("from ("), n, F.lit(") to ("), s, F.lit(")"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("Compare "), n, F.lit(" to "), s)).when(F.col("p_partkey") % 4 == 2, n).otherwise(F.concat(F.lit("x to "), s))
+    i = prompts.int_to_int(said)
+    return _t(spark, sf_dir, "part").select("p_partkey", i["kind"].alias("kind"), i["a"].alias("a"), i["b"].alias("b"))
+
+
+@query(
+    f"""WITH {_SIDES}, p AS (SELECT a.g, a.t AS ta, b.t AS tb FROM t a JOIN t b ON a.g = b.g AND a.s = 0 AND b.s = 1),
+m AS (SELECT g, max(len(list_intersect(ta, tb)) / CAST(greatest(least(len(list_distinct(ta)), len(list_distinct(tb))), 1) AS DOUBLE)) AS o, max({_INCLUDED.format(n='tb', b='ta')}) AS ab, max({_INCLUDED.format(n='ta', b='tb')}) AS ba, max({_jaccard('ta', 'tb')}) AS j FROM p GROUP BY g)
+SELECT g, CASE WHEN o > 0.85 THEN 'Yes: ''a'' and ''b'' are equivalent. (high token overlap)' WHEN ab >= 0.6 AND ba >= 0.6 THEN 'Yes: ''a'' and ''b'' are equivalent. (both include the other: ' || printf('%.2f', ab) || '/' || printf('%.2f', ba) || ')' WHEN ab >= 0.6 THEN '''a'' broadly includes ''b'' (score ' || printf('%.2f', ab) || ').'
+ WHEN ba >= 0.6 THEN '''b'' broadly includes ''a'' (score ' || printf('%.2f', ba) || ').' WHEN j >= 0.25 THEN '''a'' and ''b'' overlap (score ' || printf('%.2f', j) || ').' ELSE '''a'' and ''b'' appear distinct. (low overlap and no inclusion)' END AS answer FROM m"""
+)
+def rel8_equality_answers(spark, sf_dir):
+    """REL-8: the answer that follows from the relation of two terms."""
+    e = _t(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 4).alias("g"), (F.col("item_id") % 2).alias("s"), text.tokenize(F.col("text")).alias("t"))
+    best = relations.tiered_relation(relations.best_of_entries(e.filter("s = 0"), e.filter("s = 1"), "g", "t"))
+    return best.select("g", reports.equality_answer(F.lit("a"), F.lit("b"), F.col("relation"), F.col("score"), F.col("reason")).alias("answer"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) * p_size END AS value, CASE p_partkey % 4 WHEN 0 THEN 'area_square(s)' WHEN 1 THEN 'missing: s' WHEN 2 THEN 'no formula nothing of geometry' ELSE 'no value' END AS detail FROM part")
