@@ -57,8 +57,10 @@ def keyword_counts(tokens: Column) -> Column:
         each = lambda starts: F.transform(starts, lambda b, k: F.struct((b - F.coalesce(F.get(starts, k + 1), F.size(ordered))).alias("less"), at(b)["pos"].alias("pos"), at(b)["w"].alias("keyword")))
         return F.sort_array(F.get(F.transform(F.array(starts), each), F.lit(0)))
 
-    placed = F.sort_array(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("pos"))))
-    return F.when(F.size(tokens) > 0, F.get(F.transform(F.array(placed), counted), F.lit(0)))
+    # Each value is bound once: Catalyst computes an expression as often as it is written.
+    placed = lambda t: F.sort_array(F.transform(t, lambda w, i: F.struct(w.alias("w"), i.alias("pos"))))
+    whole = lambda t: F.when(F.size(t) > 0, F.get(F.transform(F.array(placed(t)), counted), F.lit(0)))
+    return F.get(F.transform(F.array(tokens), whole), F.lit(0))
 
 
 def keywords(df: DataFrame, id_cols: list[str], text_col: str, top: int = 6) -> DataFrame:
