@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lexiqua import queries as q
-from lexiqua import queries_reports, queries_sources  # noqa: F401
+from lexiqua import queries_more, queries_reports, queries_sources  # noqa: F401
 
 
 def plain(v):
