@@ -16,8 +16,10 @@ GROUPS = {
     "math": "algebra linear_algebra calculus math geometry complex_numbers probability statistics trigonometry vectors".split(),
     "science": "biology chemistry physics thermodynamics".split(), "code": ["code_dictionary"], "definitions": ["wikipedia_defs"],
 }
-#: Keywords of all prompts that go into one plan, at most.
-MOST_KEYWORDS = 1_000
+#: Up to so many keywords go into a plan as literals; more are joined by what they are made of.
+LITERAL_KEYWORDS = 1_000
+#: Letters of the parts on which keywords and texts meet, and keywords that are broadcast at a time.
+GRAM, BROADCAST_KEYWORDS = 3, 500_000
 # Fixed value: what an equation in a gloss looks like.
 EQUATION = r"([A-Za-z0-9()\[\]{}.+\-^_=/]+\s*=\s*[A-Za-z0-9().+\-^_/]+)"
 
@@ -73,15 +75,65 @@ def keywords(df: DataFrame, id_cols: list[str], text_col: str, top: int = 6) ->
     return best.select(*id_cols, F.col("_k.keyword").alias("keyword"), (-F.col("_k.less")).cast("long").alias("n"), (F.col("_at") + 1).alias("rank"))
 
 
-def matches(entries: DataFrame, words: list[str]) -> DataFrame:
-    """Entries that hold a keyword: ``keyword, file, key, field, sense`` (the matched sense's number).
+def _literal(entries: DataFrame, words: list[str]) -> DataFrame:
+    """``entries`` with each keyword (``kw``: ``keyword``, ``normal``), which are literals of the plan."""
+    kws = F.array(*[F.struct(F.lit(w).alias("keyword"), F.lit("".join(c for c in w.lower() if c.isascii() and c.isalnum())).alias("normal")) for w in dict.fromkeys(words)])
+    return entries.withColumn("_key", text.normalize(F.col("key"))).withColumn("kw", F.explode(F.filter(kws, lambda k: k["normal"] != "")))
+
+
+def grams(c: Column, n: int = GRAM) -> Column:
+    """The distinct runs of ``n`` letters and digits of a text in plain lower-case ASCII."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=([a-z0-9]{{{n}}}))"), F.lit(1)))
+
+
+def _met(entries: DataFrame, words: DataFrame) -> DataFrame:
+    """``entries`` with each keyword of ``words`` (``keyword``) that may be in it, as ``_literal`` has them.
+
+    A text can only hold a keyword if it holds all its runs of ``GRAM`` characters (a shorter keyword is a run of its own), so it is
+    enough to meet on one of them: the one that the fewest entries hold. Runs are of 36 characters, so there are under 48 000 of
+    them: their counts and the chosen ones are small whatever the tables are. Keywords are broadcast by their runs, in as many
+    parts as their number needs, so entries are never shuffled, and a run that all entries hold makes no task large.
+    """
+    kws = words.select("keyword", text.normalize(F.col("keyword")).alias("normal")).filter("normal <> ''").distinct()
+    size = F.least(F.length("normal"), F.lit(GRAM))
+    kws = kws.select("keyword", "normal", F.explode(F.when(size == GRAM, grams(F.col("normal"))).otherwise(F.array("normal"))).alias("gram"))
+    lengths = sorted(r[0] for r in kws.select(F.length("gram")).distinct().collect())  # 1 to GRAM
+    if not lengths:
+        return entries.limit(0).select("*", F.lit("").alias("_key"), F.struct(F.lit("").alias("keyword"), F.lit("").alias("normal")).alias("kw"))
+    told = F.transform(F.coalesce("senses", F.array().cast(entries.schema["senses"].dataType)), lambda s: F.concat_ws(" ", text.normalize(s["gloss"]), F.array_join(F.transform(F.coalesce(s["synonyms"], F.array().cast("array<string>")), text.normalize), " ")))
+    whole = F.concat_ws(" ", text.normalize(F.col("key")), F.array_join(told, " "))
+    held = entries.withColumn("_grams", F.concat(*(grams(whole, n) for n in lengths)))
+    counts = held.select(F.explode("_grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    rank = F.struct(F.coalesce("n", F.lit(0)), "gram")
+    chosen = kws.join(F.broadcast(counts), "gram", "left").groupBy("keyword", "normal").agg(F.min_by("gram", rank).alias("gram"))
+    parts = kws.select("keyword").distinct().count() // BROADCAST_KEYWORDS + 1
+    wanted = F.broadcast(chosen.select("gram").distinct())
+    named = held.withColumn("_row", F.struct(*entries.columns)).select("_row", F.explode("_grams").alias("gram")).join(wanted, "gram", "left_semi")
+    met = None
+    for part in range(parts):
+        some = F.broadcast(chosen.filter(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == part))
+        found = named.join(some, "gram").select("_row", F.struct("keyword", "normal").alias("kw"))
+        met = found if met is None else met.unionByName(found)
+    return met.select("_row.*", "kw").withColumn("_key", text.normalize(F.col("key")))
+
+
+def matches(entries: DataFrame, words: list[str] | DataFrame) -> DataFrame:
+    """Entries that hold a keyword: ``keyword, file, key, senses, field, sense`` (the matched sense's number).
 
     ``entries`` is ``file, key, senses`` with ``senses`` an array of structs with ``gloss`` and ``synonyms``. A keyword in the
-    key gives one row and no others of that entry; else each sense gives a row for a synonym and one for its gloss. The
-    prompt's keywords are few and go into the plan as literals, so entries are read once and nothing is shuffled.
+    key gives one row and no others of that entry; else each sense gives a row for a synonym and one for its gloss. Keywords are
+    a list or a column ``keyword``, as many as there may be, each once whatever its repeats; null ones and those without letters or digits
+    match nothing. A few of them go into the plan as literals; more meet entries on their rarest run of characters. Either way an
+    entry is judged in its row and not shuffled.
     """
-    kws = F.array(*[F.struct(F.lit(w).alias("keyword"), F.lit("".join(c for c in w.lower() if c.isascii() and c.isalnum())).alias("normal")) for w in dict.fromkeys(words)])
-    keyed = entries.withColumn("_key", text.normalize(F.col("key"))).withColumn("kw", F.explode(F.filter(kws, lambda k: k["normal"] != "")))
+    if isinstance(words, DataFrame):
+        listed = [r[0] for r in words.filter("keyword IS NOT NULL").select("keyword").distinct().limit(LITERAL_KEYWORDS + 1).collect()]
+    else:
+        listed = list(dict.fromkeys(w for w in words if w is not None))
+    if len(listed) <= LITERAL_KEYWORDS:
+        keyed = _literal(entries, sorted(listed))
+    else:
+        keyed = _met(entries, words if isinstance(words, DataFrame) else entries.sparkSession.createDataFrame([(w,) for w in listed], "keyword string"))
     in_key = F.contains(F.col("_key"), F.col("kw.normal"))
     holds = lambda c: F.contains(text.normalize(c), F.col("kw.normal"))
     hits = lambda s, i: F.concat(

@@ -23,14 +23,11 @@ SINGLE = ["{variable} — {type}: {value}", "{head} — {variable} — {type}: {
 def analysis(spark: SparkSession, prompts: DataFrame, entries: DataFrame) -> DataFrame:
     """Prompts (``prompt_id, prompt``) to taxa with ``frag, fragment, kw`` (the keyword's rank), ``keyword``, ``ITEM``, ``key, gloss, synonyms`` and ``score``.
 
-    As in ``sessions.analyze`` prompts are what users ask, so few: their keywords go into the plan, and entries are read once.
+    As in ``sessions.analyze``, entries are scanned once for all prompts.
     """
     frags = prompts.select("prompt_id", F.posexplode(text.fragments(F.col("prompt"))).alias("frag", "fragment"))
     words = match.keywords(frags, ["prompt_id", "frag", "fragment"], "fragment").select("prompt_id", "frag", "fragment", F.col("rank").alias("kw"), "keyword")
-    asked = [r[0] for r in words.select("keyword").distinct().orderBy("keyword").limit(match.MOST_KEYWORDS + 1).collect()]
-    if len(asked) > match.MOST_KEYWORDS:
-        raise ValueError(f"more than {match.MOST_KEYWORDS} keywords: analyse prompts in parts")
-    taxa = match.taxonomy(match.matches(entries, asked), True)
+    taxa = match.taxonomy(match.matches(entries, words.select("keyword")), True)
     return words.join(taxa, "keyword").select("prompt_id", "frag", "fragment", "kw", "keyword", *ITEM, "key", "gloss", "synonyms").withColumn("score", match.score())
 
 

@@ -14,14 +14,11 @@ ITEM = ["kingdom", "phylum", "family", "order", "variable", "type", "value"]
 def analyze(spark: SparkSession, prompts: DataFrame, entries: DataFrame) -> DataFrame:
     """Prompts (``prompt_id, prompt``) to taxa: ``prompt_id, frag, keyword, `` and ``ITEM``.
 
-    Prompts are what a user asks, so few; the driver reads their keywords and the entries are scanned once for all.
+    Entries are scanned once for all prompts, however many these are; see ``match.matches``.
     """
     frags = prompts.select("prompt_id", F.posexplode(text.fragments(F.col("prompt"))).alias("frag", "fragment"))
     words = match.keywords(frags, ["prompt_id", "frag"], "fragment")
-    asked = [r[0] for r in words.select("keyword").distinct().orderBy("keyword").limit(match.MOST_KEYWORDS + 1).collect()]
-    if len(asked) > match.MOST_KEYWORDS:
-        raise ValueError(f"more than {match.MOST_KEYWORDS} keywords: analyse prompts in parts")
-    taxa = match.taxonomy(match.matches(entries, asked))
+    taxa = match.taxonomy(match.matches(entries, words.select("keyword")))
     return words.join(taxa, "keyword").select("prompt_id", "frag", "keyword", *ITEM)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiqua.functions import rowexpr
-from lexiqua.queries import _t, query
+from lexiqua.functions import rowexpr, text
+from lexiqua.operators import match
+from lexiqua.queries import _entries, _normal, _t, _words, query
 
 #: Forms of expressions over a row's numbers: how each is written, and the same in SQL.
 _FORMS = [
@@ -28,3 +29,18 @@ def mth2_rows(spark, sf_dir):
     expression = F.element_at(F.array(*written), F.expr(_FORM).cast("int") + 1)
     told = items.select("l_orderkey", "l_linenumber", "l_extendedprice", expression.alias("expression"))
     return told.select("l_orderkey", "l_linenumber", F.round(rowexpr.evaluate(F.col("expression"), {"price": F.col("l_extendedprice")}), 4).alias("v"))
+
+
+_KEYWORDS = f"(SELECT DISTINCT w AS keyword FROM (SELECT unnest({_words('text')}) AS w FROM documents))"
+
+
+@query(
+    f"""WITH kw AS (SELECT keyword, {_normal('keyword')} AS n FROM {_KEYWORDS} WHERE {_normal('keyword')} <> ''),
+e AS (SELECT lower(p_type) || '.json' AS file, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS key, {_normal("p_name || ' ' || CAST(p_partkey AS VARCHAR)")} AS k, {_normal("p_name || ' is ' || p_type || ' ion of size = ' || CAST(p_size AS VARCHAR)")} AS g, {_normal('p_brand')} AS s FROM part),
+m AS (SELECT keyword, file, key, contains(k, n) AS ink, contains(s, n) AS ins, contains(g, n) AS ing FROM kw, e WHERE contains(k, n) OR contains(s, n) OR contains(g, n))
+SELECT keyword, file, key, 'key' AS field FROM m WHERE ink UNION ALL SELECT keyword, file, key, 'synonym' FROM m WHERE NOT ink AND ins UNION ALL SELECT keyword, file, key, 'gloss' FROM m WHERE NOT ink AND ing"""
+)
+def join1_many_keywords(spark, sf_dir):
+    """Every word of all documents against the parts."""
+    words = _t(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("keyword")).distinct()
+    return match.matches(_entries(spark, sf_dir), words).select("keyword", "file", "key", "field")
