@@ -27,9 +27,9 @@ from lexiqua.llm._common import cut, filled, mixed, slices, split_words, sums, t
 
 BUCKETS = 1 << 18
 #: The bound on labelled documents that are learnt from; scores are of all documents.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 6_000
 #: There is a shard for each so many documents of the sample.
-SHARD_ROWS, ROUNDS = 5_000, 6
+SHARD_ROWS, ROUNDS = 2_000, 5
 ALPHA, BETA, L1, L2 = 8.0, 1.0, 0.0, 0.0
 THRESHOLD = 0.3
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -80,7 +80,7 @@ def examples(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             buckets, values, start = features(filled(batch.column("text")), n_buckets)
-            vectors = [_packed(buckets.astype("<i4"), start), _packed(values.astype("<f4"), start)]
+            vectors = [_packed(buckets.astype("<i4"), start), _packed(values.astype("<f2"), start)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "place", "th", "label")), *vectors], names=["_id", "place", "th", "label", "buckets", "amounts"])
 
     rows = rows.select("_id", "place", F.xxhash64("text").alias("th"), "label", "text").mapInArrow(run, "_id long, place long, th long, label double, buckets binary, amounts binary")
@@ -135,7 +135,7 @@ def trained(rows: DataFrame, n_buckets: int = BUCKETS, rounds: int = ROUNDS) ->
                             yield state()
                         shard, leader, met = of, Leader(*(x.copy() for x in shared.value)), np.zeros(n_buckets + 1, bool)
                     at = np.append(np.frombuffer(buckets, "<i4"), n_buckets)
-                    leader.learn(at, np.append(np.frombuffer(amounts, "<f4"), 1.0), label)
+                    leader.learn(at, np.append(np.frombuffer(amounts, "<f2").astype(float), 1.0), label)
                     met[at] = True
             if shard is not None:
                 yield state()
