@@ -6,8 +6,7 @@ both sides in one group are linked. Links are expanded by repeats, a block of gr
 first reduced to its distinct ids with their counts. How many documents link a pair of ids is counted in each task, then over
 salted parts of each pair, then over the parts.
 
-Where neither tokenizer can join what a single space parts, a text's words are encoded and aligned one by one, and a worker keeps
-those it meets first, which keeps the frequent ones. Tokens and group sizes are written to the shared folder once, so texts are encoded once; counts, and what they say about each
+Tokens and group sizes are written to the shared folder once, so texts are encoded once; counts, and what they say about each
 document, are computed from these.
 """
 
@@ -15,9 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +27,6 @@ from lexiqua.llm._common import cut, filled, kept, slices, spread, sums
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer texts, in characters, go through the tokenizers library itself, whose splitter keeps no stack.
 LONG = 1 << 20
-#: Before a space that follows no space and is followed by no other white space: byte-level splitters always cut there, and so do
-#: pieces whose spaces all stand in front.
-WORD_START = re.compile(r"(?<! )(?= \S)")
-#: Words that a worker keeps, and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 200_000, 48
 #: Links that a worker holds at once; a group of more links than ``WIDE`` is reduced to distinct ids first.
 BLOCK_LINKS, WIDE = 1 << 21, 1 << 14
 #: Distinct pairs that a counting task holds before it sends what it has.
@@ -109,89 +101,31 @@ class Pieces:
         return self._model.encode(texts, num_threads=1)
 
 
-class Word(NamedTuple):
-    """An aligned stretch of text: whether both tokenizers give it back, its groups and links, ids and group sizes in a row, and all in digits."""
-
-    given: bool
-    n_groups: int
-    n_links: int
-    a: bytes
-    b: bytes
-    sizes_a: bytes
-    sizes_b: bytes
-    digits: bytes
-
-
 class Tokenizers:
     """Both tokenizers of a worker, and what alignment needs of their vocabularies."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.length_a, self.length_b = (np.array([len(p) for p in x.pieces], np.int64) for x in (self.a, self.b))
-        self.kind_a, self.kind_b = ("<u2" if x.size <= 1 << 16 else "<u4" for x in (self.a, self.b))
-        self.n = max(self.a.size, self.b.size)
-        #: Each id in digits with what may follow it.
-        self.digits = [f"{i}{end}".encode() for end in ",|;" for i in range(self.n)]
-        self.apart = self.a.plain and not any(b" " in p.lstrip(b" ") for p in self.b.pieces)
-        self.known: dict[str, Word] = {}
-
-    def words(self, texts: list[str]) -> list[list[Word]]:
-        """Each text, with a space in front, as its aligned words; no words for an empty text."""
-        cut = [[] if not x else WORD_START.split(" " + x) if self.apart else [" " + x] for x in texts]
-        missing = list(dict.fromkeys(w for x in cut for w in x if w not in self.known))
-        new = dict(zip(missing, self._aligned(missing)))
-        for w, found in new.items():
-            if len(self.known) < KEPT_WORDS and len(w) <= KEPT_CHARS:
-                self.known[w] = found
-        known = self.known
-        return [[known.get(w) or new[w] for w in x] for x in cut]
-
-    def _aligned(self, words: list[str]) -> list[Word]:
-        out, low, size = [], 0, 0
-        for high, w in enumerate(words, 1):
-            size += len(w)
-            if size > 1 << 20 or high == len(words):
-                out += self._some(words[low:high])
-                low, size = high, 0
-        return out
-
-    def _some(self, words: list[str]) -> list[Word]:
-        left, right, given = [], [], []
-        for word, ids in zip(words, self.b.encode([w[1:] for w in words]), strict=True):
-            want, a = word.encode(), self.a.encode(word)
-            fine = b"".join(map(self.a.pieces.__getitem__, a.tolist())) == want and b"".join(map(self.b.pieces.__getitem__, ids)) == want
-            given.append(fine)
-            left.append(a if fine else NONE)
-            right.append(np.array(ids, np.int64) if fine else NONE)
-        a, b = np.concatenate(left), np.concatenate(right)
-        size_a, size_b = groups(self.length_a[a], self.length_b[b])
-        first_a, first_b = _firsts(size_a), _firsts(size_b)
-        start_a, start_b = (_firsts(np.array([len(x) for x in side], np.int64)) for side in (left, right))
-        first = np.searchsorted(first_a, start_a)  # a word begins with a group
-        n_links = sums(size_a * size_b, first)
-        # All ids in digits, group by group, A before B.
-        order = np.empty(len(a) + len(b), np.int64)
-        end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        end_a[first_a[1:] - 1], end_b[first_b[1:] - 1] = 1, 2
-        order[np.arange(len(a)) + np.repeat(first_b[:-1], size_a)] = a + end_a * self.n
-        order[np.arange(len(b)) + np.repeat(first_a[1:], size_b)] = b + end_b * self.n
-        at, digits = (start_a + start_b).tolist(), list(map(self.digits.__getitem__, order.tolist()))
-        a, b, at_a, at_b, first = a.astype(self.kind_a), b.astype(self.kind_b), start_a.tolist(), start_b.tolist(), first.tolist()
-        return [
-            Word(
-                given[i], first[i + 1] - first[i], n_links[i].item(), a[at_a[i] : at_a[i + 1]].tobytes(), b[at_b[i] : at_b[i + 1]].tobytes(),
-                _sizes(size_a[first[i] : first[i + 1]]), _sizes(size_b[first[i] : first[i + 1]]), b"".join(digits[at[i] : at[i + 1]]),
-            )
-            for i in range(len(words))
-        ]
-
-
-def _together(words: list[Word], side: str) -> bytes:
-    """The group sizes of a text's words in one width."""
-    parts = [(getattr(w, side), w.n_groups) for w in words]
-    if all(len(x) == n for x, n in parts):
-        return b"".join(x for x, _ in parts)
-    return b"".join(np.frombuffer(x, np.uint8 if len(x) == n else "<u4").astype("<u4").tobytes() for x, n in parts)
+        n = max(self.a.size, self.b.size)
+        self.n = n
+        #: Each id in digits with what may follow it, in the bytes of one integer; bytes that aren't needed are 0.
+        self.digits = np.array([f"{i}{end}" for end in ",|;" for i in range(n)], "S8").view("<u8")
+
+    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both for each text; none for texts whose bytes they don't give back."""
+        left, right = [], []
+        for text, ids in zip(texts, self.b.encode(texts), strict=True):
+            a, b = NONE, NONE
+            if text:
+                want = (" " + text).encode()
+                a, b = self.a.encode(" " + text), np.array(ids, np.int64)
+                # A plain byte-level vocabulary gives back all bytes by construction.
+                if b"".join(map(self.b.pieces.__getitem__, ids)) != want or not self.a.plain and b"".join(map(self.a.pieces.__getitem__, a.tolist())) != want:
+                    a, b = NONE, NONE
+            left.append(a)
+            right.append(b)
+        return left, right
 
 
 def groups(length_a: np.ndarray, length_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,15 +182,31 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept(("aligner", path_a, path_b), lambda: Tokenizers(path_a, path_b))
         for batch in slices(batches, "text", most=1 << 20, keeps=True):
-            found = [x if all(w.given for w in x) else [] for x in own.words(filled(batch.column("text")).to_pylist())]
-            data = {name: [b"".join([getattr(w, name) for w in x]) for x in found] for name in ("a", "b", "digits")}
-            n_a, n_b = ([len(x) // np.dtype(kind).itemsize for x in data[name]] for name, kind in (("a", own.kind_a), ("b", own.kind_b)))
+            left, right = own.tokens(filled(batch.column("text")).to_pylist())
+            a, b = np.concatenate(left), np.concatenate(right)
+            n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+            size_a, size_b = groups(own.length_a[a], own.length_b[b])
+            first_a, first_b, start_a, start_b = _firsts(size_a), _firsts(size_b), _firsts(n_a), _firsts(n_b)
+            first = np.searchsorted(first_a, start_a)  # a document begins with a group
+            # All ids in digits, group by group, A before B.
+            order = np.empty(len(a) + len(b), np.int64)
+            end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+            end_a[first_a[1:] - 1], end_b[first_b[1:] - 1] = 1, 2
+            order[np.arange(len(a)) + np.repeat(first_b[:-1], size_a)] = a + end_a * own.n
+            order[np.arange(len(b)) + np.repeat(first_a[1:], size_b)] = b + end_b * own.n
+            digits = own.digits[order].view(np.uint8)
+            full = digits != 0
+            at = _firsts(full.reshape(-1, 8).sum(axis=1))[start_a + start_b].tolist()
+            digits = memoryview(digits[full])
+            texts = [hashlib.sha256(digits[low : high - 1]).hexdigest() if low < high else "" for low, high in zip(at, at[1:])]
+            kind_a, kind_b = ("<u2" if x.size <= 1 << 16 else "<u4" for x in (own.a, own.b))
+            span = [slice(first[i], first[i + 1]) for i in range(batch.num_rows)]
             long = lambda x: pa.array(x, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("uid"), long(n_a), long(n_b), long([sum(w.n_groups for w in x) for x in found]), long([sum(w.n_links for w in x) for x in found]),
-                    pa.array([hashlib.sha256(x[:-1]).hexdigest() if x else "" for x in data["digits"]], pa.string()),
-                    pa.array(data["a"], pa.binary()), pa.array(data["b"], pa.binary()), *(pa.array([_together(x, side) for x in found], pa.binary()) for side in ("sizes_a", "sizes_b")),
+                    batch.column("doc_id"), batch.column("uid"), long(n_a), long(n_b), long(np.diff(first)), long(sums(size_a * size_b, first)), pa.array(texts, pa.string()),
+                    *(pa.array([x.astype(kind).tobytes() for x in side], pa.binary()) for side, kind in ((left, kind_a), (right, kind_b))),
+                    *(pa.array([_sizes(size[s]) for s in span], pa.binary()) for size in (size_a, size_b)),
                 ],
                 names=[x.split()[0] for x in ALIGNED.split(", ")],
             )

@@ -114,24 +114,6 @@ def test_blocks_and_wide_groups(monkeypatch):
     assert counted() == want
 
 
-def test_words_apart_are_whole_texts(monkeypatch):
-    """Aligning word by word, with few or many words kept, gives what whole texts give."""
-    texts = [x or "" for x in ODD] + ["a  b   c \n d\t e \u00a0 f \u3000g", " x", "x ", "\n\n a", "don't 's 12 34's  5", "a\u2581 b", "x" * 70_000 + " y" * 10]
-    own = m.Tokenizers(PATH_A, PATH_B)
-    assert own.apart
-    got = [[b"".join(getattr(w, name) for w in x) for name in ("a", "b", "sizes_a", "sizes_b", "digits")] if all(w.given for w in x) else None for x in own.words(texts)]
-    own.apart, own.known = False, {}
-    whole = [[b"".join(getattr(w, name) for w in x) for name in ("a", "b", "sizes_a", "sizes_b", "digits")] if all(w.given for w in x) else None for x in own.words(texts)]
-    assert got == whole
-    assert len(own.known) <= m.KEPT_WORDS
-
-
-def test_sizes_in_one_width():
-    word = lambda counts: m.Word(True, len(counts), 0, b"", b"", m._sizes(np.array(counts)), b"", b"")
-    assert m._together([word([1, 2]), word([3])], "sizes_a") == bytes([1, 2, 3])
-    assert np.frombuffer(m._together([word([1, 2]), word([300, 4])], "sizes_a"), "<u4").tolist() == [1, 2, 300, 4]
-
-
 def test_both_encoders_give_the_same_ids(monkeypatch):
     own = m.ByteLevel(PATH_A)
     assert own._ranks is not None
