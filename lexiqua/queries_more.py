@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiqua.functions import rowexpr, text
+from lexiqua.functions import fuzzy, rowexpr, text
 from lexiqua.operators import match
 from lexiqua.queries import _entries, _normal, _t, _words, query
 
@@ -22,13 +22,13 @@ _FORMS = [
 _FORM = f"(l_orderkey + l_linenumber) % {len(_FORMS)}"
 
 
-@query(f"SELECT l_orderkey, l_linenumber, round(CASE {' '.join(f'WHEN {_FORM} = {i} THEN {sql}' for i, (_, sql) in enumerate(_FORMS))} END, 4) AS v FROM lineitem")
+@query(f"SELECT l_orderkey, l_linenumber, CAST(CASE {' '.join(f'WHEN {_FORM} = {i} THEN {sql}' for i, (_, sql) in enumerate(_FORMS))} END AS FLOAT) AS v FROM lineitem")
 def mth2_rows(spark, sf_dir):
     items = _t(spark, sf_dir, "lineitem")
     written = [F.concat(*(F.col(p).cast("string") if p.startswith("l_") else F.lit(p) for p in parts)) for parts, _ in _FORMS]
     expression = F.element_at(F.array(*written), F.expr(_FORM).cast("int") + 1)
     told = items.select("l_orderkey", "l_linenumber", "l_extendedprice", expression.alias("expression"))
-    return told.select("l_orderkey", "l_linenumber", F.round(rowexpr.evaluate(F.col("expression"), {"price": F.col("l_extendedprice")}), 4).alias("v"))
+    return told.select("l_orderkey", "l_linenumber", rowexpr.evaluate(F.col("expression"), {"price": F.col("l_extendedprice")}).cast("float").alias("v"))
 
 
 _KEYWORDS = f"(SELECT DISTINCT w AS keyword FROM (SELECT unnest({_words('text')}) AS w FROM documents))"
@@ -44,3 +44,24 @@ def join1_many_keywords(spark, sf_dir):
     """Every word of all documents against the parts."""
     words = _t(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("keyword")).distinct()
     return match.matches(_entries(spark, sf_dir), words).select("keyword", "file", "key", "field")
+
+
+#: Stretches still open of a pair of words, one taken at a time: its longest common block (first in ``a``, then in ``b``) as 1000 * size - place.
+_RATIO = """r AS (SELECT a, b, [{i: 0, j: length(a), k: 0, n: length(b)}] AS todo, 0 AS matched FROM p
+ UNION ALL SELECT a, b, rest || CASE WHEN best IS NULL THEN [] ELSE list_filter([{i: s.i, j: ia, k: s.k, n: s.k + too}, {i: ia + size, j: s.j, k: s.k + too + size, n: s.n}], lambda x: x.i < x.j AND x.k < x.n) END, matched + coalesce(size, 0)
+ FROM (SELECT *, CAST(instr(substr(b, s.k + 1, s.n - s.k), substr(a, ia + 1, size)) - 1 AS INT) AS too FROM (SELECT *, CAST(ceil(best / 1000) AS INT) AS size, CAST(ceil(best / 1000) * 1000 - best AS INT) AS ia FROM (SELECT *,
+ list_max(flatten(list_transform(range(s.i, s.j), lambda x: list_transform(list_filter(range(1, s.j - x + 1), lambda l: contains(substr(b, s.k + 1, s.n - s.k), substr(a, x + 1, l))), lambda l: l * 1000 - x)))) AS best
+ FROM (SELECT a, b, matched, todo[-1] AS s, todo[:-2] AS rest FROM r WHERE len(todo) > 0)))))"""
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT DISTINCT w FROM (SELECT unnest({_words('text')}) AS w FROM benchmark)),
+p AS (SELECT x.w AS a, y.w AS b FROM w x JOIN w y ON x.w < y.w AND 5 * least(length(x.w), length(y.w)) >= 2 * (length(x.w) + length(y.w))
+ WHERE 5 * list_sum(list_transform(list_distinct(string_split(x.w, '')), lambda c: least(length(x.w) - length(replace(x.w, c, '')), length(y.w) - length(replace(y.w, c, ''))))) >= 2 * (length(x.w) + length(y.w))),
+{_RATIO}
+SELECT a, b, round(2 * matched / (length(a) + length(b)), 9) AS ratio FROM r WHERE len(todo) = 0 AND 10 * matched >= 4 * (length(a) + length(b))"""
+)
+def join10_near_words(spark, sf_dir):
+    """Words of the benchmark that are nearly alike."""
+    words = _t(spark, sf_dir, "benchmark").select(F.explode(text.words(F.col("text"))).alias("w")).distinct()
+    return fuzzy.similar(words, words, 0.8).filter("a < b").select("a", "b", F.round("ratio", 9).alias("ratio"))
