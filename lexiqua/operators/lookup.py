@@ -9,12 +9,27 @@ from lexiqua.functions import text
 
 #: Words that may go into a plan as literals, and rows that may be broadcast.
 LITERAL_WORDS, BROADCAST_ROWS = 5_000, 1_000_000
+#: Groups of more rows than this, and than this part of all rows, are joined by a broadcast: 100 000 of them at most.
+HOT_ROWS, HOT_PART = 10_000, 1e-5
 
 
 def siblings(df: DataFrame, group: str, key: str, most: int = 10) -> DataFrame:
-    """Each row's first other keys of its group."""
-    keys = df.groupBy(group).agg(F.array_sort(F.collect_set(key)).alias("_keys"))
-    return df.join(keys, group).withColumn("siblings", F.slice(F.array_remove("_keys", F.col(key)), 1, most)).drop("_keys")
+    """Each row's first other keys of its group, in order; rows without a group go, null keys are no siblings.
+
+    Of each group only the first ``most`` + 1 keys are needed for all its rows. A window with a limit keeps so many of them in each task
+    before it shuffles, so a group of any size sends a short list. The lists of large groups are broadcast, others joined.
+    """
+    keys = df.select(F.col(group).alias("_g"), F.col(key).alias("_k")).filter("_g IS NOT NULL").groupBy("_g", "_k").agg(F.count("*").alias("_n"))
+    total = keys.groupBy("_g").agg(F.sum("_n").alias("_rows"))
+    first = first_of(keys.filter("_k IS NOT NULL").select("_g", "_k"), ["_g"], [F.asc("_k")], most + 1)
+    lists = total.join(first.groupBy("_g").agg(F.array_sort(F.collect_list("_k")).alias("_keys")), "_g", "left")
+    all_rows = df.count()
+    hot = F.col("_rows") > max(HOT_ROWS, all_rows * HOT_PART)
+    large = F.broadcast(lists.filter(hot).select("_g", "_keys"))
+    rest = df.join(large.select("_g"), F.col(group) == F.col("_g"), "left_anti").join(lists.filter(~hot).select("_g", "_keys"), F.col(group) == F.col("_g"))
+    joined = df.join(large, F.col(group) == F.col("_g")).unionByName(rest)
+    others = F.filter(F.coalesce("_keys", F.array()), lambda x: ~x.eqNullSafe(F.col(key)))
+    return joined.withColumn("siblings", F.slice(others, 1, most)).drop("_g", "_keys")
 
 
 def cascade(df: DataFrame, key: str, sources: list[tuple[str, DataFrame]]) -> DataFrame:
