@@ -121,11 +121,16 @@ def src8_notes_listed(spark, sf_dir):
 _LINES = "SELECT CAST(a.n_nationkey AS VARCHAR) AS id, CASE WHEN a.n_nationkey < 24 THEN string_agg(b.n_name, chr(10) ORDER BY b.n_nationkey) ELSE 'old' END AS text FROM nation a JOIN nation b ON b.n_nationkey BETWEEN a.n_nationkey AND a.n_nationkey + 2 GROUP BY a.n_nationkey"
 
 
+def _refreshed(spark: SparkSession, path: str, folder: str):
+    told = notes.load_notes(spark, path)
+    return notes.refreshed(told, notes.lines_of(spark, folder, notes.ranges_of(told)))
+
+
 @query(f"SELECT *, CASE WHEN id = '24' THEN 1 ELSE 0 END AS errors FROM ({_LINES})")
 def src9_line_ranges(spark, sf_dir):
     """SRC-9 and JOIN-13: the lines of each range."""
     path, folder = _notes(spark, sf_dir)
-    return notes.refreshed(notes.load_notes(spark, path), notes.lines_of(spark, folder)).select("id", "text", F.size("errors").alias("errors"))
+    return _refreshed(spark, path, folder).select("id", "text", F.size("errors").alias("errors"))
 
 
 @query(_LINES)
@@ -140,7 +145,7 @@ def snk2_refreshed_notes(spark, sf_dir):
 
 @query("SELECT CAST(n_nationkey + 1 AS INT) AS no, n_name AS line FROM nation WHERE contains(n_name, '_2')")
 def flt9_line_search(spark, sf_dir):
-    return notes.matching_lines(notes.lines_of(spark, _notes(spark, sf_dir)[1]), " _2 ").select("no", "line")
+    return notes.matching_lines(notes.lines_of(spark, _notes(spark, sf_dir)[1]), " _2 ").select(F.col("no").cast("int").alias("no"), "line")
 
 
 @query(

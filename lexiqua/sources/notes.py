@@ -8,6 +8,8 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiqua.sources import ranges as line_ranges
+
 SCHEMA = "schema_version INT, repo STRING, generated_at STRING, documents ARRAY<STRUCT<id:STRING,path:STRING,range:STRUCT<start:INT,`end`:INT>,title:STRING,tags:ARRAY<STRING>,notes:ARRAY<STRING>,text:STRING>>"
 
 
@@ -49,21 +51,35 @@ def tag_counts(notes: DataFrame) -> DataFrame:
     return notes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy("tag")
 
 
-def lines_of(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, no, line`` (from 1) of the files in a folder."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("path"), "value")
-    parts = F.split(F.regexp_replace("value", "\n$", ""), "\n")
-    return files.select("path", F.posexplode(parts).alias("at", "line")).select("path", (F.col("at") + 1).alias("no"), "line")
+def lines_of(spark: SparkSession, folder: str, ranges: DataFrame | None = None) -> DataFrame:
+    """``path, no, line`` of the files below a folder; see ``ranges.lines``."""
+    return line_ranges.lines(spark, folder, ranges)
+
+
+def ranges_of(notes: DataFrame) -> DataFrame:
+    """``path, start, end`` that the notes are on; a range without an end is one line, one without a start begins at 1."""
+    start = F.coalesce("range.start", F.lit(1))
+    return notes.select(_plain_path(F.col("path")).alias("path"), start.alias("start"), F.coalesce("range.end", start).alias("end"))
+
+
+def _plain_path(c: Column) -> Column:
+    """A path from the folder on, without dots in front."""
+    return F.regexp_replace(c, r"^(?:\./+)+", "")
 
 
 def refreshed(notes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Notes with the text of their range, clamped to the file's end, and ``errors`` where the file or range isn't there."""
-    own = F.element_at(F.split("n.path", "/"), -1)
-    joined = notes.alias("n").join(lines.alias("l"), (own == F.col("l.path")) & F.col("l.no").between(F.col("n.range.start"), F.col("n.range.end")), "left")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("l.no").isNotNull(), F.struct("l.no", "l.line")))), lambda x: x["line"]), "\n")
-    found = joined.groupBy("n.id").agg(text.alias("_text"), F.count("l.no").alias("_n")).withColumnRenamed("id", "_id")
-    out = notes.join(found, F.col("id") == F.col("_id")).withColumn("errors", F.when(F.col("_n") == 0, F.array(F.concat(F.lit("no such lines: "), F.col("path")))).otherwise(F.array().cast("array<string>")))
-    return out.withColumn("text", F.when(F.col("_n") > 0, F.col("_text")).otherwise(F.col("text"))).drop("_id", "_text", "_n")
+    """Notes with the text of their range, clamped to the file's end, and ``errors`` where the file or range isn't there.
+
+    Notes find their file by its whole path below the folder of ``lines``. Notes of one id and equal ids of several notes are rows each.
+    """
+    start = F.coalesce("range.start", F.lit(1))
+    numbered = notes.withColumn("_no", F.monotonically_increasing_id())
+    asked = numbered.select("_no", _plain_path(F.col("path")).alias("_path"), start.alias("_start"), F.coalesce("range.end", start).alias("_end"))
+    met = asked.join(lines, (F.col("_path") == F.col("path")) & F.col("no").between(F.col("_start"), F.col("_end")))
+    found = met.groupBy("_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n").alias("_text"))
+    out = numbered.join(found, "_no", "left")
+    errors = F.when(F.col("_text").isNull(), F.array(F.concat(F.lit("no such lines: "), F.coalesce("path", F.lit(""))))).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("errors", errors).withColumn("text", F.coalesce("_text", "text")).drop("_no", "_text")
 
 
 def matching_lines(lines: DataFrame, wanted: str) -> DataFrame:
@@ -109,23 +125,26 @@ def apply_replacements(spark: SparkSession, path: str, old: str, new: str, regex
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file: under another name first, then in its place, so that readers see the old one or the new one."""
-    jvm = spark.sparkContext._jvm
+    """Write a small file: under another name first, then in its place by one rename, so that readers see the old one or the new one."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     at, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    store = at.getFileSystem(configuration)
     stream = store.create(staged, True)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    store.delete(at, False)
-    store.rename(staged, at)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), configuration).rename(store.makeQualified(staged), store.makeQualified(at), how)
 
 
 def refresh(spark: SparkSession, path: str, folder: str) -> dict:
-    """Rewrite a notes file with the texts of its ranges as ``folder`` has them now, the time (``generated_at``, UTC) and ``_refresh_errors``."""
+    """Rewrite a notes file with the texts of its ranges as the files below ``folder`` have them now, the time (``generated_at``, UTC) and ``_refresh_errors``."""
     notes = load_notes(spark, path)
-    rows = {r.id: r for r in refreshed(notes, lines_of(spark, folder)).select("id", "text", "errors").collect()}
+    rows = {r.id: r for r in refreshed(notes, lines_of(spark, folder, ranges_of(notes))).select("id", "text", "errors").collect()}
     data = json.loads(spark.read.text(path, wholetext=True).first()[0])
     errors = []
     for doc in data.get("documents", []):

@@ -93,7 +93,7 @@ def test_notes(spark, tmp_path):
     docs = notes.load_notes(spark, str(file)).cache()
     assert [r.place for r in notes.listing(docs).orderBy("id").collect()] == ["src/code.py:2-9", "no_such_file.py:1-2"]
     assert notes.search(docs, "NO_SUCH").count() == 1 and {r.tag: r.n for r in notes.tag_counts(docs).collect()} == {"x": 2, "a": 1, "b": 1}
-    fresh = {r.id: r for r in notes.refreshed(docs, notes.lines_of(spark, str(source))).collect()}
+    fresh = {r.id: r for r in notes.refreshed(docs, notes.lines_of(spark, str(tmp_path))).collect()}
     assert fresh["a"].text == "two\nthree" and not fresh["a"].errors and fresh["b"].text == "old" and fresh["b"].errors
     assert [r.no for r in notes.matching_lines(notes.lines_of(spark, str(source)), "t").orderBy("no").collect()] == [2, 3]
     (tmp_path / "bad.json").write_text("{bad json")

@@ -41,7 +41,7 @@ def test_notes_are_rewritten_and_a_store_is_kept(spark, tmp_path):
     import json
 
     (tmp_path / "n.json").write_text(json.dumps({"schema_version": 1, "documents": [doc("x", "src/a.py"), doc("y", "no_such_file.py")]}))
-    data = notes.refresh(spark, str(tmp_path / "n.json"), str(tmp_path / "src"))
+    data = notes.refresh(spark, str(tmp_path / "n.json"), str(tmp_path))
     assert [d["text"] for d in data["documents"]] == ["two\nthree", "old"] and len(data["_refresh_errors"]) == 1 and data["generated_at"].endswith("+00:00")
     assert json.loads((tmp_path / "n.json").read_text()) == data
     path = str(tmp_path / "pending.json")
