@@ -12,6 +12,8 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexiqua.functions import units
+
 #: Limits of an expression.
 MOST_CHARS, MOST_STEPS = 500, 50
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: F.try_divide, ast.Pow: F.pow, ast.Mod: lambda a, b: a - b * F.floor(F.try_divide(a, b)), ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a, b))}
@@ -67,8 +69,9 @@ def compile_expression(expression: str, values: dict[str, Column]) -> Column:
 
 
 def convert(value: Column, from_unit: str, to_unit: str) -> Column:
+    """``value`` in another unit. Common units are factors of the plan; any others (see ``units``) are read there, and are null if they don't convert."""
     if from_unit not in UNITS or to_unit not in UNITS:
-        raise ExpressionError(f"unknown unit: {from_unit if from_unit not in UNITS else to_unit}")
+        return units.convert(value, F.lit(from_unit), F.lit(to_unit))["result"]
     (kind, factor, more), (other, divisor, less) = UNITS[from_unit], UNITS[to_unit]
     if kind != other:
         raise ExpressionError(f"{from_unit} is a {kind}, {to_unit} a {other}")

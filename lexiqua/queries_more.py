@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiqua.functions import fuzzy, rowexpr, text
+from lexiqua.functions import fuzzy, rowexpr, text, units
 from lexiqua.operators import match
 from lexiqua.queries import _entries, _normal, _t, _words, query
 
@@ -65,3 +65,21 @@ def join10_near_words(spark, sf_dir):
     """Words of the benchmark that are nearly alike."""
     words = _t(spark, sf_dir, "benchmark").select(F.explode(text.words(F.col("text"))).alias("w")).distinct()
     return fuzzy.similar(words, words, 0.8).filter("a < b").select("a", "b", F.round("ratio", 9).alias("ratio"))
+
+
+#: Pairs of units, and the same in SQL with their factors.
+_UNITS = [
+    ("kN*m/s**2", "N*m/s^2", "x * 1000"), ("miles per hour", "m/s", "x * 1609.344 / 3600"), ("kg m^2 / s^2", "kJ", "x / 1000"), ("degC", "degF", "x * 9 / 5 + 32"), ("degF", "K", "(x + 459.67) * 5 / 9"), ("m", "s", "NULL"),
+    ("1/(kg*m)", "1/(g*cm)", "x / 100000"), ("m²", "cm^2", "x * 10000"), ("kW*hour", "MJ", "x * 3.6"), ("kilometers", "feet", "x * 1000 / 0.3048"), ("L/min", "gal/day", "x * 0.001 * 1440 / 0.003785411784"), ("degC*m", "K*m", "NULL"), ("blorp", "m", "NULL"), ("s^-1", "mHz", "x * 1000"),
+]
+_CASES = " ".join(f"WHEN {i} THEN {sql}" for i, (_, _, sql) in enumerate(_UNITS))
+_WRONG = {5: "m is length, s is time", 11: "unknown unit: degC*m", 12: "unknown unit: blorp"}
+
+
+@query(f"SELECT p_partkey, CAST(CASE k {_CASES} END AS FLOAT) AS result, CASE k {' '.join(f'''WHEN {i} THEN '{e}' ''' for i, e in _WRONG.items())} END AS error FROM (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS x, p_partkey % {len(_UNITS)} AS k FROM part)")
+def mth3_any_units(spark, sf_dir):
+    """Each part's price as a measure, in units of its own row."""
+    at = (F.col("p_partkey") % len(_UNITS)).cast("int")
+    pick = lambda i: F.get(F.array(*(F.lit(u[i]) for u in _UNITS)), at)
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("x"), pick(0).alias("a"), pick(1).alias("b"))
+    return rows.select("p_partkey", units.convert(F.col("x"), F.col("a"), F.col("b")).alias("r")).select("p_partkey", F.col("r.result").cast("float").alias("result"), "r.error")
