@@ -92,8 +92,8 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _edge(part: float, percent: int) -> int:
-    """The hash below which ``part`` of 1 - t of all hashes are."""
-    return int(part * (100 - percent) / 100 * (1 << 64))
+    """The hash below which ``part`` of 1 - t of all hashes are; half of all hashes at most, which are those that a signed number holds."""
+    return min(int(part * (100 - percent) / 100 * (1 << 64)), (1 << 63) - 1)
 
 
 def subset_cost(n: int, percent: int) -> int:
@@ -339,19 +339,20 @@ def one_of_each(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """``docs`` with one document of each component: that whose id is the component's.
 
     Of rows with that id, one row stays (the smallest text hash). Documents without words and components of null ids stay
-    whole. All columns stay as they are, unless their names begin with an underscore. No rows: no rows.
+    whole. All columns stay as they are, whatever their names. No rows: no rows.
     """
     found = jaccard_components(docs, k, percent)
     gone = found.filter("n_shingles > 0 AND doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select("doc_id", "th")
     double = found.filter("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c"), F.min("th").alias("_least")).filter("c > 1")
     double = cut(double.select(F.col("doc_id").alias("_twice"), "_least"), "double")
     gone = _sent(cut(gone.distinct(), "gone").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
-    if double.isEmpty():
-        return kept
-    again = kept.join(F.broadcast(double) if double.count() <= BROADCAST_ROWS else double, F.col("doc_id").cast("long") == F.col("_twice"), "left")
-    once = again.filter("_twice IS NOT NULL").filter(F.xxhash64("text") == F.col("_least")).dropDuplicates(["doc_id"])
-    return again.filter("_twice IS NULL").unionByName(once).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.xxhash64("text").alias("_x"))
+    kept = rows.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_th")), "left_anti")
+    if not double.isEmpty():
+        again = kept.join(F.broadcast(double) if double.count() <= BROADCAST_ROWS else double, F.col("_i") == F.col("_twice"), "left")
+        once = again.filter("_twice IS NOT NULL").filter(F.col("_x") == F.col("_least")).dropDuplicates(["_i"])
+        kept = again.filter("_twice IS NULL").unionByName(once)
+    return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

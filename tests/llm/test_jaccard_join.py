@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lexiqua.llm import jaccard_join as j
 
@@ -17,7 +18,7 @@ def shingles(text):
     return {tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=90):
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -28,7 +29,7 @@ def brute(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 root[find(a)] = find(b)
     out = []
     for i, (doc_id, _) in enumerate(rows):
@@ -131,3 +132,26 @@ def test_components_with_hubs(spark, monkeypatch):
     for hub in (5, 40, 10_000):
         monkeypatch.setattr(c, "HUB_LINKS", hub)
         assert {r.id: r.label for r in c.components(spark.createDataFrame(links, "u long, v long")).collect()} == want
+
+
+@pytest.mark.parametrize("percent", [40, 50, 64, 65, 75])
+def test_lower_similarities(spark, percent):
+    """The part of all hashes that a prefix may need reaches half of them here."""
+    rows = corpus(7, docs=25, copies=4)
+    got = sorted((tuple(r) for r in j.jaccard_components(frame(spark, rows), 3, percent).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute(rows, percent)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d"), (2, "a b c d"), (3, "x y z"), (3, "x y z"), (4, "x y z q"), (None, "x y z")]
+    docs = spark.createDataFrame([(*r, *range(8)) for r in rows], "doc_id long, text string, _id int, _th int, _row int, _i int, _x int, _twice int, _least int, th int")
+    out = j.one_of_each(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id, r.text, r._id, r.th) for r in out.collect()) == [(1, "a b c d", 0, 7), (3, "x y z", 0, 7), (4, "x y z q", 0, 7)]
+
+
+def test_a_very_long_text(spark):
+    """A text of 60 000 words, its copy, and one that lacks a twentieth of it."""
+    rng = random.Random(11)
+    long = [f"w{rng.randrange(30_000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long)), (3, " ".join(long[3_000:])), (4, " ".join(long[30_000:])), (5, "w1")]
+    assert run(spark, rows) == brute(rows)
