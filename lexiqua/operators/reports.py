@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,14 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiqua.functions import sets, text
+from lexiqua.functions import polynomials, sets, text
 from lexiqua.operators import intervals
 
 #: Percent from which subjects are strongly or moderately alike, and the part of a predicate that covers it.
 STRONG, MODERATE, COVERS = 60, 30, 0.35
 CODE_BIAS = 0.7
-#: Fixed value: equations of one system, at most.
-MOST_EQUATIONS = 10
 
 
 def period_coverage(spans: DataFrame, start: int, end: int, most: int = 10) -> DataFrame:
@@ -249,47 +246,35 @@ def solve_linear(systems: DataFrame) -> DataFrame:
     return systems.select("id", "a", "b").mapInPandas(_solve, systems.select("id").schema.add("x", T.ArrayType(T.DoubleType())))
 
 
-def _coefficients(said: str) -> tuple[list[str], list[list[float]], list[float]] | None:
-    """Linear equations in words of symbols (``2x + 3y = 5, x - y = 1``): the unknowns in order of the alphabet, rows of coefficients, right sides."""
-    rows = []
-    for equation in said.split(",")[:MOST_EQUATIONS]:
-        sides = equation.split("=")
-        if len(sides) != 2:
-            return None
-        row: dict[str, float] = {}
-        for sign, side in ((1, sides[0]), (-1, sides[1])):
-            side = side.replace(" ", "")
-            if not side or not re.fullmatch(r"(?:[+-]?(?:\d+(?:\.\d+)?\*?)?[A-Za-z]\w*|[+-]?\d+(?:\.\d+)?)(?:[+-](?:(?:\d+(?:\.\d+)?\*?)?[A-Za-z]\w*|\d+(?:\.\d+)?))*", side):
-                return None
-            for minus, number, name in re.findall(r"([+-]?)(\d+(?:\.\d+)?)?\*?([A-Za-z]\w*)?", side):
-                if number or name:
-                    row[name] = row.get(name, 0.0) + sign * (-1 if minus == "-" else 1) * float(number or 1)
-        rows.append(row)
-    names = sorted({n for row in rows for n in row if n})
-    return names, [[row.get(n, 0.0) for n in names] for row in rows], [-row.get("", 0.0) for row in rows]
+def solve_systems(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_col, solutions, reason`` of texts of polynomial equations with commas between, linear ones among them.
 
-
-def solve_equations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, solution`` (a map by unknown) of texts of up to ten linear equations with commas between; null where the text is none
-    or has no one solution. Equations of other kinds need symbolic algebra, which is not here."""
+    ``solutions`` are all real ones, a map by unknown each, sorted by the values of the unknowns in order of their names; empty if there is
+    none. Where they can't be listed they are null, and ``reason`` says why: no equation, not a polynomial, not finitely many
+    solutions, too many unknowns, too large. Every equation of a text is read. Each system is solved in its row.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for frame in frames:
             out = []
             for said in frame["_said"]:
-                found = _coefficients(said) if isinstance(said, str) else None
                 try:
-                    out.append(dict(zip(found[0], np.linalg.solve(np.array(found[1]), np.array(found[2])).tolist())) if found and len(found[0]) == len(found[1]) else None)
-                except np.linalg.LinAlgError:
-                    out.append(None)
-            yield pd.DataFrame({id_col: frame[id_col], "solution": out})
+                    out.append((polynomials.solve(said) if isinstance(said, str) else None, None if isinstance(said, str) else "no equation"))
+                except polynomials.Unsolved as e:
+                    out.append((None, str(e)))
+            yield pd.DataFrame({id_col: frame[id_col], "solutions": [x for x, _ in out], "reason": [r for _, r in out]})
 
-    schema = df.select(id_col).schema.add("solution", T.MapType(T.StringType(), T.DoubleType()))
+    schema = df.select(id_col).schema.add("solutions", T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))).add("reason", T.StringType())
     return df.select(id_col, F.col(text_col).alias("_said")).mapInPandas(run, schema)
 
 
+def solve_equations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_col, solution`` (a map by unknown) of texts of equations with commas between, however many; null where ``solve_systems`` finds
+    not exactly one solution."""
+    found = solve_systems(df, id_col, text_col)
+    return found.select(id_col, F.when(F.size("solutions") == 1, F.get("solutions", F.lit(0))).alias("solution"))
+
+
 def next_id(df: DataFrame, id_col: str) -> DataFrame:
     return df.agg((F.coalesce(F.max(id_col), F.lit(0)) + 1).alias("next_id"))
 

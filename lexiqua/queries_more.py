@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiqua.functions import fuzzy, rowexpr, text, units
-from lexiqua.operators import match
+from lexiqua.operators import match, reports
 from lexiqua.queries import _entries, _normal, _t, _words, query
 
 #: Forms of expressions over a row's numbers: how each is written, and the same in SQL.
@@ -83,3 +83,14 @@ def mth3_any_units(spark, sf_dir):
     pick = lambda i: F.get(F.array(*(F.lit(u[i]) for u in _UNITS)), at)
     rows = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("x"), pick(0).alias("a"), pick(1).alias("b"))
     return rows.select("p_partkey", units.convert(F.col("x"), F.col("a"), F.col("b")).alias("r")).select("p_partkey", F.col("r.result").cast("float").alias("result"), "r.error")
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, CAST(p_partkey % 90 AS DOUBLE) AS p, CAST(p_size AS DOUBLE) AS s FROM part), d AS (SELECT *, s * s - 4 * p AS d FROM s)
+SELECT p_partkey, CAST((s - sqrt(d)) / 2 AS FLOAT) AS x, CAST((s + sqrt(d)) / 2 AS FLOAT) AS y FROM d WHERE d >= 0 UNION ALL SELECT p_partkey, CAST((s + sqrt(d)) / 2 AS FLOAT), CAST((s - sqrt(d)) / 2 AS FLOAT) FROM d WHERE d > 0"""
+)
+def mth6_systems(spark, sf_dir):
+    """Of each part the numbers whose product and sum are what its key and size say."""
+    said = F.concat(F.lit("x*y = "), (F.col("p_partkey") % 90).cast("string"), F.lit(", x + y = "), F.col("p_size").cast("string"))
+    solved = reports.solve_systems(_t(spark, sf_dir, "part").select("p_partkey", said.alias("said")), "p_partkey", "said")
+    return solved.select("p_partkey", F.explode("solutions").alias("v")).select("p_partkey", F.col("v")["x"].cast("float").alias("x"), F.col("v")["y"].cast("float").alias("y"))
