@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexiqua.functions import fragments, text
-from lexiqua.functions.forms import Form, first_that_fits
+from lexiqua.functions import fragments, slots, text
 
 # Word endings, markers, keywords.
 PARTICIPLE_ENDS = (
@@ -20,29 +19,25 @@ MATH_KEYWORDS = [
 PRECEDENCE = {"**": 4, "^": 4, "*": 3, "/": 3, "//": 3, "%": 3, "+": 2, "-": 2}
 CUES = [" is ", " are ", " means ", " refers to ", " defined as ", " is called ", " can be "]
 
-#: Questions after one or two terms.
-QUESTIONS = [
-    "what( is|'s) the difference between {text} and {text}{end}", "how does {text} differ from {text}{end}", "are {text} and {text} (the same|equivalent|equal){end}",
-    "give [me ][a |the ][brief |short ](definition|description) of {text}{end}", "what( is|'s| are) {text}{end}", "(define|describe) {text}{end}",
-    "difference between {text} and {text}{end}", "compare {text} (and|to|with) {text}{end}",
-]
+#: What opens a question after one term.
+ONE = {"what is", "what's", "what are", "define", "describe", "definition of", "description of"}
+#: What opens a question after two, and what joins them.
+CONTRAST, BESIDE = {"difference between", "differences between", "compare", "contrast"}, {"and", "to", "with", "from", "versus", "vs"}
+HOW, DIFFERS = {"how does", "how do"}, {"differ from", "differs from"}
+ALIKE = {"the same", "equivalent", "equal", "related", "synonyms", "alike"}
 #: How short the answer should be; no part of a term.
 MANNER = r"(?i)\s+(?:in\s+(?:\d+\s+words|one\s+(?:sentence|paragraph)|short)|briefly)[.?]?$"
-#: Arithmetic in words: what the blanks make, ``#1`` and ``#2``.
-PHRASES = [
-    ("ratio [of ]{name} (to|over|:) {name}", "(#1)/(#2)"), ("gain [of ]{name} (to|over|per|/|:) {name}", "(#1)/(#2)"), ("[from ]{bound} to {bound}", "#1..#2"),
-    ("{name} (divided by|per|/) {name}", "(#1)/(#2)"), ("{name} (multiplied by|times|*) {name}", "(#1)*(#2)"),
-    ("half of {rest}", "(1/2)*(#1)"), ("third of {rest}", "(1/3)*(#1)"), ("quarter of {rest}", "(1/4)*(#1)"),
-    ("square root of {name}", "(#1)**0.5"), ("square of {name}", "(#1)**2"), ("{name} increased by {name}", "(#1) + (#2)"), ("{name} decreased by {name}", "(#1) - (#2)"),
-]
+#: Arithmetic in words. Between two values: signs; before one: what is made of it (``#``).
+RATIOS, RATIO_JOINTS = {"ratio of", "ratio", "gain of", "gain"}, {"to", "over", "per", "/", ":"}
+SIGNS = {"divided by": "({})/({})", "per": "({})/({})", "/": "({})/({})", "multiplied by": "({})*({})", "times": "({})*({})", "*": "({})*({})", "increased by": "({}) + ({})", "decreased by": "({}) - ({})"}
+PARTS = {"half of": "(1/2)*({})", "third of": "(1/3)*({})", "quarter of": "(1/4)*({})"}
+POWERS = {"square root of": "({})**0.5", "square of": "({})**2"}
 EQUATION = r"^\s*(.+?)\s*(?::=|=|\bequals\b|≡)\s*(.+?)\s*$"
 #: Two numbers or names with a colon between them are a ratio.
 COLON = r"^\s*([A-Za-z0-9_.]+)\s*:\s*([A-Za-z0-9_.]+)\s*$"
-#: Requests to change a text, with the old and the new one.
-CHANGES = [
-    "grep {quoted}[ and|,] replace[ it with| with] {quoted}", "replace {quoted} with {quoted}", "change {quoted} (to|into) {quoted}", "rename {quoted} (to|into|as) {quoted}",
-    "{word} -> {rest}", "{word} => {rest}", "{quoted} (to|into) {quoted}",
-]
+#: Verbs that ask to change a text, what joins its old and new form, and arrows that stand for both.
+CHANGES = {"grep": {"replace it with", "replace with", "replace"}, "replace": {"with"}, "change": {"to", "into"}, "rename": {"to", "into", "as"}}
+ARROWS = {"->", "=>"}
 
 
 def without_trailing_participles(c: Column) -> Column:
@@ -74,9 +69,15 @@ def term(c: Column) -> Column:
 
 
 def asked_terms(c: Column) -> Column:
-    """The terms of the first question form that fits; null if none does."""
-    none = F.lit(None).cast("array<string>")
-    return first_that_fits(F.trim(text.blank(c)), [(q, None) for q in QUESTIONS], lambda form, _: F.filter(F.array(*map(term, form.filled(F.trim(text.blank(c))))), lambda x: x != ""), none)
+    """The terms that a question is after: two that it compares, else the one that it asks for; null if it is neither."""
+
+    def read(t: Column) -> Column:
+        two = F.coalesce(slots.pair(t, CONTRAST, BESIDE), slots.pair(t, HOW, DIFFERS), slots.pair(t, {"are"}, {"and"}, ALIKE))
+        one = F.nullif(F.trim(slots.after(t, ONE)), F.lit(""))
+        named = lambda x: F.when(x["two"].isNotNull(), F.array(term(x["two"]["a"]), term(x["two"]["b"]))).when(x["one"].isNotNull(), F.array(term(x["one"])))
+        return slots.bound(F.struct(two.alias("two"), one.alias("one")), named)
+
+    return F.filter(slots.bound(slots.asked(c), read), lambda x: x != "")
 
 
 def candidate_terms(c: Column) -> Column:
@@ -113,23 +114,42 @@ def phrase(c: Column) -> Column:
     equation = told(F.lit("equation"), F.concat(F.regexp_extract(said, EQUATION, 1), F.lit(" = "), fragments.normalize_fragment(F.regexp_extract(said, EQUATION, 2))))
     ratio = told(F.lit("expr"), F.concat(F.lit("("), F.regexp_extract(low, COLON, 1), F.lit(")/("), F.regexp_extract(low, COLON, 2), F.lit(")")))
 
-    def build(form: Form, made: str) -> Column:
-        pieces: list[Column] = []
-        for i, part in enumerate(made.replace("#2", "#1").split("#1")):
-            pieces += ([form.filled(low)[i - 1]] if i else []) + [F.lit(part)]
-        return told(F.when(low.contains("compare"), "compare").otherwise("range") if ".." in made else F.lit("expr"), F.concat(*pieces))
+    last, first = (lambda x: F.element_at(F.split(x, " "), -1)), (lambda x: F.get(F.split(x, " "), F.lit(0)))
+    value = lambda x: F.when(x.rlike("^[a-z0-9_.]+$"), x)
+
+    def made(pattern: str, *values: Column) -> Column:
+        """The pattern with its values; null if one is."""
+        fine, pieces = F.lit(True), pattern.split("{}")
+        for v in values:
+            fine = fine & v.isNotNull()
+        return F.when(fine, told(F.lit("expr"), F.concat(F.lit(pieces[0]), *(x for v, p in zip(values, pieces[1:]) for x in (v, F.lit(p))))))
 
-    words = first_that_fits(low, PHRASES, build, told(F.lit("none"), F.lit(None).cast("string")))
-    return F.when(said.rlike(EQUATION), equation).when(low.rlike(COLON), ratio).otherwise(words)
+    def between(sides: Column, pattern: str) -> Column:
+        return slots.bound(sides, lambda s: slots.bound(F.struct(value(last(s["a"])).alias("a"), value(first(s["b"])).alias("b")), lambda x: made(pattern, x["a"], x["b"])))
+
+    def before(t: Column, word: str, pattern: str, whole: bool) -> Column:
+        return slots.bound(F.nullif(F.trim(slots.after(t, {word})), F.lit("")), lambda x: made(pattern, x if whole else value(first(x))))
+
+    def read(t: Column) -> Column:
+        ranged = slots.bound(int_to_int(t), lambda x: F.when(x["kind"] != "none", told(x["kind"], F.concat(x["a"], F.lit(".."), x["b"]))))
+        signed = [between(slots.halves(t, {word}), pattern) for word, pattern in SIGNS.items()]
+        parts = [before(t, word, pattern, True) for word, pattern in PARTS.items()] + [before(t, word, pattern, False) for word, pattern in POWERS.items()]
+        return F.coalesce(between(slots.pair(t, RATIOS, RATIO_JOINTS), "({})/({})"), ranged, *signed, *parts, told(F.lit("none"), F.lit(None).cast("string")))
+
+    return F.when(said.rlike(EQUATION), equation).when(low.rlike(COLON), ratio).otherwise(slots.bound(slots.spaced(low), read))
 
 
 def int_to_int(c: Column) -> Column:
-    """``kind`` (range, compare or none) and the bounds ``a`` and ``b`` of "a to b"."""
-    form = Form("{bound} to {bound}")
-    said = text.blank(c)
-    a, b = form.filled(said)
-    fits = form.fits(said)
-    return F.struct(F.when(~fits, "none").when(F.lower(said).contains("compare"), "compare").otherwise("range").alias("kind"), F.when(fits, a).alias("a"), F.when(fits, b).alias("b"))
+    """``kind`` (range, compare or none) and the bounds ``a`` and ``b`` of "a to b": the words beside it, without brackets."""
+    bare = lambda x: F.when(F.translate(x, "()", "").rlike("^[A-Za-z0-9_+-]+$"), F.translate(x, "()", ""))
+    sides = lambda s: F.struct(bare(F.element_at(F.split(s["a"], " "), -1)).alias("a"), bare(F.get(F.split(s["b"], " "), F.lit(0))).alias("b"))
+
+    def read(x: Column) -> Column:
+        fits = x["a"].isNotNull() & x["b"].isNotNull()
+        kind = F.when(~F.coalesce(fits, F.lit(False)), "none").when(F.contains(F.lower(text.blank(c)), F.lit("compare")), "compare").otherwise("range")
+        return F.struct(kind.alias("kind"), F.when(fits, x["a"]).alias("a"), F.when(fits, x["b"]).alias("b"))
+
+    return slots.bound(slots.bound(slots.halves(slots.spaced(c), {"to"}), sides), read)
 
 
 def patch_intent(c: Column) -> Column:
@@ -139,15 +159,34 @@ def patch_intent(c: Column) -> Column:
     named = lambda word: p.rlike(rf"(?i)\b(?:{word})\b")
     after = lambda pattern: F.nullif(F.regexp_extract(p, pattern, 1), F.lit(""))
 
-    def build(form: Form, _: object) -> Column:
-        old, new = form.filled(p)
-        return F.struct(
-            old.alias("old"), new.alias("new"), named("apply|write|inplace|commit").alias("apply"), named("dry[- ]?run|preview").alias("dry_run"), named("regex").alias("regex"),
+    told = lambda old, new: F.struct(old.alias("old"), new.alias("new"))
+    both = lambda sides: slots.bound(sides, lambda x: F.when(x.isNotNull(), told(slots.quoted(x["a"]), slots.quoted(x["b"]))))
+
+    def closed_quote(x: Column, joints: set[str]) -> Column:
+        """Of a text that begins with a quote, and ``x["end"]`` of it: what it holds, and what follows the joint behind it."""
+        behind = slots.after(slots.spaced(F.substring(x["inner"], x["end"] + 1, F.length(x["inner"]))), joints)
+        return slots.bound(behind, lambda b: F.when(b.isNotNull(), told(F.trim(F.substring(x["inner"], F.lit(1), x["end"] - 1)), slots.quoted(b))))
+
+    def changed(t: Column, verb: str, joints: set[str]) -> Column:
+        def read(rest: Column) -> Column:
+            mark, inner = F.substring(rest, 1, 1), F.substring(rest, F.lit(2), F.length(rest))
+            parted = F.struct(inner.alias("inner"), F.when(mark.isin("'", '"'), F.position(mark, inner)).otherwise(0).alias("end"))
+            return slots.bound(parted, lambda x: F.when(x["end"] > 0, closed_quote(x, joints)).otherwise(both(slots.halves(slots.spaced(rest), joints))))
+
+        return slots.bound(F.trim(slots.after(t, {verb})), read)
+
+    def read(t: Column) -> Column:
+        pointed = slots.bound(slots.halves(t, ARROWS), lambda x: F.when(x.isNotNull(), told(F.element_at(F.split(x["a"], " "), -1), x["b"])))
+        return F.coalesce(*(changed(t, verb, joints) for verb, joints in CHANGES.items()), pointed, both(slots.halves(t, {"to", "into"})))
+
+    def flagged(change: Column) -> Column:
+        flags = F.struct(
+            change["old"].alias("old"), change["new"].alias("new"), named("apply|write|inplace|commit").alias("apply"), named("dry[- ]?run|preview").alias("dry_run"), named("regex").alias("regex"),
             after(r"(?i)\blayer\s*[:=]?\s*(\w+)").alias("layer"), after(r"([\w\-./\\]+\.json)").alias("path"),
         )
+        return F.when(asks & change.isNotNull(), flags)
 
-    none = F.lit(None).cast("struct<old:string,new:string,apply:boolean,dry_run:boolean,regex:boolean,layer:string,path:string>")
-    return F.when(asks, first_that_fits(p, [(f, None) for f in CHANGES], build, none))
+    return slots.bound(slots.bound(slots.spaced(p), read), flagged)
 
 
 def is_comparison(c: Column) -> Column:
@@ -158,31 +197,41 @@ def is_comparison(c: Column) -> Column:
     return says | joined | t.rlike(r"\bwhich\b") & t.rlike(r"\bor\b")
 
 
-#: Questions whether, or how, two terms are alike.
-EQUALITY = [
-    "^is {text} (the same as|equal to|equal|equivalent to) {text}{end}", "^are {text} and {text} (the same|equivalent|related|synonyms){end}", "^(does|do) {text} (include|contain|cover|mean|imply|subsume) {text}{end}",
-    "^is {text} (a type of|a kind of|a form of|part of|included in|a subset of|analogous to) {text}{end}", "^what( is|'s) the difference between {text} and {text}{end}", "^how does {text} differ from {text}{end}",
-    "^is {text} (greater|larger|more|less|smaller) than {text}{end}", "^which is (bigger|larger|smaller|less): {text} or {text}{end}", "^compare {text} (and|to) {text}{end}", "^are {text} related to {text}{end}",
-]
+#: What stands between the terms of a question that begins with "is", or with "do".
+RELATED = {"the same as", "equal to", "equal", "equivalent to", "a type of", "a kind of", "a form of", "part of", "included in", "a subset of", "analogous to", "greater than", "larger than", "more than", "less than", "smaller than"}
+COVERING = {"include", "contain", "cover", "mean", "imply", "subsume"}
+WHICH = {f"which is {size}:" for size in ("bigger", "larger", "greater", "smaller", "less")}
 
 
 def compared_terms(c: Column) -> Column:
     """``a`` and ``b`` of a question after equality; null where it is none."""
-    t = F.lower(F.trim(text.blank(c)))
     bare = lambda x: F.regexp_replace(x, r"^[ ?.,]+|[ ?.,]+$", "")
-    return first_that_fits(t, [(q, None) for q in EQUALITY], lambda form, _: F.struct(bare(form.filled(t)[0]).alias("a"), bare(form.filled(t)[1]).alias("b")), F.lit(None).cast("struct<a:string,b:string>"))
+
+    def read(t: Column) -> Column:
+        begins = lambda openers, joints, closers=(): slots.pair(t, openers, joints, closers, first=True)
+        return F.coalesce(
+            begins({"is"}, RELATED), begins({"do", "does"}, COVERING), begins({"are"}, {"and"}, ALIKE), begins({"are"}, {"related to"}), begins({"what is the difference between", "what's the difference between"}, {"and"}),
+            begins(HOW, DIFFERS), begins(WHICH, {"or"}), begins({"compare"}, {"and", "to"}),
+        )
+
+    return slots.bound(slots.bound(F.lower(slots.asked(c)), read), lambda x: F.when(x.isNotNull(), F.struct(bare(x["a"]).alias("a"), bare(x["b"]).alias("b"))))
 
 
-#: Requests for definitions of one or more terms.
-DEFINITIONS = ["^define {text}{end}", "^give [me |a |an |the ][brief |short |one-sentence |concise ]definition[s][ of] {text}{end}", "what( is|'s) [the ]definition of {text}{end}", "^definition[s] of {text}{end}"]
+#: What asks for definitions, before the terms; all but the first ask so only after a verb or at the beginning.
+DEFINE, DEFINITION, ASKING = {"define"}, {"definition", "definitions", "definition of", "definitions of"}, ("give", "what is", "what's", "definition", "definitions")
 
 
 def definition_terms(c: Column) -> Column:
     """The terms that a prompt wants defined, in order; empty where it wants none."""
-    t = F.trim(text.blank(c))
-    none = F.array().cast("array<string>")
-    listed = lambda x: F.filter(F.transform(F.split(F.regexp_replace(x, MANNER, ""), r"\s*,\s*|\s+(?:and|or)\s+"), term), lambda w: w != "")
-    return first_that_fits(t, [(q, None) for q in DEFINITIONS], lambda form, _: listed(form.filled(t)[0]), none)
+
+    def read(t: Column) -> Column:
+        asks = F.lit(False)
+        for word in ASKING:
+            asks = asks | F.startswith(F.lower(t), F.lit(f" {word} "))
+        return F.coalesce(slots.after(t, DEFINE, first=True), F.when(asks, slots.after(t, DEFINITION)))
+
+    listed = lambda rest: F.filter(F.transform(F.split(F.regexp_replace(F.trim(rest), MANNER, ""), r"\s*,\s*|\s+(?:and|or)\s+"), term), lambda w: w != "")
+    return slots.bound(slots.bound(slots.asked(c), read), lambda rest: F.when(rest.isNotNull(), listed(rest)).otherwise(F.array().cast("array<string>")))
 
 
 def fragment_score(c: Column, subjects: list[str]) -> Column:
