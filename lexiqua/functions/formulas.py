@@ -127,3 +127,13 @@ def register(spark: SparkSession) -> None:
         return x.map(one, na_action="ignore")
 
     spark.udf.register("erf", erf)
+
+
+def in_parts(columns: dict[str, Column], many: int = 20) -> list[Column]:
+    """Columns by name for one projection of many formulas.
+
+    A projection in a generated stage is one method, and one of some thousand bytes is too long to be compiled and is interpreted. An
+    expression that isn't generated takes the projection out of that stage, where it is cut into methods that are compiled.
+    """
+    apart = lambda c: F.get(F.transform(F.array(c), lambda x: x), F.lit(0))
+    return [(apart(c) if i == 0 and len(columns) >= many else c).alias(name) for i, (name, c) in enumerate(columns.items())]

@@ -667,8 +667,8 @@ def _formula_query(domain: str) -> None:
     names = [f"{name}_{i}" if i else name for i, name in _numbered(domain)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        columns = [F.expr(_number(sql)).alias(n) for n, (_, sql) in zip(names, _forms(domain), strict=True)]
-        return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *columns)
+        columns = {n: F.expr(_number(sql)) for n, (_, sql) in zip(names, _forms(domain), strict=True)}
+        return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *formulas.in_parts(columns))
 
     columns = ", ".join(f'{_number(_duck(sql))} AS "{n}"' for n, (_, sql) in zip(names, _forms(domain), strict=True))
     QUERIES[f"fml_{domain}"] = run
