@@ -142,7 +142,11 @@ class Shard:
 
 
 def write_blocks(bench: DataFrame, folder: str, block_words: int = BLOCK_WORDS) -> list[str]:
-    """Write the test texts (``item_id, text``) as files of about ``block_words`` words, whole texts in each; returns the names of the files."""
+    """Write the test texts (``item_id, text``) as files of about ``block_words`` words, whole texts in each; returns the names of the files.
+
+    Null and empty texts, and texts without words, are in no window; null ones are left out. Repeated items are items each. A
+    text longer than a block makes its block longer. No rows: no files. Other columns are not read, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs, parquet

@@ -194,7 +194,11 @@ def mapped(store, path: str, dtype: str) -> np.ndarray:
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """Read shards back: a row for each document with its start in the corpus, its count of ids and their checksum
-    (unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers)."""
+    (unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers).
+
+    Repeated documents are rows each, in the order they were written; a null id is null again. A document without tokens has its end id alone.
+    An empty manifest gives no rows; files that it doesn't name are not read.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
