@@ -17,11 +17,20 @@ def test_rules_of_the_contract(spark):
     urls = ["https://A.Example.COM/en/7x?q", "http://example.com/en/8", "http://examplecom/en/1", "http://com/en/", "http://x.net/de/8", "http://example.net/de/8", "http://x.org/es/1#a", "http://x.org/ES/1", "http://x.org?/es/", None, "no scheme", "http://", "http://example.com", "ftp://h/x://y/en/", "http://a.b.example.net/de/81", "http://m.casino-win.org/de/", "http://x.org/casino"]
     got = rows_of(spark, urls)
     assert got[0] == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
-    assert [g[2:] for g in got[1:9]] == [("com/en/", "block"), (None, "allow"), ("com/en/", "block"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow"), (None, "allow")]
+    assert [g[2:] for g in got[1:9]] == [("com/en/", "block"), (None, "allow"), ("com/en/", "block"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow"), (None, "allow")]
     assert got[8][:2] == ("x.org", "") and got[9] == got[10] == got[11] == ("", "", None, "allow") and got[12][:2] == ("example.com", "")
     assert got[13][:2] == ("h", "/x://y/en/") and got[14][2] == "example.net/de/8" and got[15][3] == "block" and got[16][3] == "allow"
 
 
+def test_each_rule_has_the_word_of_the_contract(spark):
+    said = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{word} {rule}" for rule, word in u.HOST_RULES] == said.split(", ")
+    # The rule's word decides over the globs, and the longer rule over the shorter.
+    urls = ["http://net/de/", "http://m.casino.net/de/1", "http://example.net/de/7", "http://example.net/de/8", "http://a.com/en/7", "http://org/es/"]
+    assert [g[3] for g in rows_of(spark, urls)] == ["allow", "allow", "allow", "block", "block", "block"]
+    assert "WHEN rule = 'net/de/' THEN 'allow'" in u.ORACLES["op8_url_filter"]
+
+
 def test_automaton_against_regular_expressions():
     rng = random.Random(3)
     text = lambda n, more="": "".join(rng.choice("ab./z" + more) for _ in range(n))
