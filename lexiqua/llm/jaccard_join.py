@@ -9,8 +9,8 @@ A document's set holds its distinct word shingles. Equal sets are one set from t
   frequent ones later, so lists stay short. Lists of up to ``SHORT_LIST`` sets give candidate pairs. Sets of n and m that
   miss at most a and b of their shingles share l of their first a + l and b + l, so pairs must meet in that many
   lists, and whole sets decide on those that do;
-* sets in longer lists, which have shingles of large groups of near copies, are gathered by the lists that they share and
-  compared block by block, with overlaps as matrix products. A block pair gives the links of a spanning forest, never
+* sets whose first n - ceil(t n) + 1 shingles have longer lists, those of large groups of near copies, are gathered by these lists
+  and compared block by block, with overlaps as matrix products. A block pair gives the links of a spanning forest, never
   all pairs.
 
 The boundary between small and large is the size at which the cost of all subsets and lists, by the sizes in the corpus,
@@ -35,10 +35,10 @@ from lexiqua.llm.components import components
 #: Sets in an inverted list that gives pairs; longer lists are compared in blocks.
 SHORT_LIST = 32
 #: Sets in a block.
-BLOCK = 512
-#: Shingles whose hash is in this lowest part of all hashes are counted, to know which are frequent, and up to which part
-#: uncounted ones come next; both for each unit of 1 - t, the part of a set that its prefix is.
-COUNTED, NEXT = 1.4, 1.9
+BLOCK = 1024
+#: Shingles whose hash is in this lowest part of all hashes are counted, to know which are frequent; for each unit of 1 - t, the
+#: part of a set that its prefix is.
+COUNTED = 1.9
 #: Shingles of a prefix beyond the least: a pair must share one more than these, at least.
 EXTRA = 2
 #: The most frequent shingles that all executors get (8 bytes each). The order may be any; beyond these it knows fewer.
@@ -88,6 +88,7 @@ def partners(n: int, percent: int) -> range:
 
 
 def prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles of a set that are shown. Linked sets meet in one of the first ``prefix - EXTRA`` of both (all, if that is fewer)."""
     return np.minimum(n - -(-percent * n // 100) + 1 + EXTRA, n)
 
 
@@ -127,7 +128,7 @@ def shingled(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id") -> D
     ``least`` holds the hashes that come first in the global order or after those in order of their hash, and as many as a
     prefix needs; all, if the set is small.
     """
-    edge = np.uint64(_edge(NEXT, percent))
+    edge = np.uint64(_edge(COUNTED, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -180,21 +181,22 @@ def _subsets(sets: DataFrame, most: int, percent: int) -> DataFrame:
     return hit.select(F.col("uid").alias("u"), F.when(F.col("n") <= F.col("m"), F.col("high")).otherwise(F.col("low")).alias("v")).filter("u <> v").distinct()
 
 
-def _postings(sets: DataFrame, frequent: np.ndarray, least: int, percent: int) -> DataFrame:
-    """``key, uid, n``: the first shingles of each large set in the global order (counted and rare, next, frequent, others; each by hash)."""
-    edge, after = np.uint64(_edge(COUNTED, percent)), np.uint64(_edge(NEXT, percent))
+def _postings(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: int, percent: int) -> DataFrame:
+    """``key, uid, n, base``: the first shingles of each large set in the global order (counted ones, rare first, then others; each by
+    hash). ``frequent`` has shingles and the powers of two in their counts. ``base`` marks those of which linked sets share one."""
+    edge = np.uint64(_edge(COUNTED, percent))
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        often, power = shared.value
         for batch in batches:
             column = batch.column("least")
             ends = column.offsets.to_numpy() - column.offsets[0].as_py()
             flat = column.flatten().to_numpy().view(np.uint64)
-            rank = (flat >= edge).astype(np.int8) + 2 * (flat >= after).astype(np.int8)
+            rank = np.where(flat >= edge, np.int8(127), np.int8(0))
             if len(often):
                 at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
-                rank[(often[at] == flat) & (flat < edge)] = 2
+                rank = np.where((often[at] == flat) & (flat < edge), power[at], rank)
             n = batch.column("n").to_numpy()
             out = []
             for low, high, p in zip(ends[:-1].tolist(), ends[1:].tolist(), prefix(n, percent).tolist(), strict=True):
@@ -203,7 +205,8 @@ def _postings(sets: DataFrame, frequent: np.ndarray, least: int, percent: int) -
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("n"), _lists(out)], names=["uid", "n", "keys"])
 
     found = sets.filter(F.col("n") >= least).select("uid", "n", "least").mapInArrow(run, "uid long, n int, keys array<long>")
-    return found.select("uid", "n", F.explode("keys").alias("key"))
+    base = F.expr(f"pos <= n - cast(ceil({percent} * n / 100D) AS int)")
+    return found.select("uid", "n", F.posexplode("keys").alias("pos", "key")).select("key", "uid", "n", base.alias("base"))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str) -> DataFrame:
@@ -305,23 +308,27 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str) -> DataFrame
     most = boundary(sizes, percent)
     edge = _edge(COUNTED, percent)
     lowest = F.explode(F.filter("least", lambda x: (x >= 0) & (x < edge))).alias("key")
-    counts = full.filter(F.col("n") > most).select(lowest).groupBy("key").count().filter(F.col("count") > SHORT_LIST)
+    counts = sets.filter(F.col("n") > most).select(lowest).groupBy("key").count().filter(F.col("count") > SHORT_LIST)
     counts = cut(counts, "counts")
     top = counts if counts.count() <= FREQUENT else counts.orderBy(F.desc("count"), "key").limit(FREQUENT)
-    frequent = np.sort(np.fromiter((r[0] for r in top.select("key").toLocalIterator()), np.int64)).view(np.uint64)
+    found = np.fromiter((tuple(r) for r in top.select("key", F.floor(F.log2("count"))).toLocalIterator()), np.dtype([("key", np.int64), ("power", np.int8)]))
+    found.sort(order="key")
+    frequent = found["key"].copy().view(np.uint64), found["power"].copy()
     postings = _postings(sets, frequent, -(-percent * (most + 1) // 100), percent)
-    lists = postings.groupBy("key").agg(F.count("*").alias("c"), F.min("uid").alias("first")).filter("c > 1")
+    lists = postings.groupBy("key").agg(F.count("*").alias("c"), F.min(F.when(F.col("base"), F.col("uid"))).alias("first")).filter("c > 1")
     listed = cut(postings.join(lists, "key"), "lists")
-    short = listed.filter(F.col("c") <= SHORT_LIST).select("key", "uid", "n")
+    long = listed.filter(F.col("c") > SHORT_LIST)
+    deep = cut(long.groupBy("uid").agg(F.count("*").cast("int").alias("deep")), "deep")
+    short = listed.filter(F.col("c") <= SHORT_LIST).select("key", "uid", "n").join(_sent(deep), "uid", "left").withColumn("deep", F.coalesce("deep", F.lit(0)))
     a, b = short.alias("a"), short.alias("b")
     low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.uid") < F.col("b.uid"))).filter((100 * low >= percent * high) & (high > most))
-    met = met.groupBy(F.col("a.uid").alias("x"), F.col("b.uid").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).agg(F.count("*").alias("met"))
-    # A pair that also meets in a long list is compared there.
+    met = met.groupBy(F.col("a.uid").alias("x"), F.col("b.uid").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny"), F.least("a.deep", "b.deep").alias("deep")).agg(F.count("*").alias("met"))
+    # A pair may also meet in the long lists that both are in. It is compared there only if it meets in one that is in both bases.
     first = lambda n: f"least({n} - cast(ceil({percent} * {n} / 100D) AS int) + {1 + EXTRA}, {n})"
     share = f"cast(ceil({percent} * (nx + ny) / {100 + percent}D) AS int)"
-    pairs = cut(met.filter(f"met >= least({first('nx')} - (nx - {share}), {first('ny')} - (ny - {share}))").select("x", "y"), "pairs")
-    groups = components(listed.filter(F.col("c") > SHORT_LIST).select(F.col("uid").alias("u"), F.col("first").alias("v")))
+    pairs = cut(met.filter(f"met + deep >= least({first('nx')} - (nx - {share}), {first('ny')} - (ny - {share}))").select("x", "y"), "pairs")
+    groups = components(long.filter("base").select(F.col("uid").alias("u"), F.col("first").alias("v")))
     groups = cut(groups.union(groups.select(F.col("label").alias("id"), "label").distinct()), "groups")
     wanted = pairs.select(F.col("x").alias("uid")).union(pairs.select(F.col("y").alias("uid"))).union(groups.select(F.col("id").alias("uid"))).distinct()
     whole = _full_sets(docs, cut(full.select("uid", "doc_id", "th").join(wanted, "uid"), "wanted"), k, id_col)

@@ -155,3 +155,27 @@ def test_a_very_long_text(spark):
     long = [f"w{rng.randrange(30_000)}" for _ in range(60_000)]
     rows = [(1, " ".join(long)), (2, " ".join(long)), (3, " ".join(long[3_000:])), (4, " ".join(long[30_000:])), (5, "w1")]
     assert run(spark, rows) == brute(rows)
+
+
+def test_stock_passages_gather_no_documents(spark, monkeypatch):
+    """Different texts that share a passage are not compared as one large group."""
+    rng = random.Random(11)
+    stock = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) + " " + stock) for i in range(300)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:20]]
+    gathered, plain = [], j._blocked
+
+    def counted(sets, groups, percent):
+        gathered.append(groups.count())
+        return plain(sets, groups, percent)
+
+    monkeypatch.setattr(j, "_blocked", counted)
+    assert run(spark, rows) == brute(rows)
+    assert gathered[0] < 60
+
+
+def test_pairs_of_short_and_long_lists(spark, monkeypatch):
+    """Near copies that meet once in a short list, and else in lists that are long."""
+    monkeypatch.setattr(j, "SHORT_LIST", 3)
+    rows = corpus(5, docs=20, copies=7)
+    assert run(spark, rows) == brute(rows)
