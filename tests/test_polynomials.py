@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 from lexiqua.functions import polynomials as p
 from lexiqua.operators import reports
@@ -50,3 +51,19 @@ def test_rows_of_systems(spark):
     assert one.solutions == [{f"x{i}": float(i) for i in range(11)}] and none.solutions == []  # every equation is read
     linear = {r.i: r.solution for r in reports.solve_equations(spark.createDataFrame(list(enumerate(said)), "i int, t string"), "i", "t").collect()}
     assert linear[len(said) - 2] is not None and linear[len(said) - 1] is None and linear[0] is None
+
+
+def test_isolated_roots_take_whole_numbers_only(monkeypatch):
+    """An isolated root is bisected by signs: powers of fractions are not taken sixty times for each root."""
+    taken = []
+    power = Fraction.__pow__
+    monkeypatch.setattr(Fraction, "__pow__", lambda a, b: taken.append(1) or power(a, b))
+    got = p.real_roots([Fraction(7), Fraction(-10), Fraction(1)])
+    assert np.allclose([float(x) for x in got], [5 - math.sqrt(18), 5 + math.sqrt(18)], rtol=1e-15) and len(taken) < 200
+
+
+def test_systems_of_one_file_are_dealt_to_tasks(spark):
+    rows = spark.range(400, numPartitions=1).selectExpr("id", "concat('x*y = ', id % 7, ', x + y = 9') AS t")
+    for solved in (reports.solve_systems(rows, "id", "t"), reports.solve_equations(rows, "id", "t")):
+        assert solved.select(spark_partition_id()).distinct().count() > 3
+    assert sum(len(r.solutions) for r in reports.solve_systems(rows, "id", "t").collect()) == 800
