@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,8 @@ from lexiqua.operators import intervals
 #: Percent from which subjects are strongly or moderately alike, and the part of a predicate that covers it.
 STRONG, MODERATE, COVERS = 60, 30, 0.35
 CODE_BIAS = 0.7
+#: Texts of equation systems whose solutions a task remembers.
+KEPT_SYSTEMS = 10_000
 
 
 def period_coverage(spans: DataFrame, start: int, end: int, most: int = 10) -> DataFrame:
@@ -251,21 +254,31 @@ def solve_systems(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     ``solutions`` are all real ones, a map by unknown each, sorted by the values of the unknowns in order of their names; empty if there is
     none. Where they can't be listed they are null, and ``reason`` says why: no equation, not a polynomial, not finitely many
-    solutions, too many unknowns, too large. Every equation of a text is read. Each system is solved in its row.
+    solutions, too many unknowns, too large. Every equation of a text is read. Rows are dealt to tasks in their order, and
+    a text that many rows have is solved once in each task.
     """
 
+    def solved(said: object) -> tuple[list | None, str | None]:
+        if not isinstance(said, str):
+            return None, "no equation"
+        try:
+            return polynomials.solve(said), None
+        except polynomials.Unsolved as e:
+            return None, str(e)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        once = lru_cache(maxsize=KEPT_SYSTEMS)(solved)
         for frame in frames:
-            out = []
-            for said in frame["_said"]:
-                try:
-                    out.append((polynomials.solve(said) if isinstance(said, str) else None, None if isinstance(said, str) else "no equation"))
-                except polynomials.Unsolved as e:
-                    out.append((None, str(e)))
+            out = [once(said) for said in frame["_said"]]
             yield pd.DataFrame({id_col: frame[id_col], "solutions": [x for x, _ in out], "reason": [r for _, r in out]})
 
     schema = df.select(id_col).schema.add("solutions", T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))).add("reason", T.StringType())
-    return df.select(id_col, F.col(text_col).alias("_said")).mapInPandas(run, schema)
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    told = df.select(id_col, F.col(text_col).alias("_said"))
+    # Dealt in order of rows, as a small file is one task however long its systems take.
+    dealt = told.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(parts, "_at").sortWithinPartitions("_at")
+    return dealt.drop("_at").mapInPandas(run, schema)
 
 
 def solve_equations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
