@@ -67,7 +67,7 @@ _INVERSE = """(u, segments) -> aggregate(filter(segments, x -> x.before <= u * w
 
 
 def mix(docs: DataFrame, schedules: DataFrame | None = None, max_epochs: int = 3, cut_last: bool = True) -> DataFrame:
-    """One row for each document: ``doc_id, source, size, digest, source_size, target, taken, positions``.
+    """One row for each document: ``doc_id, source, size, digest, source_size, target, taken, positions``, range-sorted by first position.
 
     ``docs`` needs ``doc_id``, ``text`` and ``source``; ``schedules`` has ``source`` and ``knots`` (t rising from 0 to 1; sources
     without a schedule get no words). ``taken`` is the document's words in the mix over all epochs, ``positions`` the training
@@ -76,8 +76,16 @@ def mix(docs: DataFrame, schedules: DataFrame | None = None, max_epochs: int = 3
     as a whole or not, whichever is nearer. Null text: size 0, never taken in part, and its positions are those of its
     place. Null source: a source of its own. Repeated rows are documents each. A very long text is one document of its size:
     it is taken whole or in part like others. Other columns are not read, whatever their names. No rows: no rows.
+    Rows come in the order of training: by first position, those without one last, ties by id.
     Sources share out the budget in one task, a row for each: tens of thousands of them, not one for each document.
     """
+    rows = _placed(docs, schedules, max_epochs, cut_last).withColumn("_first", F.try_element_at("positions", F.lit(1)))
+    order = F.asc_nulls_last("_first"), F.asc("doc_id"), F.asc("digest")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_first")
+
+
+def _placed(docs: DataFrame, schedules: DataFrame | None, max_epochs: int, cut_last: bool) -> DataFrame:
+    """The rows of ``mix`` in no order."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size"), F.xxhash64("text").alias("digest"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_key"))
     sized = cut(sized, "sized")
     sources = cut(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")), "sources")
@@ -105,7 +113,7 @@ def mixed_documents(docs: DataFrame, schedules: DataFrame | None = None, max_epo
     Rows find their places by id and text digest; of repeated rows each finds one place. Null texts and sources are as in
     ``mix``; ties of position go by id; columns stay as they are, whatever their names. No rows: no rows.
     """
-    plan = mix(docs, schedules, max_epochs, cut_last=False)
+    plan = _placed(docs, schedules, max_epochs, cut_last=False)
     key = ["_none", "_id", "_digest"]
     named = lambda df, digest, *more: df.select(F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), digest.alias("_digest"), "source", *more)
     number = lambda df, *more: df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("source", *more)))

@@ -79,3 +79,10 @@ def test_mixed_documents_are_whole_and_repeat(spark):
 def test_no_rows(spark):
     assert m.mix(frame(spark, [])).count() == 0
     assert m.mixed_documents(frame(spark, [])).count() == 0
+
+
+def test_rows_come_in_training_order(spark):
+    rows = m.mix(frame(spark, corpus()).repartition(4)).collect()
+    first = [(not r.positions, r.positions[0] if r.positions else 0.0) for r in rows]
+    assert len(rows) == len(corpus()) and first == sorted(first)
+    assert len({r.source for r in rows[:40]}) > 3
