@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiqua.functions import text
+from lexiqua.operators.spread import spread
 
 # The ordered family rules, and groups of files.
 FAMILIES = [
@@ -20,6 +21,8 @@ GROUPS = {
 LITERAL_KEYWORDS = 1_000
 #: Letters of the parts on which keywords and texts meet, and keywords that are broadcast at a time.
 GRAM, BROADCAST_KEYWORDS = 3, 500_000
+#: Entries that a task judges, and rows of words of prompts that are broadcast.
+ENTRY_ROWS, BROADCAST_WORDS = 50_000, 100_000
 # Fixed value: what an equation in a gloss looks like.
 EQUATION = r"([A-Za-z0-9()\[\]{}.+\-^_=/]+\s*=\s*[A-Za-z0-9().+\-^_/]+)"
 
@@ -75,10 +78,21 @@ def keywords(df: DataFrame, id_cols: list[str], text_col: str, top: int = 6) ->
     return best.select(*id_cols, F.col("_k.keyword").alias("keyword"), (-F.col("_k.less")).cast("long").alias("n"), (F.col("_at") + 1).alias("rank"))
 
 
+def _judged(entries: DataFrame) -> DataFrame:
+    """``entries``, spread over tasks, with the plain forms of what keywords are looked for in: ``_key``, ``_senses`` and all of it (``_whole``).
+
+    They are computed once for an entry, not for each keyword.
+    """
+    some = F.coalesce("senses", F.array().cast(entries.schema["senses"].dataType))
+    told = F.transform(some, lambda s: F.struct(text.normalize(s["gloss"]).alias("gloss"), F.transform(F.coalesce(s["synonyms"], F.array().cast("array<string>")), text.normalize).alias("synonyms")))
+    plain = spread(entries, ENTRY_ROWS, "file", "key").withColumn("_key", text.normalize(F.col("key"))).withColumn("_senses", told)
+    return plain.withColumn("_whole", F.concat_ws(" ", "_key", F.array_join(F.transform("_senses", lambda s: F.concat_ws(" ", s["gloss"], F.array_join(s["synonyms"], " "))), " ")))
+
+
 def _literal(entries: DataFrame, words: list[str]) -> DataFrame:
-    """``entries`` with each keyword (``kw``: ``keyword``, ``normal``), which are literals of the plan."""
+    """``_judged`` entries with each keyword in them (``kw``: ``keyword``, ``normal``), which are literals of the plan."""
     kws = F.array(*[F.struct(F.lit(w).alias("keyword"), F.lit("".join(c for c in w.lower() if c.isascii() and c.isalnum())).alias("normal")) for w in dict.fromkeys(words)])
-    return entries.withColumn("_key", text.normalize(F.col("key"))).withColumn("kw", F.explode(F.filter(kws, lambda k: k["normal"] != "")))
+    return entries.withColumn("kw", F.explode(F.filter(kws, lambda k: (k["normal"] != "") & F.contains(F.col("_whole"), k["normal"]))))
 
 
 def grams(c: Column, n: int = GRAM) -> Column:
@@ -86,35 +100,31 @@ def grams(c: Column, n: int = GRAM) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=([a-z0-9]{{{n}}}))"), F.lit(1)))
 
 
-def _met(entries: DataFrame, words: DataFrame) -> DataFrame:
-    """``entries`` with each keyword of ``words`` (``keyword``) that may be in it, as ``_literal`` has them.
+def _listed(entries: DataFrame, words: DataFrame) -> DataFrame:
+    """``gram, normal, keywords``: the plain keywords that may be in an entry, each with the keywords of ``words`` (``keyword``) that it stands for.
 
     A text can only hold a keyword if it holds all its runs of ``GRAM`` characters (a shorter keyword is a run of its own), so it is
-    enough to meet on one of them: the one that the fewest entries hold. Runs are of 36 characters, so there are under 48 000 of
-    them: their counts and the chosen ones are small whatever the tables are. Keywords are broadcast by their runs, in as many
-    parts as their number needs, so entries are never shuffled, and a run that all entries hold makes no task large.
+    enough to meet on one of them: the one that the fewest entries hold; if none holds it, the keyword goes. Runs are of 36
+    characters, so there are under 48 000 of them: their counts are small whatever the tables are.
     """
-    kws = words.select("keyword", text.normalize(F.col("keyword")).alias("normal")).filter("normal <> ''").distinct()
-    size = F.least(F.length("normal"), F.lit(GRAM))
-    kws = kws.select("keyword", "normal", F.explode(F.when(size == GRAM, grams(F.col("normal"))).otherwise(F.array("normal"))).alias("gram"))
-    lengths = sorted(r[0] for r in kws.select(F.length("gram")).distinct().collect())  # 1 to GRAM
-    if not lengths:
-        return entries.limit(0).select("*", F.lit("").alias("_key"), F.struct(F.lit("").alias("keyword"), F.lit("").alias("normal")).alias("kw"))
-    told = F.transform(F.coalesce("senses", F.array().cast(entries.schema["senses"].dataType)), lambda s: F.concat_ws(" ", text.normalize(s["gloss"]), F.array_join(F.transform(F.coalesce(s["synonyms"], F.array().cast("array<string>")), text.normalize), " ")))
-    whole = F.concat_ws(" ", text.normalize(F.col("key")), F.array_join(told, " "))
-    held = entries.withColumn("_grams", F.concat(*(grams(whole, n) for n in lengths)))
-    counts = held.select(F.explode("_grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    rank = F.struct(F.coalesce("n", F.lit(0)), "gram")
-    chosen = kws.join(F.broadcast(counts), "gram", "left").groupBy("keyword", "normal").agg(F.min_by("gram", rank).alias("gram"))
-    parts = kws.select("keyword").distinct().count() // BROADCAST_KEYWORDS + 1
-    wanted = F.broadcast(chosen.select("gram").distinct())
-    named = held.withColumn("_row", F.struct(*entries.columns)).select("_row", F.explode("_grams").alias("gram")).join(wanted, "gram", "left_semi")
-    met = None
-    for part in range(parts):
-        some = F.broadcast(chosen.filter(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == part))
-        found = named.join(some, "gram").select("_row", F.struct("keyword", "normal").alias("kw"))
-        met = found if met is None else met.unionByName(found)
-    return met.select("_row.*", "kw").withColumn("_key", text.normalize(F.col("key")))
+    held = entries.select(F.explode(F.concat(*(grams(F.col("_whole"), n) for n in range(1, GRAM + 1)))).alias("gram"))
+    counts = F.broadcast(held.groupBy("gram").agg(F.count("*").alias("n")))
+    kws = words.select("keyword", text.normalize(F.col("keyword")).alias("normal")).filter("normal <> ''")
+    kws = kws.groupBy("normal").agg(F.collect_set("keyword").alias("keywords"))
+    runs = kws.select("normal", "keywords", F.explode(F.when(F.length("normal") >= GRAM, grams(F.col("normal"))).otherwise(F.array("normal"))).alias("gram"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")
+    chosen = runs.join(counts, "gram", "left").groupBy("normal").agg(rarest, F.first("keywords").alias("keywords"))
+    return chosen.filter("r.n > 0").select(F.col("r.gram").alias("gram"), "normal", "keywords")
+
+
+def _hits() -> Column:
+    """Where an entry (``_key``, ``_senses``) holds ``kw``: ``field, sense``."""
+    holds = lambda c: F.contains(c, F.col("kw.normal"))
+    hits = lambda s, i: F.concat(
+        F.when(F.exists(s["synonyms"], holds), F.array(F.struct(F.lit("synonym").alias("field"), i.alias("sense")))).otherwise(F.array()),
+        F.when(holds(s["gloss"]), F.array(F.struct(F.lit("gloss").alias("field"), i.alias("sense")))).otherwise(F.array()),
+    )
+    return F.when(holds(F.col("_key")), F.array(F.struct(F.lit("key").alias("field"), F.lit(0).alias("sense")))).otherwise(F.flatten(F.transform("_senses", hits)))
 
 
 def matches(entries: DataFrame, words: list[str] | DataFrame) -> DataFrame:
@@ -123,25 +133,36 @@ def matches(entries: DataFrame, words: list[str] | DataFrame) -> DataFrame:
     ``entries`` is ``file, key, senses`` with ``senses`` an array of structs with ``gloss`` and ``synonyms``. A keyword in the
     key gives one row and no others of that entry; else each sense gives a row for a synonym and one for its gloss. Keywords are
     a list or a column ``keyword``, as many as there may be, each once whatever its repeats; null ones and those without letters or digits
-    match nothing. A few of them go into the plan as literals; more meet entries on their rarest run of characters. Either way an
-    entry is judged in its row and not shuffled.
+    match nothing. A few of them go into the plan as literals; more meet entries on their rarest run of characters (see ``_listed``),
+    as plain keywords, and the keywords that these stand for come last: so an entry is judged once for all that are spelt alike.
+    They are broadcast, in as many parts as their number needs. Entries are judged in their rows, in as many tasks as they are for.
     """
     if isinstance(words, DataFrame):
         listed = [r[0] for r in words.filter("keyword IS NOT NULL").select("keyword").distinct().limit(LITERAL_KEYWORDS + 1).collect()]
     else:
         listed = list(dict.fromkeys(w for w in words if w is not None))
+    judged = _judged(entries.select("file", "key", "senses"))
+    found = ["file", "key", "senses", "hit.field", "hit.sense"]
     if len(listed) <= LITERAL_KEYWORDS:
-        keyed = _literal(entries, sorted(listed))
-    else:
-        keyed = _met(entries, words if isinstance(words, DataFrame) else entries.sparkSession.createDataFrame([(w,) for w in listed], "keyword string"))
-    in_key = F.contains(F.col("_key"), F.col("kw.normal"))
-    holds = lambda c: F.contains(text.normalize(c), F.col("kw.normal"))
-    hits = lambda s, i: F.concat(
-        F.when(F.exists(F.coalesce(s["synonyms"], F.array().cast("array<string>")), holds), F.array(F.struct(F.lit("synonym").alias("field"), i.alias("sense")))).otherwise(F.array()),
-        F.when(holds(s["gloss"]), F.array(F.struct(F.lit("gloss").alias("field"), i.alias("sense")))).otherwise(F.array()),
-    )
-    found = F.when(in_key, F.array(F.struct(F.lit("key").alias("field"), F.lit(0).alias("sense")))).otherwise(F.flatten(F.transform(F.coalesce("senses", F.array().cast(entries.schema["senses"].dataType)), hits)))
-    return keyed.withColumn("hit", F.explode(found)).select(F.col("kw.keyword").alias("keyword"), "file", "key", "senses", "hit.field", "hit.sense")
+        return _literal(judged, sorted(listed)).withColumn("hit", F.explode(_hits())).select(F.col("kw.keyword").alias("keyword"), *found)
+    possible = _listed(judged, words if isinstance(words, DataFrame) else entries.sparkSession.createDataFrame([(w,) for w in listed], "keyword string"))
+    parts = (possible.agg(F.sum(F.size("keywords"))).first()[0] or 0) // BROADCAST_KEYWORDS + 1
+    runs = judged.select("file", "key", "senses", "_key", "_senses", F.explode(F.concat(*(grams(F.col("_whole"), n) for n in range(1, GRAM + 1)))).alias("gram"))
+    met = None
+    for part in range(parts):
+        some = possible.filter(F.pmod(F.xxhash64("normal"), F.lit(parts)) == part)
+        held = runs.join(F.broadcast(some.select("gram", F.struct("normal").alias("kw"))), "gram").withColumn("hit", F.explode(_hits()))
+        named = held.select(F.col("kw.normal").alias("normal"), *found).join(F.broadcast(some.select("normal", "keywords")), "normal")
+        named = named.select(F.explode("keywords").alias("keyword"), "file", "key", "senses", "field", "sense")
+        met = named if met is None else met.unionByName(named)
+    return met
+
+
+def told_by(words: DataFrame, found: DataFrame) -> DataFrame:
+    """``words`` with what was ``found`` for their keyword. Some keywords are in most entries, so up to ``BROADCAST_WORDS`` rows of words are
+    broadcast, and entries stay in their tasks; more of them are joined by a shuffle."""
+    few = len(words.select("keyword").limit(BROADCAST_WORDS + 1).collect()) <= BROADCAST_WORDS
+    return found.join(F.broadcast(words) if few else words, "keyword")
 
 
 def last_matches(found: DataFrame) -> DataFrame:

@@ -69,3 +69,20 @@ def test_a_run_in_all_entries_makes_no_task_large(spark, monkeypatch):
     assert found.groupBy("keyword").count().orderBy("keyword").collect() == [("common", 500), ("mon12", 11)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_keywords_spelt_alike_are_judged_once_and_impossible_ones_never(spark, monkeypatch, table):
+    monkeypatch.setattr(match, "LITERAL_KEYWORDS", 0)
+    df = spark.createDataFrame([("f", f"common{i}", None) for i in range(20)], ENTRIES)
+    words = spark.createDataFrame([(w,) for w in ["on", "ön", "öon", "o-n", "ONé", "zzz", "xcommon"]], "keyword string")
+    assert [(r.normal, len(r.keywords)) for r in match._listed(match._judged(df), words).collect() if r.normal == "on"] == [("on", 4)]
+    assert {r.normal for r in match._listed(match._judged(df), words).collect()} == {"n", "on"}
+    assert match.matches(df, words).groupBy("keyword").count().orderBy("keyword").collect() == [("ONé", 20), ("o-n", 20), ("on", 20), ("ön", 20), ("öon", 20)]
+
+
+def test_entries_of_one_file_are_many_tasks(spark, monkeypatch, table):
+    entries, words = table
+    monkeypatch.setattr(match, "ENTRY_ROWS", 10, raising=False)
+    df = spark.createDataFrame(entries, ENTRIES).coalesce(1)
+    found = match.matches(df, words)
+    assert found.rdd.getNumPartitions() == 7 and rows(found) == brute(entries, words)
