@@ -12,8 +12,8 @@ BOUNDS = 256
 def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """``df`` by a hash of ``keys`` in as many tasks as have about ``rows`` rows each, whatever files it comes from: a small file may
     hold millions of rows, and one task would read them all. As it is, if there are no more than ``rows``."""
-    parts = df.count() // rows + 1
-    return df if parts == 1 else df.repartition(parts, *keys)
+    parts = -(-df.count() // rows)
+    return df.repartition(parts, *keys) if parts > 1 else df
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiqua.functions import text
 from lexiqua.operators import match
+from lexiqua.operators.spread import numbered
 
 ITEM = ["kingdom", "phylum", "family", "order", "variable", "type", "value"]
 
@@ -19,14 +20,13 @@ def analyze(spark: SparkSession, prompts: DataFrame, entries: DataFrame) -> Data
     frags = prompts.select("prompt_id", F.posexplode(text.fragments(F.col("prompt"))).alias("frag", "fragment"))
     words = match.keywords(frags, ["prompt_id", "frag"], "fragment")
     taxa = match.taxonomy(match.matches(entries, words.select("keyword")))
-    return words.join(taxa, "keyword").select("prompt_id", "frag", "keyword", *ITEM)
+    return match.told_by(words, taxa).select("prompt_id", "frag", "keyword", *ITEM)
 
 
 def create(session_id: str, taxa: DataFrame) -> DataFrame:
     """A session's items with their score and ``explored``, ranked by score; equal scores in order of their columns."""
     scored = taxa.select(F.lit(session_id).alias("session_id"), *ITEM, match.score().alias("score"), F.lit(False).alias("explored"))
-    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("score"), *ITEM))
-    return scored.withColumn("rank", rank)
+    return numbered(scored, [], [(-F.col("score")).alias("_less"), *map(F.col, ITEM)], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def save(items: DataFrame, folder: str) -> None:
@@ -75,12 +75,15 @@ def lineage(items: DataFrame, variable: str) -> DataFrame:
 
 
 def selected(items: DataFrame, steps: int) -> DataFrame:
-    """The deepest items, one for each variable, at most ``max(3, 2 * steps)``: ``pos`` from 0."""
-    deep = items.withColumn("depth", match.depth())
-    first = F.row_number().over(Window.partitionBy("variable").orderBy(F.desc("depth"), F.desc("score"), "rank"))
-    one = deep.withColumn("_n", first).filter("_n = 1").drop("_n")
-    pos = F.row_number().over(Window.orderBy(F.desc("depth"), F.desc("score"), "rank")) - 1
-    return one.withColumn("pos", pos).filter(F.col("pos") < max(3, 2 * steps))
+    """The deepest items, one for each variable, at most ``max(3, 2 * steps)``: ``pos`` from 0.
+
+    Ranks are by score and ``ITEM``, so these order the items as ranks do; only the deepest ones come together in one task.
+    """
+    deep = items.drop("rank").withColumn("depth", match.depth())
+    order = [F.desc("depth"), F.desc("score"), *ITEM]
+    first = F.row_number().over(Window.partitionBy("variable").orderBy(*order))
+    one = deep.withColumn("_n", first).filter("_n = 1").drop("_n").orderBy(*order).limit(max(3, 2 * steps))
+    return one.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
 def cosine_index(step: Column, steps: int, n: Column) -> Column:
