@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexiqua.functions import formulas, text
 from lexiqua.operators import match
 from lexiqua.operators.reports import CODE_BIAS
+from lexiqua.operators.spread import numbered
 from lexiqua.plans.sessions import ITEM, cosine_index
 
 #: The order in which taxa were found, which decides ties.
@@ -28,7 +29,7 @@ def analysis(spark: SparkSession, prompts: DataFrame, entries: DataFrame) -> Dat
     frags = prompts.select("prompt_id", F.posexplode(text.fragments(F.col("prompt"))).alias("frag", "fragment"))
     words = match.keywords(frags, ["prompt_id", "frag", "fragment"], "fragment").select("prompt_id", "frag", "fragment", F.col("rank").alias("kw"), "keyword")
     taxa = match.taxonomy(match.matches(entries, words.select("keyword")), True)
-    return words.join(taxa, "keyword").select("prompt_id", "frag", "fragment", "kw", "keyword", *ITEM, "key", "gloss", "synonyms").withColumn("score", match.score())
+    return match.told_by(words, taxa).select("prompt_id", "frag", "fragment", "kw", "keyword", *ITEM, "key", "gloss", "synonyms").withColumn("score", match.score())
 
 
 def representatives(taxa: DataFrame) -> DataFrame:
@@ -40,9 +41,9 @@ def representatives(taxa: DataFrame) -> DataFrame:
 def anchored(taxa: DataFrame, chosen: DataFrame, level: str) -> DataFrame:
     """Of ``chosen`` taxa those that have the phylum, kingdom or family of the prompt's best; all, where none has."""
     top = taxa.groupBy(F.col("prompt_id").alias("_p")).agg(F.min_by(level, F.struct(-F.col("score"), *FOUND)).alias("_level"))
-    joined = chosen.join(top, F.col("prompt_id") == F.col("_p")).withColumn("_same", F.col(level) == F.col("_level"))
-    some = F.max("_same").over(Window.partitionBy("prompt_id"))
-    return joined.withColumn("_some", some).filter("_same OR NOT _some").drop("_p", "_level", "_same", "_some")
+    joined = chosen.join(F.broadcast(top), F.col("prompt_id") == F.col("_p")).withColumn("_same", F.col(level) == F.col("_level"))
+    some = joined.groupBy(F.col("prompt_id").alias("_of")).agg(F.max("_same").alias("_some"))
+    return joined.join(F.broadcast(some), F.col("prompt_id") == F.col("_of")).filter("_same OR NOT _some").drop("_p", "_of", "_level", "_same", "_some")
 
 
 def best_of_fragments(taxa: DataFrame) -> DataFrame:
@@ -69,9 +70,9 @@ def _told(template: str, parts: dict[str, Column]) -> Column:
 
 def _walk(chosen: DataFrame, steps: int, shifted: bool, reverse: bool) -> DataFrame:
     """Each prompt's chosen taxa by score, visited ``steps`` times by a cosine, shifted by the step or not: ``step, n`` beside the taxon."""
-    order = Window.partitionBy("prompt_id").orderBy(F.desc("score"), *FOUND)
-    n = F.count("*").over(Window.partitionBy("prompt_id"))
-    placed = chosen.withColumn("_at", F.row_number().over(order) - 1).withColumn("n", n)
+    n = chosen.groupBy(F.col("prompt_id").alias("_p")).agg(F.count("*").alias("n"))
+    order = [(-F.col("score")).alias("_less"), *map(F.col, FOUND)]
+    placed = numbered(chosen, ["prompt_id"], order, "_at").withColumn("_at", F.col("_at") - 1).join(F.broadcast(n), F.col("prompt_id") == F.col("_p")).drop("_p")
     if reverse:
         placed = placed.withColumn("_at", F.col("n") - 1 - F.col("_at"))
     visited = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda s: F.struct(s.alias("step"), F.pmod(cosine_index(s, steps, F.col("n")) + (s if shifted else F.lit(0)), F.col("n")).alias("at")))
@@ -105,7 +106,10 @@ def variations(taxa: DataFrame, steps: int = 6, kind: str = "conditional", ancho
     else:
         rank = F.row_number().over(Window.partitionBy("prompt_id", "variable").orderBy(F.desc("score"), *FOUND))
         line = F.concat(F.lit("In "), F.col("kingdom"), F.lit(" ("), F.col("phylum"), F.lit("), "), F.col("variable"), F.lit(", a "), F.col("family"), F.lit(": "), F.col("value"), F.lit(" (from: '"), F.col("fragment"), F.lit("')"))
-        lines = taxa.withColumn("_r", rank).filter("_r <= 6").groupBy(F.col("prompt_id").alias("_p"), F.col("variable").alias("_var")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("_lines"))
+        # Lines are made for the visited variables alone; all taxa of a prompt may be many.
+        told_of = visited.select(F.col("prompt_id").alias("_vp"), F.col("variable").alias("_vv")).distinct()
+        some = taxa.join(F.broadcast(told_of), (F.col("prompt_id") == F.col("_vp")) & (F.col("variable") == F.col("_vv")), "left_semi")
+        lines = some.withColumn("_r", rank).filter("_r <= 6").groupBy(F.col("prompt_id").alias("_p"), F.col("variable").alias("_var")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("_lines"))
         visited = visited.join(lines, (F.col("prompt_id") == F.col("_p")) & (F.col("variable") == F.col("_var")))
         told = F.col("_lines")
     line = F.concat(F.lit("Variation "), (F.col("step") + 1).cast("string"), F.lit(f"/{steps} — "), F.col("variable"), F.lit("\n\n"), told)
@@ -114,24 +118,29 @@ def variations(taxa: DataFrame, steps: int = 6, kind: str = "conditional", ancho
 
 def respond(taxa: DataFrame, steps: int = 4) -> DataFrame:
     """One row for each prompt with matches: ``prompt_id, topic`` (the file of the highest score, code files counted less), ``main``
-    (its best taxon), ``clarifiers`` (its matched entries' first senses), ``related`` (variations in the main taxon's family) and ``response``."""
+    (its best taxon), ``clarifiers`` (its matched entries' first senses) and ``n_clarifiers``, ``related`` (variations in the main taxon's family) and ``response``."""
     scores = taxa.groupBy("prompt_id", "phylum").agg(F.sum("score").alias("_sum"))
     biased = F.col("_sum") * F.when(F.col("phylum").startswith("code"), CODE_BIAS).otherwise(1.0)
     topic = scores.groupBy(F.col("prompt_id").alias("_t")).agg(F.min_by("phylum", F.struct(-biased, "phylum")).alias("topic"))
-    placed = taxa.join(topic, (F.col("prompt_id") == F.col("_t")) & (F.col("phylum") == F.col("topic"))).drop("_t")
+    placed = taxa.join(F.broadcast(topic), (F.col("prompt_id") == F.col("_t")) & (F.col("phylum") == F.col("topic"))).drop("_t")
     main = placed.groupBy("prompt_id", "topic").agg(F.min_by(F.struct(*ITEM), F.struct(-F.col("score"), *FOUND)).alias("main"))
     told = F.concat(F.col("key"), F.lit(": "), F.when(F.col("gloss") != "", F.col("gloss")).otherwise("(no gloss)"), F.when(F.size("synonyms") > 0, F.concat(F.lit(" (synonyms: "), F.array_join("synonyms", ", "), F.lit(")"))).otherwise(""))
-    listed = representatives(placed).groupBy(F.col("prompt_id").alias("_c")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*FOUND, told.alias("told")))), lambda x: x["told"]).alias("clarifiers"))
-    kin = taxa.join(main.select(F.col("prompt_id").alias("_m"), F.col("main.family").alias("_family")), (F.col("prompt_id") == F.col("_m")) & (F.col("family") == F.col("_family"))).drop("_m", "_family")
+    entries = representatives(placed).select(F.col("prompt_id").alias("_c"), F.struct(*FOUND, told.alias("told")).alias("_e"))
+    told_in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["told"])
+    listed = entries.groupBy("_c").agg(told_in_order("_e").alias("clarifiers"), F.count("*").alias("n_clarifiers"))
+    # The response tells a few, which a window with a limit keeps in each task; the whole list is made only where it is asked for.
+    number = F.row_number().over(Window.partitionBy("_c").orderBy("_e"))
+    few = entries.withColumn("_n", number).filter("_n <= 4").groupBy(F.col("_c").alias("_few")).agg(told_in_order("_e").alias("_clarifiers"))
+    kin = taxa.join(F.broadcast(main.select(F.col("prompt_id").alias("_m"), F.col("main.family").alias("_family"))), (F.col("prompt_id") == F.col("_m")) & (F.col("family") == F.col("_family"))).drop("_m", "_family")
     related = variations(kin, steps, anchor="family").groupBy(F.col("prompt_id").alias("_r")).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("step", "text"))), lambda x: x["text"])).alias("related"))
-    joined = main.join(listed, F.col("prompt_id") == F.col("_c")).join(related, F.col("prompt_id") == F.col("_r"), "left")
+    joined = main.join(listed, F.col("prompt_id") == F.col("_c")).join(few, F.col("prompt_id") == F.col("_few")).join(related, F.col("prompt_id") == F.col("_r"), "left")
     value = snippet(F.trim("main.value"), 400)
     value = F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, F.lit(2), F.length(value)))
     response = F.concat_ws(
         "\n\n", F.concat(F.lit("Focusing on "), F.col("main.kingdom"), F.lit(" → "), F.col("main.phylum"), F.lit(" → "), F.col("main.family"), F.lit(",")), F.concat(F.lit("the concept '"), F.col("main.variable"), F.lit("' resolves to "), F.col("main.type"), F.lit(".")),
-        F.nullif(value, F.lit("")), F.concat(F.lit("Clarifiers: "), F.array_join(F.slice("clarifiers", 1, 4), "; ")), F.when(F.size("related") > 0, F.lit("Related perspectives:")), F.when(F.size("related") > 0, F.array_join(F.slice("related", 1, 4), "\n\n")),
+        F.nullif(value, F.lit("")), F.concat(F.lit("Clarifiers: "), F.array_join("_clarifiers", "; ")), F.when(F.size("related") > 0, F.lit("Related perspectives:")), F.when(F.size("related") > 0, F.array_join(F.slice("related", 1, 4), "\n\n")),
     )
-    return joined.select("prompt_id", "topic", "main", "clarifiers", "related", response.alias("response"))
+    return joined.select("prompt_id", "topic", "main", "clarifiers", F.col("n_clarifiers").cast("int").alias("n_clarifiers"), "related", response.alias("response"))
 
 
 def computed(answers: DataFrame, values: dict[str, str]) -> DataFrame:
