@@ -128,3 +128,14 @@ def test_nearest_of_short_words(spark):
         assert {r.t: (r.nearest, r.ratio) for r in fuzzy.nearest(left, "t", right, "t", least).collect()} == want
     only = fuzzy.nearest(left.filter("t = 'ab'"), "t", left.filter("t = 'axb'"), "t").first()
     assert (only.nearest, only.ratio) == ("axb", 0.8)
+
+
+def test_participles_at_the_end_go_however_many(spark, monkeypatch):
+    from lexiqua.functions import prompts
+
+    said = ["walking", "one two, walked; ", " a\t b ", "stay " + "going. " * 40, "going " * 40, "", None, "x ...", "...", "so .ended:, went"]
+    df = spark.createDataFrame(list(enumerate(said)), "i int, s string")
+    for most in (1, 3, 16):
+        monkeypatch.setattr(prompts, "LAST_WORDS", most)
+        got = [r.c for r in df.orderBy("i").select(prompts.without_trailing_participles(F.col("s")).alias("c")).collect()]
+        assert got == ["", "one two,", "a b", "stay", "", "", "", "x ...", "...", "so"]
