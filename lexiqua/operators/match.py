@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiqua.functions import text
 from lexiqua.operators.spread import spread
+from lexiqua.sources.scratch import written
 
 # The ordered family rules, and groups of files.
 FAMILIES = [
@@ -17,10 +18,12 @@ GROUPS = {
     "math": "algebra linear_algebra calculus math geometry complex_numbers probability statistics trigonometry vectors".split(),
     "science": "biology chemistry physics thermodynamics".split(), "code": ["code_dictionary"], "definitions": ["wikipedia_defs"],
 }
-#: Up to so many keywords go into a plan as literals; more are joined by what they are made of.
-LITERAL_KEYWORDS = 1_000
+#: Up to so many keywords, in so many rows, go into a plan as literals; more are joined by what they are made of.
+LITERAL_KEYWORDS, LITERAL_ROWS = 1_000, 100_000
 #: Letters of the parts on which keywords and texts meet, and keywords that are broadcast at a time.
 GRAM, BROADCAST_KEYWORDS = 3, 500_000
+#: Letters of a text that runs are taken of at a time, and letters from a run on that are compared before the whole keyword is looked for.
+PIECE, AHEAD = 64, 16
 #: Entries that a task judges, and rows of words of prompts that are broadcast.
 ENTRY_ROWS, BROADCAST_WORDS = 50_000, 100_000
 # Fixed value: what an equation in a gloss looks like.
@@ -100,20 +103,47 @@ def grams(c: Column, n: int = GRAM) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=([a-z0-9]{{{n}}}))"), F.lit(1)))
 
 
+def _texts(entries: DataFrame) -> DataFrame:
+    """``_judged`` entries, a row for each text of theirs (``text``, never empty) that keywords are looked for in, with its ``field`` and ``sense``.
+
+    A sense's synonyms are one text, apart by spaces: no plain keyword holds one.
+    """
+    told = lambda field, sense, c: F.struct(F.lit(field).alias("field"), sense.alias("sense"), c.alias("text"))
+    each = lambda s, i: F.array(told("synonym", i, F.array_join(s["synonyms"], " ")), told("gloss", i, s["gloss"]))
+    texts = F.concat(F.array(told("key", F.lit(0), F.col("_key"))), F.flatten(F.transform("_senses", each)))
+    return entries.select("file", "key", "senses", "_key", F.explode(texts).alias("_t")).select("file", "key", "senses", "_key", "_t.field", "_t.sense", "_t.text").filter("text <> ''")
+
+
+def _runs(texts: DataFrame) -> DataFrame:
+    """``texts`` with each run of up to ``GRAM`` characters of theirs (``gram``), and where it begins (``at``, from 1; ``_k`` in ``_piece``), as often as it is there.
+
+    They are rows from the start: neither a pattern nor an array of texts is made for them. A place in a text is found by going there
+    from its begin, so a long one is cut into pieces first.
+    """
+    cut = texts.withColumn("_p", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((length(text) - 1) div {PIECE} AS INT)"))))
+    cut = cut.withColumn("_piece", F.expr(f"substring(text, _p * {PIECE} + 1, {PIECE + AHEAD - 1})")).withColumn("_n", F.length("_piece"))
+    placed = cut.withColumn("_i", F.explode(F.sequence(F.lit(0), F.least(F.lit(PIECE), "_n") * GRAM - 1))).filter(f"_i div {GRAM} + _i % {GRAM} < _n")
+    k = f"CAST(_i div {GRAM} AS INT) + 1"
+    return placed.selectExpr(*texts.columns, "_piece", f"{k} AS _k", f"_p * {PIECE} + {k} AS at", f"substring(_piece, {k}, _i % {GRAM} + 1) AS gram")
+
+
 def _listed(entries: DataFrame, words: DataFrame) -> DataFrame:
     """``gram, normal, keywords``: the plain keywords that may be in an entry, each with the keywords of ``words`` (``keyword``) that it stands for.
 
     A text can only hold a keyword if it holds all its runs of ``GRAM`` characters (a shorter keyword is a run of its own), so it is
-    enough to meet on one of them: the one that the fewest entries hold; if none holds it, the keyword goes. Runs are of 36
-    characters, so there are under 48 000 of them: their counts are small whatever the tables are.
+    enough to meet on one of them: the one that is the rarest in entries; if none holds it, the keyword goes. Runs are of 36
+    characters and spaces, so there are under 53 000 of them: their counts are small whatever the tables are. Most words of prose begin
+    or end as nothing in entries does: they go before any are gathered.
     """
-    held = entries.select(F.explode(F.concat(*(grams(F.col("_whole"), n) for n in range(1, GRAM + 1)))).alias("gram"))
-    counts = F.broadcast(held.groupBy("gram").agg(F.count("*").alias("n")))
-    kws = words.select("keyword", text.normalize(F.col("keyword")).alias("normal")).filter("normal <> ''")
+    counts = written(_runs(_texts(entries)).groupBy("gram").agg(F.count("*").alias("n")), "runs")
+    # Of an array, so it is computed once: Catalyst computes an expression as often as it is read.
+    kws = words.select("keyword").distinct().select("keyword", F.explode(F.array(text.normalize(F.col("keyword")))).alias("normal")).filter("normal <> ''")
+    for end in (F.left, F.right):
+        kws = kws.join(F.broadcast(counts.select(F.col("gram").alias("_held"))), end(F.col("normal"), F.lit(GRAM)) == F.col("_held"), "left_semi")
     kws = kws.groupBy("normal").agg(F.collect_set("keyword").alias("keywords"))
     runs = kws.select("normal", "keywords", F.explode(F.when(F.length("normal") >= GRAM, grams(F.col("normal"))).otherwise(F.array("normal"))).alias("gram"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")
-    chosen = runs.join(counts, "gram", "left").groupBy("normal").agg(rarest, F.first("keywords").alias("keywords"))
+    chosen = runs.join(F.broadcast(counts), "gram", "left").groupBy("normal").agg(rarest, F.first("keywords").alias("keywords"))
     return chosen.filter("r.n > 0").select(F.col("r.gram").alias("gram"), "normal", "keywords")
 
 
@@ -133,27 +163,29 @@ def matches(entries: DataFrame, words: list[str] | DataFrame) -> DataFrame:
     ``entries`` is ``file, key, senses`` with ``senses`` an array of structs with ``gloss`` and ``synonyms``. A keyword in the
     key gives one row and no others of that entry; else each sense gives a row for a synonym and one for its gloss. Keywords are
     a list or a column ``keyword``, as many as there may be, each once whatever its repeats; null ones and those without letters or digits
-    match nothing. A few of them go into the plan as literals; more meet entries on their rarest run of characters (see ``_listed``),
-    as plain keywords, and the keywords that these stand for come last: so an entry is judged once for all that are spelt alike.
-    They are broadcast, in as many parts as their number needs. Entries are judged in their rows, in as many tasks as they are for.
+    match nothing. A few of them go into the plan as literals; more are read once, and those that may be in an entry (see ``_listed``) are
+    written. They meet entries on their rarest run of characters, as plain keywords with all that these stand for: an entry is judged once
+    for all that are spelt alike. They are broadcast, in as many parts as their number needs. Entries are judged in their rows, in as many
+    tasks as they are for; a text meets a keyword as often as it holds its run, and the first place of the keyword itself counts.
     """
     if isinstance(words, DataFrame):
-        listed = [r[0] for r in words.filter("keyword IS NOT NULL").select("keyword").distinct().limit(LITERAL_KEYWORDS + 1).collect()]
+        rows = [r[0] for r in words.select("keyword").filter("keyword IS NOT NULL").limit(LITERAL_ROWS + 1).collect()]
     else:
-        listed = list(dict.fromkeys(w for w in words if w is not None))
+        rows = [w for w in words if w is not None]
+    listed = list(dict.fromkeys(rows))
     judged = _judged(entries.select("file", "key", "senses"))
-    found = ["file", "key", "senses", "hit.field", "hit.sense"]
-    if len(listed) <= LITERAL_KEYWORDS:
+    if len(listed) <= LITERAL_KEYWORDS and (len(rows) <= LITERAL_ROWS or not isinstance(words, DataFrame)):
+        found = ["file", "key", "senses", "hit.field", "hit.sense"]
         return _literal(judged, sorted(listed)).withColumn("hit", F.explode(_hits())).select(F.col("kw.keyword").alias("keyword"), *found)
-    possible = _listed(judged, words if isinstance(words, DataFrame) else entries.sparkSession.createDataFrame([(w,) for w in listed], "keyword string"))
+    asked = words if isinstance(words, DataFrame) else entries.sparkSession.createDataFrame([(w,) for w in listed], "keyword string")
+    possible = written(_listed(judged, asked), "keywords").withColumn("_off", F.expr("instr(normal, gram) - 1")).withColumn("_rest", F.expr(f"substring(normal, _off + 1, {AHEAD})"))
     parts = (possible.agg(F.sum(F.size("keywords"))).first()[0] or 0) // BROADCAST_KEYWORDS + 1
-    runs = judged.select("file", "key", "senses", "_key", "_senses", F.explode(F.concat(*(grams(F.col("_whole"), n) for n in range(1, GRAM + 1)))).alias("gram"))
+    runs = _runs(_texts(judged))
     met = None
     for part in range(parts):
-        some = possible.filter(F.pmod(F.xxhash64("normal"), F.lit(parts)) == part)
-        held = runs.join(F.broadcast(some.select("gram", F.struct("normal").alias("kw"))), "gram").withColumn("hit", F.explode(_hits()))
-        named = held.select(F.col("kw.normal").alias("normal"), *found).join(F.broadcast(some.select("normal", "keywords")), "normal")
-        named = named.select(F.explode("keywords").alias("keyword"), "file", "key", "senses", "field", "sense")
+        some = possible.filter(F.pmod(F.xxhash64("normal"), F.lit(parts)) == part) if parts > 1 else possible
+        held = runs.join(F.broadcast(some), "gram").filter(f"at > _off AND startswith(substring(_piece, _k, {AHEAD}), _rest) AND instr(text, normal) = at - _off AND (field = 'key' OR NOT contains(_key, normal))")
+        named = held.select(F.explode("keywords").alias("keyword"), "file", "key", "senses", "field", "sense")
         met = named if met is None else met.unionByName(named)
     return met
 

@@ -42,7 +42,7 @@ SELECT keyword, file, key, 'key' AS field FROM m WHERE ink UNION ALL SELECT keyw
 )
 def join1_many_keywords(spark, sf_dir):
     """Every word of all documents against the parts."""
-    words = _t(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("keyword")).distinct()
+    words = _t(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("keyword"))  # repeats and all: these end at a limit
     return match.matches(_entries(spark, sf_dir), words).select("keyword", "file", "key", "field")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiqua.operators import match
 
@@ -86,3 +87,31 @@ def test_entries_of_one_file_are_many_tasks(spark, monkeypatch, table):
     df = spark.createDataFrame(entries, ENTRIES).coalesce(1)
     found = match.matches(df, words)
     assert found.rdd.getNumPartitions() == 7 and rows(found) == brute(entries, words)
+
+
+def test_many_keywords_are_read_once(spark, monkeypatch):
+    """Words of all documents are costly to read: once to see that they are many, up to a limit, and once in all."""
+    monkeypatch.setattr(match, "LITERAL_KEYWORDS", 5)
+    monkeypatch.setattr(match, "LITERAL_ROWS", 5, raising=False)
+    monkeypatch.setattr(match, "BROADCAST_KEYWORDS", 100)  # several parts
+    seen = spark.sparkContext.accumulator(0)
+
+    def word(i):
+        seen.add(1)
+        return f"k{i % 300}"
+
+    words = spark.range(0, 2000, 1, 4).select(F.udf(word)("id").alias("keyword"))
+    entries = [("f", f"k{i}", None) for i in range(0, 300, 7)]
+    found = match.matches(spark.createDataFrame(entries, ENTRIES), words)
+    assert rows(found) == brute(entries, [f"k{i}" for i in range(300)])
+    assert seen.value < 2 * 2000
+
+
+def test_a_keyword_in_a_text_many_times_is_there_once(spark, monkeypatch):
+    monkeypatch.setattr(match, "LITERAL_KEYWORDS", 0)
+    long = "x".join("ab" * i for i in range(1, 40)) + "q-7"  # over many pieces
+    entries = [("f", "abab", [("ab ab abab", ["ab", "a", "bab"]), (long, [long, "abx"])]), ("f", "", [(long + long, [])]), ("f", "abab", [("ab ab abab", ["ab", "a", "bab"])])]
+    words = ["a", "ab", "ba", "aba", "abab", "babx", "ab" * 39 + "q", "ab" * 40, "x" + "ab" * 38 + "x", "q7", "q7abx", "bq7", "7", long, long[1:], long[:-1], long[60:90], long[64:128], long[63:81]]
+    assert rows(match.matches(spark.createDataFrame(entries, ENTRIES), words)) == brute(entries, words)
+    monkeypatch.setattr(match, "PIECE", 1, raising=False)
+    assert rows(match.matches(spark.createDataFrame(entries, ENTRIES), words)) == brute(entries, words)
